@@ -98,40 +98,56 @@ class Units:
 
 @dataclass(frozen=True)
 class Search:
+    """Segments are shorter than two windows, and lengths are kept in 12 bits: windows of up to 2,000 units."""
+
     kind: str  # words or bytes
     window: int
     gram: int
     within: bool  # an earlier start in the same document counts too
 
 
-def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest value in each run of ``width`` values, by doubling."""
-    at, have = np.arange(len(x)), 1
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """Smallest value in each run of ``width`` values, by doubling."""
+    have = 1
     while have < width:
         step = min(have, width - have)
-        left, right = at[: len(at) - step], at[step:]
-        at = np.where(x[right] < x[left], right, left)
+        x = np.minimum(x[: len(x) - step], x[step:])
         have += step
-    return at
+    return x
+
+
+def anchor_runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts (first, last) with one anchor, the leftmost smallest gram of each, and its place."""
+    least = least_of(grams, width)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, width)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    last = np.append(first[1:], len(least)) - 1
+    done = []
+    while len(first):  # again only where an equal gram takes over when the anchor has left the window
+        place = np.concatenate([f + (windows[f] == least[f, None]).argmax(axis=1) for f in np.split(first, range(65_536, len(first), 65_536))])
+        done.append((first, np.minimum(last, place), place))
+        more = last > place
+        first, last = place[more] + 1, last[more]
+    out = [np.concatenate(x) for x in zip(*done, strict=True)]
+    if len(done) > 1:
+        by = np.argsort(out[0])
+        out = [x[by] for x in out]
+    return out[0], out[1], out[2]
 
 
 def anchors(numbers: np.ndarray, s: Search, full: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """By blocks: anchor hash; if full also segment hash, first start, length, place of the anchor in it."""
+    """By blocks: anchor hash; if full also segment hash and place (first start, length and anchor in one number)."""
     for block in range(0, max(len(numbers) - s.window + 1, 0), BLOCK):
         part = numbers[block : block + BLOCK + s.window - 1]
         hashes = PrefixHashes(part)
-        start = np.arange(len(part) - s.gram + 1)
-        grams = mix(hashes.of(start, start + s.gram))
-        at = leftmost_least(grams, s.window - s.gram + 1)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        place = at[first]
+        grams = (hashes.sums[s.gram :] - hashes.sums[: -s.gram]) * hashes.powers.down[: len(part) - s.gram + 1]
+        first, last, place = anchor_runs(grams, s.window - s.gram + 1)
         if not full:
             yield (grams[place].view(np.int64),)
             continue
-        last = np.append(first[1:], len(at)) - 1
         stop = last + s.window
         whole = mix(PrefixHashes(part, 1).of(first, stop) + (place - first).astype(U) * U(31) + (stop - first).astype(U))
-        yield grams[place].view(np.int64), whole.view(np.int64), (first + block).astype(np.int32), (stop - first).astype(np.int32), (place - first).astype(np.int32)
+        yield grams[place].view(np.int64), whole.view(np.int64), (first + block) << 24 | (stop - first) << 12 | (place - first)
 
 
 def _rows(s: Search, full: bool) -> Callable:
@@ -160,7 +176,7 @@ def _batch(found: list, docs: list, full: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(m), pa.array(n)], ["m", "n"])
     times = np.array([n for _, _, n in docs])
     doc, th = (np.repeat(np.array([d[k] for d in docs], np.int64), times) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (columns[0], columns[1], doc, th.astype(np.int32), *columns[2:])], ["m", "sh", "doc", "th", "at", "n", "p"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (columns[0], columns[1], doc, th.astype(np.int32), columns[2])], ["m", "sh", "doc", "th", "place"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -173,10 +189,10 @@ def marks(docs: DataFrame, s: Search, scratch: Scratch) -> DataFrame:
     source = docs.select("doc", "th", "text")
     counts = source.mapInArrow(_rows(s, False), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
     repeated = scratch.save(counts.where("n > 1").select("m"), "repeated")
-    rows = source.mapInArrow(_rows(s, True), "m long, sh long, doc long, th int, at int, n int, p int")
+    rows = source.mapInArrow(_rows(s, True), "m long, sh long, doc long, th int, place long")
     hits = scratch.save(rows.hint("merge").join(repeated, "m", "left_semi"), "hits")
     scratch.drop("repeated")
-    order = F.struct("doc", "th", "at") if s.within else F.struct("doc")
+    order = F.struct("doc", "th", "place") if s.within else F.struct("doc")
     classes = scratch.save(hits.groupBy("m", "sh").agg(F.min(order).alias("first"), F.count("*").alias("c")), "classes")
     shared = scratch.save(classes.groupBy("m").agg(F.count("*").alias("k"), F.sum("c").alias("c")).where("k > 1").select("m", (F.col("k") > HOT_CLASSES).alias("hot")), "shared")
     known = scratch.save(classes.join(shared.hint("merge"), "m", "left").where("c > 1 or hot is not null").drop("c"), "known")
@@ -184,7 +200,8 @@ def marks(docs: DataFrame, s: Search, scratch: Scratch) -> DataFrame:
     later = order > F.col("first")
     kind = F.when(later, 0).when(F.col("hot").isNotNull(), 1)
     picked = joined.withColumn("kind", kind).where("kind is not null")
-    mark = F.struct("kind", "m", "at", "n", "p", F.coalesce("hot", F.lit(False)).alias("hot"))
+    part = lambda shift, bits: F.shiftright("place", shift).bitwiseAND(F.lit(2**bits - 1)).cast("int")
+    mark = F.struct("kind", "m", part(24, 31).alias("at"), part(12, 12).alias("n"), part(0, 12).alias("p"), F.coalesce("hot", F.lit(False)).alias("hot"))
     out = scratch.save(picked.select("doc", "th", mark.alias("mark")), "picked")
     scratch.drop("hits", "classes", "shared", "known")
     return out.groupBy("doc", "th").agg(F.collect_list("mark").alias("marks"))  # a document's own marks
