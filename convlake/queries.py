@@ -435,3 +435,6 @@ def t20_turns_of(s, d):
 def x5_usage_windows(s, d):
     usage = S.table(s, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("at"), F.ceil("value").cast("long").alias("tokens"))
     return X.usage_windows(usage)
+
+
+from . import block_queries  # noqa: E402,F401  registers its own
