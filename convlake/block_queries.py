@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import plans as K
 from . import sources as S
+from . import turns as T
+from .ledger import input_bound, ledger
 from .queries import ATTEMPTS, CONV, CONV_PYRAMID, DOCS, attempts, chunk_sql, conv_chunks, conv_memories, doc_chunks, priced, query, tokens_sql
 
 
@@ -208,3 +210,96 @@ def f2_classify_response(s, d):
     status = F.element_at(F.array(*map(F.lit, (503, 404, 429, 200, 200))), (F.col("user_id") % 5 + 1).cast("int"))
     body = F.when(F.col("user_id") % 5 == 3, F.concat(F.lit('{"choices":[{"finish_reason":"stop","message":{"content":"'), "event_type", F.lit('"}}]}'))).otherwise(F.col("props"))
     return S.table(s, d, "events").select("event_id", K.classify_response(status, body).alias("class"))
+
+
+# --- turns
+
+
+def events_said(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), F.col("event_type").alias("participant"), F.col("props").alias("text"), (F.col("event_type") == "click").alias("tool_use"))
+
+
+SAID = "SELECT user_id::VARCHAR AS session_id, event_id AS id, event_type AS participant, props AS text, event_type = 'click' AS tool_use FROM events"
+
+
+@query(f"""WITH l AS ({SAID}), f AS (SELECT *, (participant IS DISTINCT FROM lag(participant) OVER (PARTITION BY session_id ORDER BY id))::INT AS c FROM l), t AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY id)::BIGINT AS turn FROM f)
+SELECT session_id, turn, min(participant) AS participant, min(id) AS "first", max(id) AS "last", string_agg(text, ' | ' ORDER BY id) AS text FROM t GROUP BY 1, 2""")
+def t2_collapse_turns(s, d):
+    return T.collapse_turns(events_said(s, d), " | ")
+
+
+@query("""WITH u AS (SELECT user_id, 't' || event_id AS call FROM events WHERE event_type = 'click' AND event_id % 10 <> 0), r AS (SELECT user_id, 't' || (event_id - 1) AS call FROM events WHERE event_type = 'view'),
+k AS (SELECT e.*, CASE event_type WHEN 'click' THEN event_id % 10 <> 0 AND (user_id, 't' || event_id) IN (SELECT (user_id, call) FROM r) WHEN 'view' THEN (user_id, 't' || (event_id - 1)) IN (SELECT (user_id, call) FROM u) ELSE true END AS ok FROM events e)
+SELECT user_id::VARCHAR AS session_id, event_id AS id, ok::BIGINT AS kept, NOT ok AS omitted FROM k""")
+def t3_drop_unpaired_tools(s, d):
+    tools = event_messages(s, d).select("session_id", "id", F.posexplode(F.slice("content", 2, 1)).alias("pos", "b"))
+    return T.drop_unpaired_tools(tools.select("session_id", "id", "pos", "b.type", F.col("b.id").alias("call")))
+
+
+LEFT = f"l AS ({SAID}), k AS (SELECT l.session_id, l.id FROM l JOIN (SELECT session_id, max(id) FILTER (NOT tool_use) AS z FROM l GROUP BY 1) x ON x.session_id = l.session_id AND l.id <= x.z)"
+
+
+@query(f"WITH {LEFT} SELECT session_id, id FROM k")
+def t6_drop_trailing_calls(s, d):
+    return T.drop_trailing_calls(events_said(s, d)).select("session_id", "id")
+
+
+@query(f"WITH {LEFT} SELECT n.session_id, n.id IS NOT DISTINCT FROM z.id AS kept FROM (SELECT session_id, max(id) AS id FROM l GROUP BY 1) n LEFT JOIN (SELECT session_id, max(id) AS id FROM k GROUP BY 1) z USING (session_id)")
+def t7_newest_kept(s, d):
+    log = events_said(s, d)
+    return T.newest_kept(log, T.drop_trailing_calls(log))
+
+
+FREE = CONV_PYRAMID + TAKEN + ", u AS (SELECT m.* FROM m ANTI JOIN e USING (session_id, level, id))"
+
+
+@query(FREE + ' SELECT session_id, min("first") - 1 AS before, max(CASE WHEN level > 1 THEN "first" END) AS above, max("first") AS newest FROM u GROUP BY 1')
+def t10_cache_seams(s, d):
+    return T.cache_seams(K.unmerged(conv_memories(s, d), 2).withColumn("pos", F.col("first")))
+
+
+@query(FREE + """, i AS (SELECT session_id, "first" AS id, tokens + 50 AS b, row_number() OVER (PARTITION BY session_id ORDER BY "first" DESC) AS k FROM u),
+r AS (SELECT session_id, id, k, CASE WHEN b <= 220 THEN b ELSE 0 END AS t, b <= 220 AS fits FROM i WHERE k = 1 UNION ALL
+SELECT i.session_id, i.id, i.k, CASE WHEN r.t + i.b <= 220 THEN r.t + i.b ELSE r.t END, r.t + i.b <= 220 FROM r JOIN i ON i.session_id = r.session_id AND i.k = r.k + 1)
+SELECT session_id, id FROM r WHERE fits""")
+def t11_recall_within_budget(s, d):
+    return T.recall_within_budget(K.unmerged(conv_memories(s, d), 2).select("session_id", F.col("first").alias("id"), "tokens"), 220)
+
+
+@query(f"""WITH a AS ({ATTEMPTS.replace("'stale'", "'tool_call'")}), n AS (SELECT *, coalesce(sum((kind = 'fail')::INT) OVER (PARTITION BY target ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tries, lag(reason) OVER (PARTITION BY target ORDER BY id) AS was FROM a)
+SELECT target, id, tries, greatest(8000, floor(60000 * 0.5::DOUBLE ** least(4, tries) + 0.5::DOUBLE)::BIGINT) AS budget, was IS NOT DISTINCT FROM 'tool_call' AND tries >= 2 AS drop_tools FROM n""")
+def t15_next_attempt(s, d):
+    return T.next_attempt(attempts(s, d).replace("stale", "tool_call", "reason"), 60_000)
+
+
+@query("SELECT conv_id::VARCHAR AS session_id, sum(strlen(text))::BIGINT + 512 + 128 * count(*) AS bound FROM conversations GROUP BY 1")
+def t17_input_bound(s, d):
+    sized = S.conversations(s, d).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    return sized.select("session_id", input_bound(F.col("n"), F.col("b")).alias("bound"))
+
+
+@query(chunk_sql(CONV, 100, 2) + ", f AS (SELECT session_id, min(CASE WHEN chunk_id % 3 = 1 THEN chunk_id END) AS f FROM c GROUP BY 1) SELECT c.session_id, coalesce(sum(CASE WHEN chunk_id >= f THEN CASE WHEN chunk_id % 3 = 1 THEN 10 ELSE raw END END), 0)::BIGINT AS cost FROM c JOIN f USING (session_id) GROUP BY 1")
+def k2_kv_cost(s, d):
+    before = conv_chunks(s, d).select("session_id", F.col("chunk_id").alias("pos"), F.concat(F.lit("c"), "chunk_id").alias("unit"), F.col("raw").alias("tokens"))
+    folded = F.col("pos") % 3 == 1
+    after = before.select("session_id", "pos", F.when(folded, F.concat(F.lit("m"), "pos")).otherwise(F.col("unit")).alias("unit"), F.when(folded, 10).otherwise(F.col("tokens")).alias("tokens"))
+    return T.kv_cost(before, after)
+
+
+@query(CONV_PYRAMID + ' SELECT session_id, sum(0.5::DOUBLE * greatest(0, level - (id % 2)))::DOUBLE AS misallocation FROM m GROUP BY 1')
+def k4_misallocation(s, d):
+    return T.misallocation(conv_memories(s, d).select("session_id", "level", (F.col("id") % 2).alias("cap"), F.lit(0.5).alias("salience")))
+
+
+@query(f"""WITH a AS ({ATTEMPTS}), x AS (SELECT * FROM a UNION ALL SELECT target, 1000000000, 'clear', NULL FROM a WHERE target % 2 = 0 GROUP BY 1)
+SELECT target, count(*) FILTER (kind = 'fail' AND reason = 'refusal' AND id > z) AS attempts FROM (SELECT *, coalesce(max(CASE WHEN kind = 'clear' THEN id END) OVER (PARTITION BY target), -1) AS z FROM x) GROUP BY 1""")
+def f9_clear_debt(s, d):
+    log = attempts(s, d)
+    owed = log.where("target % 2 = 0").select("target").distinct()
+    return ledger(K.clear_debt(log, owed, 1_000_000_000)).select("target", "attempts")
+
+
+@query("SELECT user_id::VARCHAR AS session_id, max(event_id) AS id, arg_max(ceil(value)::BIGINT, event_id) AS tokens FROM events WHERE event_type = 'view' GROUP BY 1")
+def f11_last_prompt(s, d):
+    usage = S.table(s, d, "events").where("event_type = 'view'").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), F.ceil("value").cast("long").alias("tokens"))
+    return K.last_prompt(usage)

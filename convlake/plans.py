@@ -115,3 +115,12 @@ def classify_response(status: Column, body: Column) -> Column:
     finish = F.get_json_object(body, "$.choices[0].finish_reason")
     good = status.between(200, 299)
     return F.when(good & finish.isNotNull(), "ok").when(good, "malformed").when(status.isNull() | status.isin(*RETRYABLE) | (status >= 500), "retryable").otherwise("final")
+
+
+def clear_debt(attempts: DataFrame, targets: DataFrame, at: int) -> DataFrame:
+    """The attempts log with a clear appended for each target."""
+    return attempts.unionByName(targets.select("target", F.lit(at).cast("long").alias("id"), F.lit("clear").alias("kind"), F.lit(None).cast("string").alias("reason")))
+
+
+def last_prompt(usage: DataFrame) -> DataFrame:
+    return usage.groupBy("session_id").agg(F.max("id").alias("id"), F.max_by("tokens", "id").alias("tokens"))
