@@ -437,4 +437,4 @@ def x5_usage_windows(s, d):
     return X.usage_windows(usage)
 
 
-from . import block_queries  # noqa: E402,F401  registers its own
+from . import block_queries, selection_queries  # noqa: E402,F401  register their own
