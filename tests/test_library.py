@@ -99,3 +99,17 @@ def test_entry_point_imports_everything(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_tasks_and_exchanges_are_read(spark, tmp_path):
+    from convlake.requests import read_exchanges, read_tasks
+
+    (tmp_path / "b/todo").mkdir(parents=True)
+    (tmp_path / "b/todo/02-fix-it.md").write_text("---\ntitle: 'Fix'\nowner: none\n---\nDo it.\n\n## Comments\n- **ann**: one\n  more\n- **bob**: two\n")
+    (tmp_path / "b/todo/10-name-only.md").write_text("Only text")
+    a, b = sorted(read_tasks(spark, str(tmp_path / "b")).collect(), key=lambda r: r.number)
+    assert (a.board, a.column, a.number, a.title, a.owner, a.description) == ("b", "todo", 2, "Fix", None, "Do it.")
+    assert [tuple(c) for c in a.comments] == [("ann", "one\nmore"), ("bob", "two")]
+    assert (b.title, b.description, b.comments) == ("name only", "Only text", [])
+    (tmp_path / "x.jsonl").write_text('{"id":1,"status":200}\n{"id":2,"status":500}\n{"id":3,"failure":"reset"}\n')
+    assert [r.failed for r in read_exchanges(spark, str(tmp_path / "x.jsonl")).orderBy("id").collect()] == [False, True, True]
