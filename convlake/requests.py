@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .blocks import BLOCK, IMAGE, admit
+from .pricing import trim_js
 
 # Fixed values of the rules: an image's stand-in, the note of a cut text, how many calls a turn's summary lists.
 PLACEHOLDER = 9
@@ -156,11 +157,11 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     rows = raw.withColumn("_h", head).withColumn("_b", F.regexp_replace("t", r"(?s)^---\n.*?\n---(?:\n|$)", ""))
     parts = F.split("_b", r"(?im)^\s*## comments\s*$", 2)
     said = F.filter(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"(?m)^\s*- (?=\*\*)"), lambda c: c.rlike(r"(?s)^\*\*.*?\*\*:"))
-    comments = F.transform(said, lambda c: F.struct(F.trim(F.regexp_extract(c, r"(?s)^\*\*(.*?)\*\*:", 1)).alias("author"), F.regexp_replace(F.trim(F.regexp_replace(c, r"(?s)^\*\*.*?\*\*:", "")), r"\s*\n\s*", "\n").alias("text")))
+    comments = F.transform(said, lambda c: F.struct(F.trim(F.regexp_extract(c, r"(?s)^\*\*(.*?)\*\*:", 1)).alias("author"), F.regexp_replace(trim_js(F.regexp_replace(c, r"(?s)^\*\*.*?\*\*:", "")), r"\s*\n\s*", "\n").alias("text")))
     file = F.element_at("p", -1)
     named = F.replace(F.regexp_replace(F.regexp_replace(file, r"\.md$", ""), "^[0-9-]+", ""), F.lit("-"), F.lit(" "))
     owner = field("owner")
-    return rows.select(F.element_at("p", -3).alias("board"), F.element_at("p", -2).alias("column"), file.alias("file"), F.try_to_number(F.regexp_extract(file, "^[0-9]+", 0), F.lit("999999999")).cast("long").alias("number"), F.when(field("title") != "", field("title")).otherwise(named).alias("title"), F.when(~owner.isin("", "none"), owner).alias("owner"), F.trim(F.get(parts, F.lit(0))).alias("description"), comments.alias("comments"))
+    return rows.select(F.element_at("p", -3).alias("board"), F.element_at("p", -2).alias("column"), file.alias("file"), F.try_to_number(F.regexp_extract(file, "^[0-9]+", 0), F.lit("999999999")).cast("long").alias("number"), F.when(field("title") != "", field("title")).otherwise(named).alias("title"), F.when(~owner.isin("", "none"), owner).alias("owner"), trim_js(F.get(parts, F.lit(0))).alias("description"), comments.alias("comments"))
 
 
 def task_changes(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
