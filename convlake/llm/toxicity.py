@@ -6,16 +6,21 @@ which are discounted in turn and back off to the continuation counts of both cla
 backs off is the pooled one at both levels, so that an expression neither class knows well says nothing. A
 document's score compares the two log-likelihoods, normalised by its length and by that length's root, and a
 logistic curve makes it a probability.
+
+The model is a table of all words and pairs above their discounts; what isn't above adds exactly 0. Documents are
+taken by chunks, and a chunk's different words and pairs meet the table by sort-merge, each with the chunk's documents
+it stands in: a term comes once a chunk, however common it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_checked
@@ -23,12 +28,16 @@ from .licenses import words_of
 
 #: Absolute discounts; what a class has seen no oftener says nothing by itself.
 D_WORD, D_PAIR = 4.0, 6.0
-#: The model keeps so many words and pairs, those that differ most between the classes; this bounds its size.
-MAX_TERMS = 50_000
 #: The curve is fitted to so many training rows at most, the first by a hash of doc_id.
 MAX_CURVE_ROWS = 20_000
 #: Labels are broadcast up to so many rows (12 bytes each), else joined by sort-merge.
 LABEL_ROWS = 1_000_000
+#: Digests of rejected texts are broadcast up to so many (16 bytes each), else anti-joined by sort-merge.
+REJECTED_ROWS = 500_000
+#: A chunk is closed at so many words or documents; a document's place in it has 16 bits.
+CHUNK_WORDS, CHUNK_DOCS = 500_000, 50_000
+#: Bits (a power of 2) of the sieve that spares most keys that are no terms the way to the table; it changes no result, however full.
+SIEVE_BITS = 1 << 26
 THRESHOLD = 0.3
 
 
@@ -65,40 +74,141 @@ def count_pairs(labelled: DataFrame) -> DataFrame:
     return raw.groupBy("pair").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o"))
 
 
-class KneserNey:
-    """The log ratios of both classes by word and by pair; ``own`` leaves a training row's own count out."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, totals: dict[str, float]):
-        """words: number, t, o (continuation counts); pairs: pair, t, o (document counts)."""
-        self.words = {int(w): (t, o) for w, t, o in words}
-        self.pairs = {int(p): (t, o) for p, t, o in pairs}
-        self.totals, self.memo = totals, {}
+def log_ratios(totals: dict[str, float]) -> Callable[[int | None], tuple[Column, Column]]:
+    """A function that gives the log ratio of the classes at a word, and what a pair that ends in it adds to that."""
 
-    def _known(self, t: float, o: float, level: str, d: float, back_t: float, back_o: float) -> tuple[float, float]:
+    def known(t: Column, o: Column, level: str, d: float, back_t: Column, back_o: Column) -> tuple[Column, Column]:
         """Discounted relative counts, mixed with what is backed off to by the pooled mass of the level."""
-        x, mass = self.totals, self.totals[f"{level}_back"]
-        return (1 - mass) * max(t - d, 0) / max(x[f"{level}_t"], 1) + mass * back_t, (1 - mass) * max(o - d, 0) / max(x[f"{level}_o"], 1) + mass * back_o
-
-    def ratio(self, word: int, pair: int, own: int | None = None) -> float:
-        seen, both = self.words.get(word), self.pairs.get(pair)
-        if seen is None and both is None:
-            return 0.0
-        key = (word, pair if both else 0, own)
-        if key not in self.memo:
-            x, less = self.totals, (own == 1, own == 0)
-            t, o = seen or (0, 0)
-            shared = (t + o + 1) / (x["word_all"] + x["word_kinds"] + 1)
-            p, q = self._known(t - less[0], o - less[1], "word", D_WORD, shared, shared)
-            if both:
-                p, q = self._known(both[0] - less[0], both[1] - less[1], "pair", D_PAIR, p, q)
-            self.memo[key] = float(np.log(p / q))
-        return self.memo[key]
-
-    def features(self, ids: np.ndarray, own: int | None = None) -> tuple[float, float]:
-        """The log ratio of the document's different pairs, over its words and over their root."""
-        n = len(ids) - 1
-        total = sum(self.ratio(p & 0xFFFFFFFF, p, own) for p in set(pairs_of(ids).view(np.uint64).tolist()))
-        return 100 * total / (n + 20), total / (n + 20) ** 0.5
+        mass = totals[f"{level}_back"]
+        part = lambda n, c: F.greatest(n - F.lit(d), F.lit(0.0)) * F.lit((1 - mass) / max(totals[f"{level}_{c}"], 1))
+        return part(t, "t") + F.lit(mass) * back_t, part(o, "o") + F.lit(mass) * back_o
+
+    def ratios(own: int | None) -> tuple[Column, Column]:
+        """Of the columns wt, wo (continuation counts) and t, o (document counts); ``own`` leaves a training row's own count out."""
+        less_t, less_o = int(own == 1), int(own == 0)
+        shared = (F.col("wt") + F.col("wo") + 1) / F.lit(float(totals["word_all"] + totals["word_kinds"] + 1))
+        p, q = known(F.col("wt") - less_t, F.col("wo") - less_o, "word", D_WORD, shared, shared)
+        x, y = known(F.col("t") - less_t, F.col("o") - less_o, "pair", D_PAIR, p, q)
+        return F.log(p / q), F.log(x / y) - F.log(p / q)
+
+    return ratios
+
+
+def sieve_of(terms: DataFrame) -> np.ndarray:
+    """A bit for the slot of each term, in words of 64."""
+    low = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    slot = F.shiftrightunsigned("key", 32).bitwiseXOR(F.shiftright(low, 5)).bitwiseAND(F.lit(SIEVE_BITS - 1)).alias("slot")
+    bits = terms.select(slot).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(SIEVE_BITS // 64, np.uint64)
+    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def sifted(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys (unsigned) may be terms; all terms are among them."""
+    slot = (key >> np.uint64(32) ^ (key & np.uint64(0xFFFFFFFF)) >> np.uint64(5)) & np.uint64(64 * len(sieve) - 1)
+    return (sieve[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+HEADER = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.int32()), ("n", pa.int32())])
+
+
+def _header_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HEADER) as to:
+        to.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _postings(sieve: Broadcast) -> Callable:
+    """From (doc_id, h1, h2, own, text): by chunk, each word and pair that passes the sieve with the places of its documents, and one header of the documents.
+
+    A word is its number in the upper half, a pair has its second word in the lower, which is never 0. A document
+    stands at a word once for each of its different pairs that end in it. Headers get keys that spread them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, task, made = WordNumbers(), TaskContext.get().partitionId(), 0
+        docs: list[tuple] = []
+        own_pairs: list[np.ndarray] = []
+        words = 0
+
+        def rows(key: np.ndarray, place: np.ndarray, chunk: int) -> pa.RecordBatch:
+            by = np.argsort(key, kind="stable")
+            key, place = key[by], place[by]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            offsets = (np.append(edge, len(key)) * 2).astype(np.int32)
+            found = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(place)])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), chunk)), pa.array(key[edge].view(np.int64)), found, pa.nulls(len(edge), pa.binary())], ["chunk", "key", "places", "header"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal docs, own_pairs, words, made
+            chunk = task << 32 | made
+            columns = [pa.array(c, t) for c, t in zip(zip(*docs, strict=True), HEADER.types, strict=True)]
+            spread_key = xxhash.xxh64_intdigest(chunk.to_bytes(8, "little")) >> 1
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([spread_key], pa.int64()), pa.nulls(1, pa.binary()), pa.array([_header_bytes(pa.RecordBatch.from_arrays(columns, schema=HEADER))], pa.binary())], ["chunk", "key", "places", "header"])
+            pair = np.concatenate(own_pairs).view(np.uint64)
+            place = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(p) for p in own_pairs])
+            for key in (pair, pair << np.uint64(32)):
+                near = sifted(sieve.value, key)
+                if near.any():
+                    yield rows(key[near], place[near], chunk)
+            docs, own_pairs, words, made = [], [], 0, made + 1
+
+        for batch in batches:
+            for *known, text in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4), strict=True):
+                ids = numbers.of(text.as_py())
+                docs.append((*known, len(ids) - 1))
+                own_pairs.append(np.unique(pairs_of(ids)))
+                words += len(ids)
+                if words >= CHUNK_WORDS or len(docs) >= CHUNK_DOCS:
+                    yield from close()
+        if docs:
+            yield from close()
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (chunk, places, header, values...), whole chunks together: by document of the header, the sum of the value that its ``own`` names, as features."""
+    at, header, sums = None, None, np.zeros(0)
+
+    def done() -> pa.RecordBatch:
+        n, own = (header.column(c).to_numpy() for c in ("n", "own"))
+        total = sums[own, np.arange(len(n))]
+        return pa.RecordBatch.from_arrays([*[header.column(c) for c in ("doc_id", "h1", "h2")], pa.array(100 * total / (n + 20)), pa.array(total / (n + 20) ** 0.5), header.column("own")], ["doc_id", "h1", "h2", "a", "b", "y"])
+
+    for batch in batches:
+        chunks = batch.column(0).to_numpy()
+        edge = np.flatnonzero(np.concatenate([[len(chunks) > 0], chunks[1:] != chunks[:-1]]))
+        for start, stop in zip(edge, np.append(edge, len(chunks))[1:], strict=True):
+            if chunks[start] != at:
+                if at is not None:
+                    yield done()
+                at, header, sums = chunks[start], None, np.zeros((batch.num_columns - 3, CHUNK_DOCS))
+            part = batch.slice(start, stop - start)
+            for found in part.column(2).drop_null().to_pylist():
+                header = pa.ipc.open_stream(found).read_next_batch()
+            part = part.filter(part.column(1).is_valid())
+            places = part.column(1).to_pylist()
+            many, where = np.array([len(x) // 2 for x in places], np.int64), np.frombuffer(b"".join(places), np.uint16)
+            for k in range(len(sums)):
+                sums[k] += np.bincount(where, np.repeat(part.column(3 + k).to_numpy(), many), CHUNK_DOCS)
+    if at is not None:
+        yield done()
+
+
+def features(docs: DataFrame, terms: DataFrame, sieve: Broadcast, values: list[str]) -> DataFrame:
+    """doc_id, h1 and h2 (the text's digest), a, b (the log ratio of the document's different pairs, over its words and over their root) and y (own) for each row.
+
+    ``own`` says which of ``values`` a document sums.
+    """
+    text = F.col("text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text), F.col("own").cast("int"), text)
+    met = rows.mapInArrow(_postings(sieve), "chunk long, key long, places binary, header binary").join(terms.select("key", *values).hint("merge"), "key", "left")
+    kept = met.where(F.col(values[0]).isNotNull() | F.col("header").isNotNull())
+    # a header whose key happens to be a term's has no places, so the term adds nothing there
+    return kept.select("chunk", "places", "header", *values).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sums, "doc_id long, h1 long, h2 long, a double, b double, y int")
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -111,33 +221,27 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, language: KneserNey, curve: np.ndarray):
-        self.language, self.curve = language, curve
+    """terms (key, r, and r0, r1 without one's own count), their sieve and the curve's weights."""
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id and score (0 to 1) for each row; null and empty texts get the curve's value at no evidence."""
-        language, curve = docs.sparkSession.sparkContext.broadcast(self.language), self.curve
+    def __init__(self, terms: DataFrame, sieve: Broadcast, curve: np.ndarray):
+        self.terms, self.sieve, self.curve = terms, sieve, curve
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, model = WordNumbers(), language.value
-            for batch in batches:
-                x = np.array([model.features(numbers.of(t.as_py())) for t in batch.column(1)]).reshape(-1, 2)
-                z = curve[0] + x @ curve[1:]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """doc_id, h1, h2 and score (0 to 1) for each row; null and empty texts get the curve's value at no evidence."""
+        c, x, y = self.curve.tolist()
+        z = F.lit(c) + F.col("a") * F.lit(x) + F.col("b") * F.lit(y)
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        return features(docs.select("doc_id", "text", F.lit(0).alias("own")), self.terms, self.sieve, ["r"]).select("doc_id", "h1", "h2", score.alias("score"))
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
+    def score(self, docs: DataFrame) -> DataFrame:
+        return self.scored(docs).select("doc_id", "score")
 
     def accepted(self, docs: DataFrame, threshold: float) -> DataFrame:
-        """The rows of ``docs``, all columns, that score below the threshold; nothing is shuffled."""
-        language, curve, at = docs.sparkSession.sparkContext.broadcast(self.language), self.curve, docs.columns.index("text")
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, model = WordNumbers(), language.value
-            for batch in batches:
-                x = np.array([model.features(numbers.of(t.as_py())) for t in batch.column(at)]).reshape(-1, 2)
-                yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30))) < threshold))
-
-        return docs.mapInArrow(keep, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+        """The rows of ``docs``, all columns, that score below the threshold; a score depends on the text alone, so texts carry the verdict."""
+        above = self.scored(docs).where(F.col("score") >= threshold).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+        rejected = Scratch(docs.sparkSession, "toxicity").save(above, "rejected")
+        known = docs.withColumns({"_h1": F.xxhash64(F.lit(1), "text"), "_h2": F.xxhash64(F.lit(2), "text")})
+        return join_checked(known, rejected, ["_h1", "_h2"], "left_anti", REJECTED_ROWS).select(*docs.columns)
 
 
 def held_out(doc_id) -> F.Column:
@@ -158,32 +262,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     word = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")
     words = pairs.groupBy(word).agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
     totals: dict[str, float] = {}
-    kept = {}
     for level, df, d in (("word", words, D_WORD), ("pair", pairs, D_PAIR)):
         above = lambda c, d=d: F.sum(F.greatest(F.col(c) - F.lit(d), F.lit(0.0)))
         x = df.agg(above("t").alias("t"), above("o").alias("o"), F.sum(F.col("t") + F.col("o")).alias("all"), F.count("*").alias("kinds")).first()
         t, o, all_ = x["t"] or 0.0, x["o"] or 0.0, x["all"] or 0
         totals |= {f"{level}_t": t, f"{level}_o": o, f"{level}_all": all_, f"{level}_kinds": x["kinds"], f"{level}_back": 1 - (t + o) / all_ if all_ else 1.0}
-        expected = (F.col("t") + F.col("o")) * F.lit(t / max(t + o, 1.0))
-        signal = F.abs(F.col("t") - expected) / F.sqrt(expected + 1)
-        top = df.where((F.col("t") > d) | (F.col("o") > d)).orderBy(signal.desc(), df.columns[0]).limit(MAX_TERMS)
-        kept[level] = [tuple(r) for r in top.collect()]
+    held = lambda d, t, o: (F.col(t) > d) | (F.col(o) > d)
+    ratios, named = log_ratios(totals), words.withColumnsRenamed({"t": "wt", "o": "wo"})
+    values = {"r": None, "r0": 0, "r1": 1}
+    by_word = named.where(held(D_WORD, "wt", "wo")).withColumns({"t": F.lit(0), "o": F.lit(0)})
+    by_pair = pairs.where(held(D_PAIR, "t", "o")).withColumn("word", word).join(named.hint("merge"), "word")
+    scratch = Scratch(spark, "toxicity")
+    terms = by_word.select(F.shiftleft("word", 32).alias("key"), *[ratios(k)[0].alias(v) for v, k in values.items()])
+    terms = scratch.save(terms.unionByName(by_pair.select(F.col("pair").alias("key"), *[ratios(k)[1].alias(v) for v, k in values.items()])), "terms")
     pairs.unpersist()
-    language = KneserNey([(w & 0xFFFFFFFF, t, o) for w, t, o in kept["word"]], [(p & 0xFFFFFFFFFFFFFFFF, t, o) for p, t, o in kept["pair"]], totals)
-    shared = spark.sparkContext.broadcast(language)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, model = WordNumbers(), shared.value
-        for batch in batches:
-            own = batch.column(1).to_pylist()
-            x = np.array([model.features(numbers.of(t.as_py()), k) for t, k in zip(batch.column(0), own, strict=True)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(own, pa.int32())], ["a", "b", "y"])
-
+    sieve = spark.sparkContext.broadcast(sieve_of(terms))
     share = F.lit(MAX_CURVE_ROWS * 0.9 / max(known.count(), 1))
     curve_rows = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 33) < share * F.lit(2.0**31))
-    seen = Scratch(spark, "toxicity").save(curve_rows.select("text", "toxic").mapInArrow(features, "a double, b double, y int"), "curve")
+    seen = scratch.save(features(curve_rows.select("doc_id", "text", F.col("toxic").alias("own")), terms, sieve, ["r0", "r1"]).select("a", "b", "y"), "curve")
     got = np.array([tuple(r) for r in seen.limit(MAX_CURVE_ROWS).collect()]).reshape(-1, 3)
-    return ToxicityModel(language, fit_curve(got[:, :2], got[:, 2]) if len(got) else np.zeros(3))
+    return ToxicityModel(terms, sieve, fit_curve(got[:, :2], got[:, 2]) if len(got) else np.zeros(3))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -385,6 +385,50 @@ def test_toxicity(spark, empty):
     assert toxicity(empty, labels_df).collect() == []
 
 
+def test_toxicity_model_holds_every_term_above_its_discount(spark):
+    from convlake.llm.toxicity import fit_toxicity
+
+    # 80,000 pairs and as many words stand in more documents than the discounts take
+    foul, calm = [f"f{i}" for i in range(40_000)], [f"c{i}" for i in range(40_000)]
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    train = [(i, " ".join(foul), 1) for i in learnt[:8]] + [(i, " ".join(calm), 0) for i in learnt[8:18]]
+    draw = random.Random(4)
+    for i in learnt[18:60]:
+        train.append((i, " ".join(draw.choices([*foul[:60], "both"], k=60) if i % 2 else draw.choices([*calm[:60], "both"], k=60)), i % 2))
+    probes = [(10_000 + k, " ".join(w[k * 700 : k * 700 + 9])) for k in range(57) for w in (foul, calm)] + [(1, None), (1, ""), (None, "both f1 f3 c2 both unknown")]
+    docs = spark.createDataFrame([r[:2] for r in train] + probes, "doc_id long, text string").repartition(5)
+    model = fit_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, toxic int"))
+
+    pairs_in = lambda t: set(zip(["", *(t or "").split()], (t or "").split()))
+    pair, word = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for _, t, y in train:
+        for p in pairs_in(t):
+            pair[p][y] += 1
+    for p, n in pair.items():
+        for y in (0, 1):
+            word[p[1]][y] += n[y] > 0
+    size = {}
+    for level, counts, d in (("word", word, 4), ("pair", pair, 6)):
+        over = [sum(max(n[y] - d, 0) for n in counts.values()) for y in (0, 1)]
+        size[level] = (over, 1 - sum(over) / sum(map(sum, counts.values())))
+    everything = sum(map(sum, word.values())) + len(word) + 1
+
+    def ratio(p):
+        got = [(sum(word.get(p[1], (0, 0))) + 1) / everything] * 2
+        for level, n, d in (("word", word.get(p[1], (0, 0)), 4), ("pair", pair.get(p, (0, 0)), 6)):
+            over, mass = size[level]
+            got = [(1 - mass) * max(n[y] - d, 0) / max(over[y], 1) + mass * got[y] for y in (0, 1)]
+        return np.log(got[1] / got[0])
+
+    def score(t):
+        total, n = sum(map(ratio, pairs_in(t))), len((t or "").split())
+        return 1 / (1 + np.exp(-np.clip(model.curve @ [1, 100 * total / (n + 20), total / (n + 20) ** 0.5], -30, 30)))
+
+    want = sorted(score(t) for _, t in [r[:2] for r in train] + probes)
+    assert np.allclose(sorted(r.score for r in model.score(docs).collect()), want, rtol=1e-9, atol=1e-12)
+    assert sorted(str(r.text) for r in model.accepted(docs, 0.3).collect()) == sorted(str(t) for _, t in [r[:2] for r in train] + probes if score(t) < 0.3)
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline as cp
 
