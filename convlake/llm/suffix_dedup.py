@@ -4,7 +4,8 @@ A byte goes if a 100-byte string that covers it also starts earlier (a smaller d
 strings that can repeat but for those settled as wholes (see repeats.py) are dealt out by their anchors; there the
 suffixes that start them are sorted by mergesort. A comparison finds the common extension of two suffixes by
 binary search over prefix polynomial hashes, and the byte after it decides. Neighbours that share 100 bytes are equal
-strings, which is verified byte by byte; all but the earliest of a run of neighbours go.
+strings, which is verified byte by byte; all but the earliest of a run of neighbours go. Strings with hot anchors
+aren't sorted: of those with equal bytes all but the earliest go at once, by an aggregate and a join in Spark.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .repeats import PrefixHashes, Search, Units, mix, remove_repeats
+from .repeats import PrefixHashes, Search, Units, remove_repeats
 
 WINDOW, GRAM = 100, 36
 #: So many segments are sorted at once, and whole groups always.
@@ -124,34 +125,34 @@ def spans_of(rows: list[tuple], window: int) -> tuple[list[np.ndarray], int]:
     return [doc[of[fresh]], th[of[fresh]].astype(np.int32), a.astype(np.int32), b.astype(np.int32)], len(fresh)
 
 
-def _deal(window: int):
-    """Segments with the group that sorts them; the windows of hot anchors go one by one, to groups by their contents."""
-    names = ["g", "doc", "th", "at", "p", "body"]
-    kinds = pa.schema([("g", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("p", pa.int32()), ("body", pa.binary())])
+def _windows(window: int):
+    """All windows of segments (doc, th, at, body), each with its place and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte = Units("bytes").byte
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in names}
-            for doc, th, m, at, p, hot, body in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "m", "at", "p", "hot", "body")], strict=True):
-                if not hot:
-                    for c, v in zip(names, (m, doc, th, at, p, body), strict=True):
-                        out[c].append(v)
-                    continue
-                many = len(body) - window + 1
-                start = np.arange(many)
-                hashes = mix(PrefixHashes(byte[np.frombuffer(body, np.uint8)]).of(start, start + window)).view(np.int64)
-                for k, h in enumerate(hashes.tolist()):
-                    for c, v in zip(names, (h, doc, th, at + k, p - k, body[k : k + window]), strict=True):
-                        out[c].append(v)
-                if len(out["g"]) > 20_000:
-                    yield pa.RecordBatch.from_pydict(out, kinds)
-                    out = {c: [] for c in names}
-            yield pa.RecordBatch.from_pydict(out, kinds)
+            for doc, th, at, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), window)
+                many = len(every)
+                edges = np.arange(0, (many + 1) * window, window, dtype=np.int32)
+                found = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(edges), pa.py_buffer(every.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, doc, np.int64)), pa.array(np.full(many, th, np.int32)), pa.array(np.arange(at, at + many, dtype=np.int32)), found], ["doc", "th", "at", "body"])
 
     return run
 
 
+def later_windows(segments: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """Spans of all windows but the earliest of each content, by the bytes themselves.
+
+    The earliest are found by an aggregate that starts before the shuffle, and met by a merge join whose hot contents
+    AQE splits, so that no task gathers a content's rows. What stays differs, window by window, and needs no sort.
+    """
+    windows = segments.select("doc", "th", "at", "body").mapInArrow(_windows(window), "doc long, th int, at int, body binary")
+    place = F.struct("doc", "th", "at")
+    first = scratch.save(windows.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "earliest")
+    later = windows.join(first.hint("merge"), "body").where(place > F.col("first"))
+    return later.select("doc", "th", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+
+
 def _sort(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -174,10 +175,10 @@ def _sort(window: int):
 
 def sort_suffixes(window: int):
     def compare(segments: DataFrame, scratch: Scratch) -> DataFrame:
-        dealt = segments.mapInArrow(_deal(window), "g long, doc long, th int, at int, p int, body binary")
-        # of windows of hot anchors with equal contents only the earliest is sorted with others; the rest go at once
-        met = dealt.repartition("g").sortWithinPartitions("g")
-        return scratch.save(met.mapInArrow(_sort(window), "doc long, th int, a int, b int"), "spans")
+        cold = segments.where("not hot").select(F.col("m").alias("g"), "doc", "th", "at", "p", "body")
+        met = cold.repartition("g").sortWithinPartitions("g")
+        sorted_ = met.mapInArrow(_sort(window), "doc long, th int, a int, b int")
+        return scratch.save(sorted_.unionByName(later_windows(segments.where("hot"), window, scratch)), "spans")
 
     return compare
 

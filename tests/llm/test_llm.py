@@ -295,6 +295,38 @@ def test_substring_and_suffix_dedup(docs, empty, hot, monkeypatch):
     assert substring_dedup(empty).collect() == [] and suffix_dedup(empty).collect() == []
 
 
+def test_suffix_sort_gets_no_hot_group(spark, monkeypatch):
+    from convlake.llm import repeats, suffix_dedup
+
+    monkeypatch.setattr(repeats, "HOT_CLASSES", 8)
+    sort = suffix_dedup._sort
+
+    def watched(window):
+        run = sort(window)
+
+        def watch(batches):
+            seen = Counter()
+            for batch in batches:
+                seen.update(batch.column(0).to_pylist())
+                assert max(seen.values(), default=0) <= 8, "a hot group reached the sort"
+                yield from run(iter([batch]))
+
+        return watch
+
+    monkeypatch.setattr(suffix_dedup, "_sort", watched)
+    draw = random.Random(8)
+    say = lambda k: "".join(draw.choices("abcdefgh ", k=k))
+    passage = say(104)
+    rows = [(i, say(draw.randint(60, 90)) + passage + say(draw.randint(60, 90))) for i in range(60)]
+    rows += [(60 + i, rows[i][1][30:] + say(20)) for i in range(5)]
+    rows += [(65, say(7) + passage * 2), (None, passage + say(9)), (3, rows[3][1])]
+    want = brute_repeats(rows, 100, list, bytes, True)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[1:] == want[2**63 - 1 if r.doc_id is None else r.doc_id], r.doc_id
+
+
 def test_suffix_sort_orders():
     from convlake.llm.suffix_dedup import Suffixes
 
