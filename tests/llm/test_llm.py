@@ -417,48 +417,101 @@ def test_toxicity(spark, empty):
     assert toxicity(empty, labels_df).collect() == []
 
 
-def test_toxicity_model_holds_every_term_above_its_discount(spark):
-    from convlake.llm.toxicity import fit_toxicity
+def brute_kneser_ney(train, order):
+    """log(p_toxic / p_ordinary) of a word by class-conditional Kneser-Ney over its signs, from plain counts."""
+    spelt = lambda w: ["^", *w, "$"]
+    runs = lambda s: [(tuple(s[max(0, i - order + 1) : i]), s[i]) for i in range(1, len(s))]
+    count = [Counter(), Counter()]
+    for text, toxic in train:
+        for w in text.lower().split():
+            count[toxic].update(runs(spelt(w)))
+    before = defaultdict(set)  # of a run (signs, sign) the different signs before it
+    for h, x in set(count[0]) | set(count[1]):
+        for k in range(len(h)):
+            before[h[k + 1 :], x].add(h[k])
+
+    def discount(ns):
+        once, twice = sum(n == 1 for n in ns), sum(n == 2 for n in ns)
+        return once / (once + 2 * twice) if once else 0.5
+
+    d_low = {k: discount([len(v) for (h, _), v in before.items() if len(h) == k]) for k in range(order)}
+    d = [discount(list(c.values())) for c in count]
+    follow = defaultdict(list)
+    for (h, x), v in before.items():
+        follow[h].append(len(v))
+    alphabet = len(follow[()]) + 1
+    after = [defaultdict(list), defaultdict(list)]
+    for c in (0, 1):
+        for (h, x), n in count[c].items():
+            after[c][h].append(n)
+
+    def shared(h, x):
+        p = 1 / alphabet
+        for k in range(len(h) + 1):
+            low = h[len(h) - k :]
+            if low in follow:
+                total, own = sum(follow[low]), len(before.get((low, x), ()))
+                p = (max(own - d_low[k], 0) + d_low[k] * len(follow[low]) * p) / total
+        return p
+
+    def ratio(w):
+        total = 0
+        for h, x in runs(spelt(w)):
+            p, got = shared(h[1:], x), []
+            for c in (1, 0):
+                n = after[c].get(h)
+                got.append((max(count[c][h, x] - d[c], 0) + d[c] * len(n) * p) / sum(n) if n else p)
+            total += np.log(got[0] / got[1])
+        return total
+
+    return ratio
+
+
+def test_toxicity_against_brute_force(spark):
+    from convlake.llm.toxicity import CURVE_SHARE, MARGIN, ORDER, fit_toxicity
 
-    # 80,000 pairs and as many words stand in more documents than the discounts take
-    foul, calm = [f"f{i}" for i in range(40_000)], [f"c{i}" for i in range(40_000)]
-    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
-    train = [(i, " ".join(foul), 1) for i in learnt[:8]] + [(i, " ".join(calm), 0) for i in learnt[8:18]]
     draw = random.Random(4)
-    for i in learnt[18:60]:
-        train.append((i, " ".join(draw.choices([*foul[:60], "both"], k=60) if i % 2 else draw.choices([*calm[:60], "both"], k=60)), i % 2))
-    probes = [(10_000 + k, " ".join(w[k * 700 : k * 700 + 9])) for k in range(57) for w in (foul, calm)] + [(1, None), (1, ""), (None, "both f1 f3 c2 both unknown")]
-    docs = spark.createDataFrame([r[:2] for r in train] + probes, "doc_id long, text string").repartition(5)
-    model = fit_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, toxic int"))
-
-    pairs_in = lambda t: set(zip(["", *(t or "").split()], (t or "").split()))
-    pair, word = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    for _, t, y in train:
-        for p in pairs_in(t):
-            pair[p][y] += 1
-    for p, n in pair.items():
-        for y in (0, 1):
-            word[p[1]][y] += n[y] > 0
-    size = {}
-    for level, counts, d in (("word", word, 4), ("pair", pair, 6)):
-        over = [sum(max(n[y] - d, 0) for n in counts.values()) for y in (0, 1)]
-        size[level] = (over, 1 - sum(over) / sum(map(sum, counts.values())))
-    everything = sum(map(sum, word.values())) + len(word) + 1
-
-    def ratio(p):
-        got = [(sum(word.get(p[1], (0, 0))) + 1) / everything] * 2
-        for level, n, d in (("word", word.get(p[1], (0, 0)), 4), ("pair", pair.get(p, (0, 0)), 6)):
-            over, mass = size[level]
-            got = [(1 - mass) * max(n[y] - d, 0) / max(over[y], 1) + mass * got[y] for y in (0, 1)]
-        return np.log(got[1] / got[0])
-
-    def score(t):
-        total, n = sum(map(ratio, pairs_in(t))), len((t or "").split())
-        return 1 / (1 + np.exp(-np.clip(model.curve @ [1, 100 * total / (n + 20), total / (n + 20) ** 0.5], -30, 30)))
-
-    want = sorted(score(t) for _, t in [r[:2] for r in train] + probes)
-    assert np.allclose(sorted(r.score for r in model.score(docs).collect()), want, rtol=1e-9, atol=1e-12)
-    assert sorted(str(r.text) for r in model.accepted(docs, 0.3).collect()) == sorted(str(t) for _, t in [r[:2] for r in train] + probes if score(t) < 0.3)
+    syllables = ["an", "be", "co", "du", "é", "fi", "go"]
+    plain = lambda: "".join(draw.choices(syllables, k=draw.randint(1, 4)))
+    train = []
+    for i in range(240):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            toxic = int(i % 4 == 0)
+            words = [plain() for _ in range(draw.randint(3, 60))] + ["vexo" + plain() for _ in range(3 * toxic)]
+            train.append((i, " ".join(draw.sample(words, len(words))), toxic))
+    probes = [(10_000, None), (10_001, ""), (None, "vexoan BE vexobe?"), (10_002, "unseen zzz"), (10_003, "vexoco an " * 30_000), (10_004, "an"), (10_005, "an"), (7, "an")]
+    docs = spark.createDataFrame([(*r[:2], "x") for r in train] + [(*r, "x") for r in probes], "doc_id long, text string, signs string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, toxic int")
+    ratio = brute_kneser_ney([r[1:] for r in train], ORDER)
+    memo = {}
+
+    def score(text, curve):
+        words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+        r = np.array([memo.setdefault(w, ratio(w)) if w not in memo else memo[w] for w in words])
+        signs, beyond = sum(len(w) + 1 for w in words), np.maximum(r - MARGIN, 0).sum() if words else 0.0
+        z = curve @ [1, 100 * r.sum() / (signs + 100), 100 * beyond / (signs + 100), np.log1p(beyond)]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    found = []
+    for limit in (10**6, 0):  # held by every task, and met by joins
+        model = fit_toxicity(docs, labels, limit)
+        assert (model.held is None) == (limit == 0) and CURVE_SHARE > 1
+        got = model.score(docs).collect()
+        found.append(model.curve)
+        want = sorted(((i is None, i or 0, score(t, model.curve)) for i, t in [r[:2] for r in train] + probes), key=lambda r: r[:2] + (r[2],))
+        have = sorted(((r.doc_id is None, r.doc_id or 0, r.score) for r in got), key=lambda r: r[:2] + (r[2],))
+        assert [r[:2] for r in have] == [r[:2] for r in want]
+        assert np.allclose([r[2] for r in have], [r[2] for r in want], rtol=1e-7, atol=1e-9)
+    assert np.allclose(found[0], found[1], rtol=1e-6)
+
+
+def test_toxicity_of_one_class_or_none(spark):
+    from convlake.llm.toxicity import toxicity
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", None, "", "a b"])] + [(0, "c")], "doc_id long, text string")
+    for labels, score in (([(0, 1), (3, 1)], 1.0), ([(0, 0), (3, 0)], 0.0), ([], 0.0)):
+        got = toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+        assert len(got) == 5 and {r.score for r in got} == {score} and {r.predicted for r in got} == {int(score)}
 
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
