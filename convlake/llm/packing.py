@@ -9,14 +9,15 @@ placed by best fit. Pieces get their places by their rank among the pieces of th
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,11 +26,16 @@ from .common import Scratch, ranked, spread
 
 CAPACITY = 2_048
 END = 0
-# Fixed value: how the vocabulary's byte-level pre-tokenizer parts a text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANKS = 1 << 40
-#: Pre-tokens that a task remembers the ids of (about 300 bytes each).
-REMEMBERED = 300_000
+#: Words that a task remembers the ids of (about 170 bytes each).
+REMEMBERED = 1_000_000
+# Byte-level vocabularies write these bytes as the characters of their numbers, all others in turn from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: Letters and signs are merged apart.
+LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([^\w\s\x1c-\x1f]+)")
+#: Where a blank stands between white space: such texts aren't parted at blanks.
+CLOSE_BLANKS = re.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|$)")
 
 
 def default_tokenizer() -> str:
@@ -39,28 +45,55 @@ def default_tokenizer() -> str:
 
 
 class Remembered(dict):
-    """The ids of a pre-token by the tokenizers library, asked once for each that is short.
+    """Little-endian 32-bit ids of ``lead`` and a word, by the tokenizers library, asked once for each that is short.
 
-    Merges never cross pre-tokens, so a text's ids are those of its pre-tokens in turn. When ``REMEMBERED`` are
-    held, others are encoded each time they come: the bound limits memory, not what is encoded.
+    When ``REMEMBERED`` are held, others are encoded each time they come: the bound limits memory, not what is encoded.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+    def __init__(self, tokenizer: Tokenizer, lead: str, plain: Remembered | None = None):
+        self.tokenizer, self.model, self.lead, self.plain = tokenizer, tokenizer.model, lead, self if plain is None else plain
+        others = [b for b in range(256) if b not in PLAIN]
+        self.written = {b: chr(256 + others.index(b) if b in others else b) for b in range(256)}
+
+    def __missing__(self, word: str) -> bytes:
+        cut = word.find("\n", 1)
+        if cut > 0 and not word[cut - 1].isspace() and not word[cut + 1 : cut + 2].isspace():
+            found = self[word[:cut]] + self.plain["\n"] + (self.plain[word[cut + 1 :]] if cut + 1 < len(word) else b"")
+        elif word.isalpha():  # letters, after a blank or not, are merged as one
+            raw = (self.lead + word).encode().decode("latin-1").translate(self.written)
+            ids = [t.id for t in self.model.tokenize(raw)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        elif (parts := LETTERS_THEN_SIGNS.fullmatch(word)) and parts[1].isalpha():
+            found = self[parts[1]] + self.plain[parts[2]]
+        else:
+            ids = self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < REMEMBERED and len(word) <= 64:
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[str], Iterator[int]]:
-    """A text's ids: as the library's encode of the whole text gives them."""
-    ids, parts = Remembered(path), regex.compile(PATTERN).findall
-    return lambda text: chain.from_iterable(map(ids.__getitem__, parts(text)))
+def encoder(path: str) -> Callable[[str], bytes]:
+    """A text's ids as bytes: those that the library's encode of the whole text gives.
+
+    No merge crosses a blank that follows a letter, sign or digit, so a text's ids are those of its words, each with the blank
+    before it. Other kinds of tokenizers get whole texts. A text with blanks among other white space, or with the string of a special token, is so too.
+    """
+    tokenizer = Tokenizer.from_file(path)
+    parts = json.loads(tokenizer.to_str())
+    by_words = parts["normalizer"] is None and parts["model"]["type"] == "BPE" and parts["pre_tokenizer"] == BYTE_LEVEL
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    plain = Remembered(tokenizer, "")
+    after_blank = Remembered(tokenizer, " ", plain)
+
+    def encode(text: str) -> bytes:
+        if not by_words or CLOSE_BLANKS.search(text) or any(s in text for s in special):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = text.split(" ")
+        return plain[first] + b"".join(map(after_blank.__getitem__, rest))
+
+    return encode
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -75,7 +108,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
+                ids = np.frombuffer(encode(text.as_py() or "") + END.to_bytes(4, "little"), "<u4")
                 first = len(ids) % capacity or min(capacity, len(ids))
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

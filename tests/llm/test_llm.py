@@ -361,6 +361,23 @@ def test_plan_fits_and_uses_every_piece():
         assert len(filled) <= -(-sum(k * v for k, v in counts.items()) // capacity) * 1.1 + 2
 
 
+def test_encoder_gives_the_library_s_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from convlake.llm.packing import encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode, draw = Tokenizer.from_file(path), encoder(path), random.Random(8)
+    signs = [*"  \n\t\r.,'-_09aZ", "the", "The", "'s", "'ll", "é", "ß", "漢字", "½", "²", "Ⅷ", "e\u0301", "\u00a0", "\u2003", "\x1c", "\x85", "\u200d", "😀", "\x00"]
+    texts = ["", " ", "  ", "a  b", "a   b", "\n \nb", "a <|endoftext|> b", "<|endoftext|>", "x" * 5_000, "one two.\nThree\n\nfour \n five "]
+    texts += ["".join(draw.choices(signs, k=draw.randint(1, 40))) for _ in range(6_000)]
+    texts += [" ".join("".join(draw.choices(signs[5:], k=draw.randint(1, 4))) for _ in range(30)) for _ in range(1_000)]
+    for text in texts:
+        assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -368,7 +385,6 @@ def test_packing(docs, empty):
     from convlake.llm.packing import pack, packed_sequences
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for r in rows_of():
         ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]
