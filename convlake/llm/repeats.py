@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import Scratch
 #: Odd multipliers of the polynomial hashes, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BLOCK = 1 << 18
-#: An anchor with more classes has its windows dealt out one by one, by their contents.
+#: An anchor with more classes is hot: the callers may not gather its segments in one task.
 HOT_CLASSES = 256
 U = np.uint64
 
@@ -93,7 +94,7 @@ class Units:
     def kept(self, parts, removed: np.ndarray) -> bytes:
         if self.kind == "bytes":
             return np.frombuffer(parts, np.uint8)[~removed].tobytes()
-        return b" ".join([w for w, r in zip(parts, removed.tolist(), strict=True) if not r])
+        return b" ".join(compress(parts, (~removed).tolist()))
 
 
 @dataclass(frozen=True)
@@ -135,45 +136,39 @@ def anchor_runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return out[0], out[1], out[2]
 
 
-def anchors(numbers: np.ndarray, s: Search, full: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """By blocks: anchor hash; if full also segment hash and place (first start, length and anchor in one number)."""
+def anchors(numbers: np.ndarray, s: Search) -> Iterator[tuple[np.ndarray, ...]]:
+    """By blocks: anchor hash, segment hash and place (first start, length and anchor in one number)."""
     for block in range(0, max(len(numbers) - s.window + 1, 0), BLOCK):
         part = numbers[block : block + BLOCK + s.window - 1]
         hashes = PrefixHashes(part)
         grams = (hashes.sums[s.gram :] - hashes.sums[: -s.gram]) * hashes.powers.down[: len(part) - s.gram + 1]
         first, last, place = anchor_runs(grams, s.window - s.gram + 1)
-        if not full:
-            yield (grams[place].view(np.int64),)
-            continue
         stop = last + s.window
         whole = mix(PrefixHashes(part, 1).of(first, stop) + (place - first).astype(U) * U(31) + (stop - first).astype(U))
         yield grams[place].view(np.int64), whole.view(np.int64), (first + block) << 24 | (stop - first) << 12 | (place - first)
 
 
-def _rows(s: Search, full: bool) -> Callable:
+def _rows(s: Search) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(s.kind)
         for batch in batches:
             found, docs, size = [], [], 0
             for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for got in anchors(units.numbers(units.split(text.as_py())), s, full):
+                for got in anchors(units.numbers(units.split(text.as_py())), s):
                     found.append(got)
                     docs.append((doc, th, len(got[0])))
                     size += len(got[0])
                 if size > 200_000:
-                    yield _batch(found, docs, full)
+                    yield _batch(found, docs)
                     found, docs, size = [], [], 0
             if size:
-                yield _batch(found, docs, full)
+                yield _batch(found, docs)
 
     return run
 
 
-def _batch(found: list, docs: list, full: bool) -> pa.RecordBatch:
+def _batch(found: list, docs: list) -> pa.RecordBatch:
     columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-    if not full:
-        m, n = np.unique(columns[0], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(m), pa.array(n)], ["m", "n"])
     times = np.array([n for _, _, n in docs])
     doc, th = (np.repeat(np.array([d[k] for d in docs], np.int64), times) for k in (0, 1))
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (columns[0], columns[1], doc, th.astype(np.int32), columns[2])], ["m", "sh", "doc", "th", "place"])
@@ -186,12 +181,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame, s: Search, scratch: Scratch) -> DataFrame:
     """By row (doc, th): list of (kind, m, at, n, p, hot): 0 for a segment that goes as a whole, 1 for one to compare."""
-    source = docs.select("doc", "th", "text")
-    counts = source.mapInArrow(_rows(s, False), "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
-    repeated = scratch.save(counts.where("n > 1").select("m"), "repeated")
-    rows = source.mapInArrow(_rows(s, True), "m long, sh long, doc long, th int, place long")
+    rows = scratch.save(docs.select("doc", "th", "text").mapInArrow(_rows(s), "m long, sh long, doc long, th int, place long"), "anchors")
+    repeated = scratch.save(rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"), "repeated")
     hits = scratch.save(rows.hint("merge").join(repeated, "m", "left_semi"), "hits")
-    scratch.drop("repeated")
+    scratch.drop("anchors", "repeated")
     order = F.struct("doc", "th", "place") if s.within else F.struct("doc")
     classes = scratch.save(hits.groupBy("m", "sh").agg(F.min(order).alias("first"), F.count("*").alias("c")), "classes")
     shared = scratch.save(classes.groupBy("m").agg(F.count("*").alias("k"), F.sum("c").alias("c")).where("k > 1").select("m", (F.col("k") > HOT_CLASSES).alias("hot")), "shared")
@@ -220,6 +213,8 @@ def removed_units(n: int, spans: np.ndarray) -> np.ndarray:
 
 
 def verdict(units: Units, parts, spans: np.ndarray) -> tuple[int, int, int, str]:
+    if not len(spans):
+        return len(parts), 0, 0, hashlib.sha256(parts if units.kind == "bytes" else b" ".join(parts)).hexdigest()
     gone = removed_units(len(parts), spans)
     runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     return len(parts), int(gone.sum()), runs, hashlib.sha256(units.kept(parts, gone)).hexdigest()
@@ -239,19 +234,23 @@ def _judge(s: Search) -> Callable:
                 for c in names:
                     out[c].append(row.get(c))
 
-            for doc_id, doc, th, text, found in zip(*[batch.column(c) for c in ("doc_id", "doc", "th", "text", "marks")], strict=True):
-                doc_id, doc, th, text, found = doc_id.as_py(), doc.as_py(), th.as_py(), text.as_py(), found.as_py() or []
+            marks = batch.column("marks")
+            edge, (kind, m, at, n, p, hot) = marks.offsets.to_numpy(), (marks.values.field(c) for c in ("kind", "m", "at", "n", "p", "hot"))
+            kind, at, n = (x.to_numpy() for x in (kind, at, n))
+            for k, (doc_id, doc, th, text) in enumerate(zip(*[batch.column(c) for c in ("doc_id", "doc", "th", "text")], strict=True)):
+                doc_id, doc, th, text, own = doc_id.as_py(), doc.as_py(), th.as_py(), text.as_py(), slice(edge[k], edge[k + 1])
                 parts = units.split(text)
-                spans = np.array([(f["at"], f["at"] + f["n"]) for f in found if f["kind"] == 0], np.int64).reshape(-1, 2)
-                todo = [f for f in found if f["kind"] == 1]
+                whole = np.flatnonzero(kind[own] == 0) + edge[k]
+                spans = np.stack([at[whole], at[whole] + n[whole]], axis=1).astype(np.int64)
+                todo = (np.flatnonzero(kind[own] == 1) + edge[k]).tolist()
                 if not todo:
                     a, b, c, d = verdict(units, parts, spans)
                     put(part=0, doc_id=doc_id, n_units=a, n_removed=b, n_spans=c, kept_sha256=d)
                     continue
                 put(part=1, doc_id=doc_id, doc=doc, th=th, text=text, gone=spans.reshape(-1).tolist())
                 body = np.frombuffer(parts, np.uint8) if s.kind == "bytes" else units.numbers(parts)
-                for f in todo:
-                    put(part=2, doc=doc, th=th, m=f["m"], at=f["at"], p=f["p"], hot=f["hot"], body=body[f["at"] : f["at"] + f["n"]].tobytes())
+                for i in todo:
+                    put(part=2, doc=doc, th=th, m=m[i].as_py(), at=int(at[i]), p=p[i].as_py(), hot=hot[i].as_py(), body=body[at[i] : at[i] + n[i]].tobytes())
             yield pa.RecordBatch.from_pydict(out, kinds)
 
     return run

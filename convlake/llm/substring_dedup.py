@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .repeats import PrefixHashes, Search, mix, remove_repeats
 
-WINDOW, GRAM = 50, 26
+WINDOW, GRAM = 50, 14
 
 
 def _windows(window: int):

@@ -4,8 +4,9 @@ A byte goes if a 100-byte string that covers it also starts earlier (a smaller d
 strings that can repeat but for those settled as wholes (see repeats.py) are dealt out by their anchors; there the
 suffixes that start them are sorted by mergesort. A comparison finds the common extension of two suffixes by
 binary search over prefix polynomial hashes, and the byte after it decides. Neighbours that share 100 bytes are equal
-strings, which is verified byte by byte; all but the earliest of a run of neighbours go. Strings with hot anchors
-aren't sorted: of those with equal bytes all but the earliest go at once, by an aggregate and a join in Spark.
+strings, which is verified byte by byte; all but the earliest of a run of neighbours go. Segments of a hot anchor are
+sorted slice by slice as they lie, and of each slice only the earliest of equal strings, dealt out by their contents, are sorted against
+the other slices' in a second round: no task gathers an anchor, and a string comes at most once a slice.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .repeats import PrefixHashes, Search, Units, remove_repeats
+from .repeats import PrefixHashes, Search, Units, mix, remove_repeats
 
-WINDOW, GRAM = 100, 36
-#: So many segments are sorted at once, and whole groups always.
+WINDOW, GRAM = 100, 24
+#: So many segments are sorted at once; whole groups of anchors that aren't hot always.
 CHUNK = 8_000
+#: About so many strings of hot anchors go to one bucket.
+BUCKET = 200_000
 
 
 class Suffixes:
@@ -89,68 +92,124 @@ class Suffixes:
         return order
 
 
-def spans_of(rows: list[tuple], window: int) -> tuple[list[np.ndarray], int]:
-    """Spans that go, of segments (group, doc, th, at, p, body) of whole groups: arrays doc, th, a, b."""
-    group, doc, th, at, p = (np.array(c, np.int64) for c in zip(*[r[:5] for r in rows], strict=True))
-    lengths = np.array([len(r[5]) for r in rows])
-    text = np.frombuffer(b"".join(r[5] for r in rows) + bytes(window), np.uint8)
-    first, many = np.cumsum(lengths) - lengths, lengths - window + 1
-    of = np.repeat(np.arange(len(rows)), many)
-    inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    # equal strings have their anchors at equal places, so each such place is a group of its own
-    back = p[of] - inside
-    _, number = np.unique(group, return_inverse=True)
-    key = number[of] * (1 << 20) + back + (1 << 19)
-    by = np.lexsort((at[of] + inside, th[of], doc[of], key))
-    of, inside, key = of[by], inside[by], key[by]
-    twice = np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, bool)
-    twice |= np.append(twice[1:], False)
-    of, inside, key = of[twice], inside[twice], key[twice]
+def later(key: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, text: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """Which strings (``window`` bytes of ``text`` from ``start``) of a group ``key`` also start earlier, by (doc, th, at)."""
+    out = np.zeros(len(key), bool)
+    by = np.lexsort((at, th, doc, key))
+    twice = np.concatenate([[False], key[by[1:]] == key[by[:-1]]]) if len(by) else np.zeros(0, bool)
+    by = by[twice | np.append(twice[1:], False)] if len(by) else by
+    key, doc, th, at, start = key[by], doc[by], th[by], at[by], start[by]
     suffixes = Suffixes(text, window)
-    start = first[of] + inside
     order = suffixes.merge_sort(key, start)  # stable, so equal strings stay in the documents' order
     same = np.zeros(len(order), bool)
     same[1:] = (key[order[1:]] == key[order[:-1]]) if len(order) else same[1:]
     k = np.flatnonzero(same)
     same[k] = suffixes.same(start[order[k - 1]], start[order[k]])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-    earliest, mine = of[order[head]], of[order]
-    gone = order[same & ((doc[earliest] != doc[mine]) | (th[earliest] != th[mine]) | (at[earliest] + inside[order[head]] != at[mine] + inside[order]))]
-    of, inside = of[gone], inside[gone]
-    by = np.lexsort((inside, of))
-    of, inside = of[by], inside[by]
-    fresh = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1)])) if len(of) else np.zeros(0, int)
-    last = np.append(fresh[1:], len(of)) - 1 if len(of) else fresh
-    a, b = at[of[fresh]] + inside[fresh], at[of[last]] + inside[last] + window
-    return [doc[of[fresh]], th[of[fresh]].astype(np.int32), a.astype(np.int32), b.astype(np.int32)], len(fresh)
+    first = order[head]
+    out[by[order[same & ((doc[first] != doc[order]) | (th[first] != th[order]) | (at[first] != at[order]))]]] = True
+    return out
 
 
-def _windows(window: int):
-    """All windows of segments (doc, th, at, body), each with its place and bytes."""
+class Strings:
+    """All strings of segments (group, doc, th, at, p, body), in the segments' order."""
+
+    def __init__(self, rows: list[tuple], window: int):
+        group, doc, th, at, p = (np.array(c, np.int64) for c in zip(*[r[:5] for r in rows], strict=True))
+        lengths = np.array([len(r[5]) for r in rows])
+        self.text = np.frombuffer(b"".join(r[5] for r in rows) + bytes(window), np.uint8)
+        many = lengths - window + 1
+        self.of = np.repeat(np.arange(len(rows)), many)
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.start, self.at = (np.cumsum(lengths) - lengths)[self.of] + inside, at[self.of] + inside
+        self.doc, self.th, self.window = doc[self.of], th[self.of], window
+        # equal strings have their anchors at equal places, so each such place is a group of its own
+        _, number = np.unique(group, return_inverse=True)
+        self.gone = later(number[self.of] * (1 << 20) + p[self.of] - inside + (1 << 19), self.doc, self.th, self.at, self.text, self.start, window)
+
+    def spans(self) -> list[np.ndarray]:
+        """doc, th, a, b of what goes; neighbours in a segment are one span."""
+        k = np.flatnonzero(self.gone)
+        fresh = np.concatenate([[True], (self.of[k[1:]] != self.of[k[:-1]]) | (k[1:] != k[:-1] + 1)]) if len(k) else np.zeros(0, bool)
+        first, last = k[fresh], k[np.append(fresh[1:], True)] if len(k) else k
+        return [self.doc[first], self.th[first].astype(np.int32), self.at[first].astype(np.int32), (self.at[last] + self.window).astype(np.int32)]
+
+
+def place_of(window: int) -> np.dtype:
+    return np.dtype([("doc", "<i8"), ("th", "<i4"), ("at", "<i4"), ("text", "u1", (window,))])
+
+
+def _slices(window: int, buckets: int):
+    """Of slices of segments what goes, as spans, and the strings that stay, packed by bucket of their contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        names = ["doc", "th", "a", "b", "bucket", "strings"]
+
+        def done() -> Iterator[pa.RecordBatch]:
+            strings = Strings(held, window)
+            spans = [pa.array(c) for c in strings.spans()]
+            yield pa.RecordBatch.from_arrays([*spans, pa.nulls(len(spans[0]), pa.int32()), pa.nulls(len(spans[0]), pa.binary())], names)
+            stay = np.flatnonzero(~strings.gone)
+            start = strings.start[stay]
+            bucket = (mix(PrefixHashes(Units("bytes").byte[strings.text]).of(start, start + window)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.zeros(len(stay), place_of(window))
+            for name in ("doc", "th", "at"):
+                packed[name] = getattr(strings, name)[stay[order]]
+            packed["text"] = np.lib.stride_tricks.sliding_window_view(strings.text, window)[start[order]]
+            found, edge = np.unique(bucket[order], return_index=True)
+            blobs = [packed[a:b].tobytes() for a, b in zip(edge, np.append(edge, len(stay))[1:], strict=True)]
+            none = [pa.nulls(len(found), k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
+
         for batch in batches:
-            for doc, th, at, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), window)
-                many = len(every)
-                edges = np.arange(0, (many + 1) * window, window, dtype=np.int32)
-                found = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(edges), pa.py_buffer(every.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, doc, np.int64)), pa.array(np.full(many, th, np.int32)), pa.array(np.arange(at, at + many, dtype=np.int32)), found], ["doc", "th", "at", "body"])
+            for row in zip(*[batch.column(c).to_pylist() for c in ("g", "doc", "th", "at", "p", "body")], strict=True):
+                held.append(row)
+                if len(held) >= CHUNK // 2:
+                    yield from done()
+                    held = []
+        if held:
+            yield from done()
 
     return run
 
 
-def later_windows(segments: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """Spans of all windows but the earliest of each content, by the bytes themselves.
+def _between_slices(window: int):
+    """From (bucket, strings), whole buckets together: spans of strings that another slice has earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            x = np.frombuffer(b"".join(held), place_of(window))
+            text, start = np.ascontiguousarray(x["text"]).reshape(-1), np.arange(len(x)) * window
+            text = np.concatenate([text, np.zeros(window, np.uint8)])
+            key = PrefixHashes(Units("bytes").byte[text]).of(start, start + window).view(np.int64)
+            x = x[later(key, *[x[c].astype(np.int64) for c in ("doc", "th", "at")], text, start, window)]
+            x = np.sort(x[["doc", "th", "at"]], order=["doc", "th", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["th"]), pa.array(x["at"]), pa.array(x["at"] + np.int32(window))], ["doc", "th", "a", "b"])
+
+        for batch in batches:
+            for bucket, strings in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != at and held:
+                    yield done()
+                    held = []
+                at = bucket
+                held.append(strings)
+        if held:
+            yield done()
+
+    return run
+
 
-    The earliest are found by an aggregate that starts before the shuffle, and met by a merge join whose hot contents
-    AQE splits, so that no task gathers a content's rows. What stays differs, window by window, and needs no sort.
-    """
-    windows = segments.select("doc", "th", "at", "body").mapInArrow(_windows(window), "doc long, th int, at int, body binary")
-    place = F.struct("doc", "th", "at")
-    first = scratch.save(windows.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "earliest")
-    later = windows.join(first.hint("merge"), "body").where(place > F.col("first"))
-    return later.select("doc", "th", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+def sort_hot(segments: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """Spans of hot segments (g, doc, th, at, p, body), in two rounds of suffix sorts."""
+    buckets = max(1, segments.count() * window // BUCKET)
+    slices = segments.mapInArrow(_slices(window, buckets), "doc long, th int, a int, b int, bucket int, strings binary")
+    slices = scratch.save(slices, "slices")
+    rest = slices.where("bucket is not null").select("bucket", "strings").repartition("bucket").sortWithinPartitions("bucket")
+    return slices.where("bucket is null").select("doc", "th", "a", "b").unionByName(rest.mapInArrow(_between_slices(window), "doc long, th int, a int, b int"))
 
 
 def _sort(window: int):
@@ -158,8 +217,7 @@ def _sort(window: int):
         held: list[tuple] = []
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            columns, _ = spans_of(rows, window)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "th", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in Strings(rows, window).spans()], ["doc", "th", "a", "b"])
 
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("g", "doc", "th", "at", "p", "body")], strict=True):
@@ -175,10 +233,10 @@ def _sort(window: int):
 
 def sort_suffixes(window: int):
     def compare(segments: DataFrame, scratch: Scratch) -> DataFrame:
-        cold = segments.where("not hot").select(F.col("m").alias("g"), "doc", "th", "at", "p", "body")
-        met = cold.repartition("g").sortWithinPartitions("g")
+        named = segments.select(F.col("m").alias("g"), "doc", "th", "at", "p", "body", "hot")
+        met = named.where("not hot").drop("hot").repartition("g").sortWithinPartitions("g")
         sorted_ = met.mapInArrow(_sort(window), "doc long, th int, a int, b int")
-        return scratch.save(sorted_.unionByName(later_windows(segments.where("hot"), window, scratch)), "spans")
+        return scratch.save(sorted_.unionByName(sort_hot(named.where("hot").drop("hot"), window, scratch)), "spans")
 
     return compare
 

@@ -327,6 +327,28 @@ def test_suffix_sort_gets_no_hot_group(spark, monkeypatch):
         assert tuple(r)[1:] == want[2**63 - 1 if r.doc_id is None else r.doc_id], r.doc_id
 
 
+def test_one_line_in_many_contexts(spark, monkeypatch):
+    from convlake.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 400)  # many slices
+    made, hot = [], suffix_dedup.sort_hot
+
+    def counted(segments, window, scratch):
+        found = scratch.save(hot(segments, window, scratch), "counted")
+        made.append((segments.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "sort_hot", counted)
+    draw = random.Random(2)
+    say = lambda k: "".join(draw.choices("abcdefgh ", k=k))
+    line = say(160)
+    rows = [(i, say(40) + line + say(40)) for i in range(1_500)]
+    want = brute_repeats(rows, 100, list, bytes, True)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == [want[i] for i in range(1_500)]
+    assert made[0][0] > 1_000 and made[0][1] < 3 * made[0][0], "a segment gives about a span, not one for each string"
+
+
 def test_suffix_sort_orders():
     from convlake.llm.suffix_dedup import Suffixes
 
