@@ -189,14 +189,18 @@ def k16_assert_coverage(s, d):
 # --- ledgers
 
 
-@query(f"WITH a AS ({ATTEMPTS}) SELECT target, arg_max(reason, id) IS NOT DISTINCT FROM 'refusal' AND arg_max(kind, id) = 'fail' OR count(*) FILTER (kind = 'fail' AND id >= 90) >= 2 AS blocked FROM a GROUP BY 1")
+@query("""WITH a AS (SELECT user_id::VARCHAR AS session_id, event_id AS id, event_type AS target, CASE WHEN event_id % 3 = 0 THEN 'refusal' ELSE 'retry' END AS outcome, event_id // 200 AS messages FROM events),
+n AS (SELECT session_id, max(id) // 200 AS now, arg_max(outcome, id) AS last FROM a GROUP BY 1)
+SELECT session_id, target, bool_or(last = 'refusal') OR count(*) FILTER (messages = now) >= 2 AS blocked FROM a JOIN n USING (session_id) GROUP BY 1, 2""")
 def f6_blocked(s, d):
-    return K.blocked(attempts(s, d), 90, 2)
+    tried = S.table(s, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), F.col("event_type").alias("target"), F.when(F.col("event_id") % 3 == 0, "refusal").otherwise("retry").alias("outcome"), F.floor(F.col("event_id") / 200).cast("long").alias("messages"))
+    lengths = tried.groupBy("session_id").agg(F.max("messages").alias("messages"))
+    return K.blocked(tried, lengths, 2)
 
 
-@query(f"WITH a AS ({ATTEMPTS}) SELECT target, count(*) AS failures FROM a WHERE kind = 'fail' GROUP BY 1 HAVING count(*) >= 5")
+@query(f"WITH a AS ({ATTEMPTS}) SELECT target, count(*) AS failures, count(DISTINCT id % 5) AS shapes FROM a WHERE kind = 'fail' GROUP BY 1 HAVING count(*) >= 5 OR count(DISTINCT id % 5) >= 3")
 def f7_quarantine(s, d):
-    return K.quarantine(attempts(s, d), 5)
+    return K.quarantine(attempts(s, d).withColumn("request", F.col("id") % 5), 5)
 
 
 @query("SELECT user_id AS target, event_id AS id, CASE WHEN event_id % 7 <> 0 THEN 'mint' ELSE 'fail' END AS kind, CASE WHEN event_id % 7 = 0 THEN 'stale' END AS reason FROM events")
@@ -303,3 +307,10 @@ def f9_clear_debt(s, d):
 def f11_last_prompt(s, d):
     usage = S.table(s, d, "events").where("event_type = 'view'").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), F.ceil("value").cast("long").alias("tokens"))
     return K.last_prompt(usage)
+
+
+@query("WITH u AS (SELECT user_id::VARCHAR AS session_id, event_id AS id FROM events WHERE event_type = 'view'), c AS (SELECT user_id::VARCHAR AS session_id, max(event_id) AS c FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT u.session_id, u.id FROM u JOIN c USING (session_id) WHERE u.id >= c.c")
+def f11_unlearnt(s, d):
+    e = S.table(s, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), "event_type")
+    compiles = e.where("event_type = 'purchase'").select("session_id", F.col("id").alias("compile_id"))
+    return K.unlearnt(e.where("event_type = 'view'").drop("event_type"), compiles)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,44 +37,54 @@ def tail_start(priced: DataFrame, limit: int) -> DataFrame:
     return found.select("session_id", F.coalesce(F.col("x.id") + 1 - F.coalesce(F.col("x.answer"), F.lit(False)).cast("int"), F.lit(0)).alias("tail_start"))
 
 
-def raw_zone(chunks: DataFrame, head: int, tail_tokens: int) -> DataFrame:
-    """Chunks shown raw: the first ``head``, and the newest until the tail budget is used."""
+def raw_zone(chunks: DataFrame, head: int, tail_tokens: int, pinned: DataFrame | None = None) -> DataFrame:
+    """Chunks shown raw: the first ``head``, the newest until the tail budget is used, and pinned ones (session_id, chunk_id)."""
     by = Window.partitionBy("session_id").orderBy("chunk_id")
     newer = F.sum("raw").over(Window.partitionBy("session_id").orderBy(F.col("chunk_id").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    return chunks.withColumn("k", F.row_number().over(by)).withColumn("newer", F.coalesce(newer, F.lit(0))).where((F.col("k") <= head) | (F.col("newer") < tail_tokens)).drop("k", "newer")
+    rows = chunks.withColumn("k", F.row_number().over(by)).withColumn("newer", F.coalesce(newer, F.lit(0)))
+    held = (F.col("k") <= head) | (F.col("newer") < tail_tokens)
+    if pinned is not None:
+        rows = rows.join(pinned.select("session_id", "chunk_id", F.lit(True).alias("_p")).distinct().hint("merge"), ["session_id", "chunk_id"], "left")
+        held |= F.col("_p").isNotNull()
+    return rows.where(held).select(*chunks.columns)
 
 
 def chunk_of(priced: DataFrame, target: int, least: int) -> DataFrame:
-    """Each message of a closed chunk with its chunk_id. A run closes at ``target`` tokens over at least ``least``
-    messages and not on a tool call; the last run stays open.
+    """Each message (session_id, id, tokens) with its chunk_id, and whether it closes it. A run closes at ``target`` tokens over
+    at least ``least`` messages and not on a tool call; the last run stays open, and no message closes it.
 
-    The state of the fold is the open run's size and the closing ids only. Sessions too long for an array go
-    through streaming.close_chunks, which gives the same chunks.
+    Sessions are streamed in order of their ids; the state is the open run's size, however long a session is.
     """
-    items = F.array_sort(F.collect_list(F.struct("id", "tokens", "tool_use")))
-    start = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("cuts"))
-
-    def step(s, m):
-        t, n = s["t"] + m["tokens"], s["n"] + 1
-        done = (t >= target) & (n >= least) & ~m["tool_use"]
-        return F.struct(F.when(done, 0).otherwise(t).cast("long").alias("t"), F.when(done, 0).otherwise(n).alias("n"), F.when(done, F.array_append(s["cuts"], m["id"])).otherwise(s["cuts"]).alias("cuts"))
 
-    cuts = priced.groupBy("session_id").agg(items.alias("items")).select("session_id", F.posexplode(F.aggregate("items", start, step, lambda s: s["cuts"])).alias("chunk_id", "last"))
-    first = F.coalesce(F.lag("last").over(Window.partitionBy("session_id").orderBy("chunk_id")) + 1, F.lit(0))
-    return cuts.withColumn("first", first).select("session_id", F.col("chunk_id").cast("long").alias("chunk_id"), "first", "last")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, t, n = None, 0, 0, 0
+        for batch in batches:
+            chunks, closes = [], []
+            for session, tokens, call in zip(*[batch.column(c).to_pylist() for c in ("session_id", "tokens", "tool_use")], strict=True):
+                if session != at:
+                    at, chunk, t, n = session, 0, 0, 0
+                t, n = t + tokens, n + 1
+                done = t >= target and n >= least and not call
+                chunks.append(chunk)
+                closes.append(done)
+                if done:
+                    chunk, t, n = chunk + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("session_id", "id", "tokens")], pa.array(chunks, pa.int64()), pa.array(closes, pa.bool_())], ["session_id", "id", "tokens", "chunk_id", "closes"])
+
+    rows = priced.select("session_id", "id", F.col("tokens").cast("long"), "tool_use").repartition("session_id").sortWithinPartitions("session_id", "id")
+    return rows.mapInArrow(run, "session_id string, id long, tokens long, chunk_id long, closes boolean")
 
 
 def close_chunks(priced: DataFrame, target: int, least: int) -> DataFrame:
     """chunks(session_id, chunk_id, first, last, raw)."""
-    spans = chunk_of(priced, target, least)
-    owned = priced.join(spans, "session_id").where(F.col("id").between(F.col("first"), F.col("last")))
-    return owned.groupBy("session_id", "chunk_id", "first", "last").agg(F.sum("tokens").alias("raw"))
+    sized = chunk_of(priced, target, least).groupBy("session_id", "chunk_id").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("tokens").alias("raw"), F.bool_or("closes").alias("_c"))
+    return sized.where("_c").drop("_c")
 
 
 def owner_of(log: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunk that holds each message: spans exploded to an equi-join."""
     ids = chunks.select("session_id", "chunk_id", F.explode(F.sequence("first", "last")).alias("id"))
-    return log.join(ids.hint("merge"), ["session_id", "id"], "left")
+    return log.join(ids.hint("merge"), ["session_id", "id"], "left")  # ids are unique, so the join makes no more rows
 
 
 def open_start(log: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 # Fixed values of the rules.
 ACTIONS = {"refusal": "retry", "empty": "retry", "truncated": "retry", "tool_call": "retry", "overflow": "shrink", "provider_error": "transient"}
 ALPHA, LOW, HIGH = 0.2, 0.6, 1.8
+MAX_ATTEMPTS, PROVIDER_STREAK = 3, 12
 DAY = 86_400_000_000
 
 
@@ -36,30 +37,49 @@ def ledger(attempts: DataFrame) -> DataFrame:
     )
 
 
-def stalled(ledgers: DataFrame, attempts: int = 3, streak: int = 5) -> DataFrame:
+def stalled(ledgers: DataFrame, attempts: int = MAX_ATTEMPTS, streak: int = PROVIDER_STREAK) -> DataFrame:
     return ledgers.where(~F.col("cleared") & ((F.col("attempts") >= attempts) | (F.col("streak") >= streak)))
 
 
-def policy(ledgers: DataFrame) -> DataFrame:
-    """What to do about a target's last reason."""
+def policy(ledgers: DataFrame, attempts: int = MAX_ATTEMPTS, streak: int = PROVIDER_STREAK) -> DataFrame:
+    """What to do about a target's last reason: a provider's fault passes while its streak is short, else a target out of
+    attempts is terminal, else the reason's action counts; none for a target that hasn't failed or is only stale."""
     table = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
-    return ledgers.withColumn("action", F.coalesce(table[F.col("last")], F.lit("none")))
+    passing = (F.col("last") == "provider_error") & (F.col("streak") < streak)
+    spent = F.col("last").isNotNull() & (F.col("attempts") >= attempts)
+    return ledgers.withColumn("action", F.when(passing, "transient").when(spent, "terminal").otherwise(F.coalesce(table[F.col("last")], F.lit("none"))))
+
+
+def samples(usage: DataFrame) -> DataFrame:
+    """Ratios (session_id, id, r) to learn from, of rows (session_id, id, armed, reported): a compile arms the tokens it
+    rendered, and only the next positive report after it is held against them."""
+    valid = F.col("armed").isNotNull() | (F.col("reported") > 0) & (F.abs("reported") < F.lit(float("inf")))
+    by = Window.partitionBy("session_id").orderBy("id")
+    rows = usage.where(valid).withColumn("_a", F.lag("armed").over(by)).where(F.col("armed").isNull() & (F.col("_a") > 0))
+    return rows.select("session_id", "id", (F.col("reported") / F.col("_a")).alias("r"))
 
 
 def calibrate(usage: DataFrame) -> DataFrame:
-    """Per session: the multiplier after moving averages of reported / estimated; ratios outside the band are ignored."""
-    ratio = F.col("reported") / F.col("estimate")
-    rows = usage.where(F.col("estimate") > 0).withColumn("r", ratio).where(F.col("r").between(LOW, HIGH))
+    """Per session: the multiplier after its samples in order. An estimate already holds the multiplier m, so a ratio r
+    moves m towards r * m; ratios outside the band are ignored. A sample is 16 bytes, one a compile."""
     items = F.array_sort(F.collect_list(F.struct("id", "r")))
-    step = lambda m, x: F.least(F.lit(HIGH), F.greatest(F.lit(LOW), m * (1 - ALPHA) + x["r"] * ALPHA))
-    return rows.groupBy("session_id").agg(F.aggregate(items, F.lit(1.0), step).alias("multiplier"), F.count("*").alias("samples"))
+    step = lambda m, x: F.least(F.lit(HIGH), F.greatest(F.lit(LOW), m + ALPHA * (x["r"] * m - m)))
+    return samples(usage).where(F.col("r").between(LOW, HIGH)).groupBy("session_id").agg(F.aggregate(items, F.lit(1.0), step).alias("multiplier"), F.count("*").alias("samples"))
 
 
 def rate_limit(posts: DataFrame, per_day: Column) -> DataFrame:
-    """Posts by a session in a channel in the trailing day, and how many the cap leaves."""
-    window = Window.partitionBy("channel", "session_id").orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-DAY, 0)
-    used = F.count("*").over(window)
-    return posts.withColumn("used", used).withColumn("remaining", F.greatest(F.lit(0), per_day - F.col("used")))
+    """Posts by a session in a channel in the trailing day, how many the cap leaves, and when the next is free: now, or a day
+    after the post that holds the oldest place of the cap (its ``per_day``-th from the newest)."""
+    each = Window.partitionBy("channel", "session_id")
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    window = each.orderBy(micros).rangeBetween(-DAY, 0)
+    rows = posts.withColumns({"used": F.count("*").over(window), "_m": micros, "_cap": per_day, "_k": F.row_number().over(each.orderBy(micros, "event_id"))})
+    last = F.max("_k").over(each.orderBy(micros).rangeBetween(0, 0))  # posts of one instant count together
+    rows = rows.withColumn("_at", F.greatest(F.lit(1), last - F.col("_cap") + 1))
+    places = posts.select("channel", "session_id", F.row_number().over(each.orderBy(micros, "event_id")).alias("_at"), F.col("at").alias("_held"))
+    met = rows.join(places.hint("merge"), ["channel", "session_id", "_at"], "left")
+    free = F.when((F.col("used") < F.col("_cap")) | (F.col("_cap") <= 0), F.when(F.col("_cap") > 0, F.col("at"))).otherwise(F.col("_held") + F.expr("interval 1 day"))
+    return met.withColumn("remaining", F.greatest(F.lit(0), F.col("_cap") - F.col("used"))).withColumn("next_free", free).drop("_m", "_cap", "_k", "_at", "_held")
 
 
 def fan_out(posts: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 from .chunking import owner_of
 
+# Fixed values of the rules: statuses worth another try, other names of a good end, failed shapes that end a chunk's tries.
 RETRYABLE = [408, 429]
+ENDS = {"stop": "end_turn", "length": "max_tokens", "tool_calls": "tool_use", "content_filter": "refusal"}
+SHAPES = 3
 
 
 def chunk_spans(chunks: DataFrame) -> DataFrame:
@@ -92,16 +95,21 @@ def uncovered(chunks: DataFrame, shown: DataFrame) -> DataFrame:
     return chunks.join(held.hint("merge"), ["session_id", "chunk_id"], "left_anti").select("session_id", "chunk_id")
 
 
-def blocked(attempts: DataFrame, since: int, limit: int) -> DataFrame:
-    """A target waits if its last attempt was a refusal, or it failed ``limit`` times since the log last grew."""
-    last = F.max_by(F.struct("kind", "reason"), "id")
-    rows = attempts.groupBy("target").agg(last.alias("l"), F.count_if((F.col("kind") == "fail") & (F.col("id") >= since)).alias("n"))
-    refused = (F.col("l.kind") == "fail") & F.col("l.reason").eqNullSafe(F.lit("refusal"))
-    return rows.select("target", (refused | (F.col("n") >= limit)).alias("blocked"))
+def blocked(attempts: DataFrame, lengths: DataFrame, limit: int) -> DataFrame:
+    """Targets of attempts (session_id, id, target, outcome, messages) that wait: all of a session whose last attempt was a
+    refusal, and one that was tried ``limit`` times at the log's present length (session_id, messages)."""
+    by = Window.partitionBy("session_id")
+    now = lengths.select("session_id", F.col("messages").alias("_now"))
+    rows = attempts.withColumn("_last", F.max_by("outcome", "id").over(by)).join(now, "session_id", "left")
+    found = rows.groupBy("session_id", "target").agg(F.first("_last").alias("_last"), F.count_if(F.col("messages") == F.col("_now")).alias("_n"))
+    return found.select("session_id", "target", (F.col("_last").eqNullSafe(F.lit("refusal")) | (F.col("_n") >= limit)).alias("blocked"))
 
 
-def quarantine(attempts: DataFrame, limit: int) -> DataFrame:
-    return attempts.where("kind = 'fail'").groupBy("target").agg(F.count("*").alias("failures")).where(F.col("failures") >= max(1, limit))
+def quarantine(attempts: DataFrame, limit: int, shapes: int = SHAPES) -> DataFrame:
+    """Targets that failed ``limit`` times, or in ``shapes`` different requests where attempts name theirs."""
+    asked = F.count_distinct("request") if "request" in attempts.columns else F.lit(0)
+    rows = attempts.where("kind = 'fail'").groupBy("target").agg(F.count("*").alias("failures"), asked.cast("long").alias("shapes"))
+    return rows.where((F.col("failures") >= max(1, limit)) | (F.col("shapes") >= shapes))
 
 
 def discard_stale(results: DataFrame) -> DataFrame:
@@ -117,6 +125,12 @@ def classify_response(status: Column, body: Column) -> Column:
     return F.when(good & finish.isNotNull(), "ok").when(good, "malformed").when(status.isNull() | status.isin(*RETRYABLE) | (status >= 500), "retryable").otherwise("final")
 
 
+def stop_reason(body: Column) -> Column:
+    """A recorded answer's stop reason under the name that gate() knows; unknown ones stay as they are."""
+    said = F.get_json_object(body, "$.choices[0].finish_reason")
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in ENDS.items() for x in pair])[said], said)
+
+
 def clear_debt(attempts: DataFrame, targets: DataFrame, at: int) -> DataFrame:
     """The attempts log with a clear appended for each target."""
     return attempts.unionByName(targets.select("target", F.lit(at).cast("long").alias("id"), F.lit("clear").alias("kind"), F.lit(None).cast("string").alias("reason")))
@@ -124,3 +138,9 @@ def clear_debt(attempts: DataFrame, targets: DataFrame, at: int) -> DataFrame:
 
 def last_prompt(usage: DataFrame) -> DataFrame:
     return usage.groupBy("session_id").agg(F.max("id").alias("id"), F.max_by("tokens", "id").alias("tokens"))
+
+
+def unlearnt(replies: DataFrame, compiles: DataFrame) -> DataFrame:
+    """Replies (session_id, id) whose compile, the last at or before them, is still the session's last (session_id, compile_id)."""
+    last = compiles.groupBy("session_id").agg(F.max("compile_id").alias("_c"))
+    return replies.join(last, "session_id").where(F.col("id") >= F.col("_c")).drop("_c")

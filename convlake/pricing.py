@@ -15,6 +15,10 @@ def utf16_len(s: Column) -> Column:
     return (F.length(F.encode(s, "UTF-16BE")) / 2).cast("long")
 
 
+def round_half_even(x: Column) -> Column:
+    return F.bround(x).cast("long")
+
+
 def round_half_up(x: Column) -> Column:
     return (F.floor(x) + (x - F.floor(x) >= 0.5).cast("int")).cast("long")
 
@@ -60,6 +64,12 @@ def strip_thinking(s: Column) -> Column:
     return F.when(s.rlike(r"(?is)^\s*<thinking>") & ~s.rlike(r"(?is)</thinking>"), "").otherwise(closed)
 
 
+def written_tokens(s: Column, output: Column | None = None) -> Column:
+    """A memory's price: the tokens its reply took if they are known, else a third of its characters."""
+    third = F.ceil(utf16_len(s) / 3.0).cast("long")
+    return third if output is None else F.when(output > 0, output.cast("long")).otherwise(third)
+
+
 def recall_label(memory_id: Column) -> Column:
     return F.concat(F.lit("[CM] Recall memory "), memory_id.cast("string"), F.lit("."))
 
@@ -72,8 +82,11 @@ def words(s: Column) -> Column:
     return F.filter(F.split(F.trim(s), r"\s+"), lambda w: w != "")
 
 
-def digest_words(s: Column, n: int = 40) -> Column:
-    return F.array_join(F.slice(words(s), 1, n), " ")
+def digest_words(s: Column, n: int | None = 40) -> Column:
+    """The leading ``n`` words; without one an eighth of them, 40 at least."""
+    w = words(s)
+    most = F.lit(n) if n is not None else F.greatest(F.lit(40), F.floor(F.size(w) / 8)).cast("int")
+    return F.array_join(F.slice(w, F.lit(1), most), " ")
 
 
 def halve_source(s: Column) -> Column:

@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunking import owner_of
-from .pricing import digest_words, flat_tokens
+from .pricing import digest_words, trim_js, utf16_len, written_tokens
 
 
-def l1_due(chunks: DataFrame, memories: DataFrame, holdback: int) -> DataFrame:
-    """Chunks without an L1, less the newest ``holdback``."""
+def l1_due(chunks: DataFrame, memories: DataFrame, holdback: int, demanded: DataFrame | None = None) -> DataFrame:
+    """Chunks without an L1, less the newest ``holdback`` that nobody demands (session_id, chunk_id)."""
     newest = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("chunk_id").desc()))
-    open_ = chunks.withColumn("k", newest).where(F.col("k") > holdback).drop("k")
+    held = F.col("k") <= holdback
+    open_ = chunks.withColumn("k", newest)
+    if demanded is None:
+        open_ = open_.where(~held)
+    else:
+        wanted = demanded.select("session_id", "chunk_id", F.lit(True).alias("_d")).distinct()
+        open_ = open_.join(wanted.hint("merge"), ["session_id", "chunk_id"], "left").where(~held | F.col("_d").isNotNull()).drop("_d")
+    open_ = open_.drop("k")
     return open_.join(memories.where("level = 1").select("session_id", F.col("id").alias("chunk_id")), ["session_id", "chunk_id"], "left_anti")
 
 
 def quiet_stub(log: DataFrame, chunks: DataFrame, least: int) -> DataFrame:
-    """Chunks with so little text that they get a fixed memory."""
+    """Chunks of text blocks alone (a message's ``text_only``) with so little text that they get a fixed memory."""
     owned = owner_of(log, chunks).where("chunk_id is not null")
-    return owned.groupBy("session_id", "chunk_id").agg(F.sum(F.length(F.trim("text"))).alias("chars")).where(F.col("chars") < least)
+    sized = owned.groupBy("session_id", "chunk_id").agg(F.sum(utf16_len(trim_js(F.col("text")))).alias("chars"), F.bool_and("text_only").alias("_t"))
+    return sized.where(F.col("_t") & (F.col("chars") < least)).drop("_t")
 
 
 def protected_chunks(chunks: DataFrame, pins: DataFrame) -> DataFrame:
@@ -36,26 +44,33 @@ def mint_l1(log: DataFrame, chunks: DataFrame, words: int = 40) -> DataFrame:
     text = F.array_join(F.transform(parts, lambda p: p["text"]), " ")
     made = owned.groupBy("session_id", "chunk_id").agg(text.alias("t"), F.min("id").alias("first"), F.max("id").alias("last"))
     made = made.withColumn("text", digest_words(F.col("t"), words))
-    return made.select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("id"), "first", "last", "text", flat_tokens(F.col("text")).alias("tokens"))
+    return made.select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("id"), "first", "last", "text", written_tokens(F.col("text")).alias("tokens"))
 
 
 def merge_by_count(memories: DataFrame, k: int, words: int = 40) -> DataFrame:
-    """All levels: entry p of the next level takes entries p*k .. p*k+k-1 of the one below; log_k(n) rounds."""
+    """All levels: entry p of the next level takes entries p*k .. p*k+k-1 of the one below.
+
+    How many levels there are follows from the largest id. ``memories`` is read once for each, so it should be a table.
+    """
+    most = memories.agg(F.max("id")).first()[0]
+    left = 0 if most is None else (most + 1) // k
     out, level = memories, memories
-    while True:
+    while left:
         parts = F.array_sort(F.collect_list(F.struct("id", "text")))  # at most k
         up = level.groupBy("session_id", F.floor(F.col("id") / k).cast("long").alias("p"), (F.col("level") + 1).alias("up")).agg(F.count("*").alias("n"), parts.alias("parts"), F.min("first").alias("first"), F.max("last").alias("last"))
         text = digest_words(F.array_join(F.transform("parts", lambda x: x["text"]), " "), words)
-        up = up.where(F.col("n") == k).select("session_id", F.col("up").alias("level"), F.col("p").alias("id"), "first", "last", text.alias("text")).withColumn("tokens", flat_tokens(F.col("text")))
-        up = up.persist()
-        if up.isEmpty():
-            return out
-        out, level = out.unionByName(up), up
+        level = up.where(F.col("n") == k).select("session_id", F.col("up").alias("level"), F.col("p").alias("id"), "first", "last", text.alias("text")).withColumn("tokens", written_tokens(F.col("text")))
+        out, left = out.unionByName(level), left // k
+    return out
 
 
-def age_band(age: str, zone: int, k: int) -> F.Column:
-    """How many levels an age allows: 0 when younger than the zone, else by powers of k, compared as integers."""
+def age_band(age: str, zone: int, k: int, protected: F.Column | None = None) -> F.Column:
+    """How many levels an age allows: -1 if protected, 0 when younger than the zone, else by powers of k, compared as integers."""
     ratio = F.floor(F.col(age) / zone)
+    return F.when(F.lit(False) if protected is None else protected, -1).otherwise(_bands(ratio, k))
+
+
+def _bands(ratio: F.Column, k: int) -> F.Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0), lambda a, i: F.when(ratio >= F.pow(F.lit(float(k)), i.cast("double")), i + 1).otherwise(a))
 
 

@@ -13,6 +13,7 @@ from . import pricing as P
 from . import pyramid as M
 from . import sources as S
 from . import streaming as X
+from .keep import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,7 +120,7 @@ SELECT s.session_id, l.session_id AS owner, l.id, l.participant FROM seen s JOIN
 
 @query(FORK_SQL)
 def s11_resolve_forks(s, d):
-    return S.resolve_forks(s, S.document_logs(s, d), forks(s))
+    return S.resolve_forks(S.document_logs(s, d), forks(s))
 
 
 @query(chunk_sql(DOCS, 3000, 4) + f", f AS ({FORKS}) SELECT f.session_id, 0 AS level, count(*) FILTER (c.\"last\" <= f.\"at\") AS shared FROM f JOIN c ON c.session_id = f.parent_id GROUP BY 1, 2")
@@ -127,6 +128,26 @@ def s12_fork_shared_counts(s, d):
     return S.fork_shared_counts(doc_chunks(s, d).select("session_id", F.lit(0).alias("level"), "last"), forks(s))
 
 
+@query(f"WITH l AS ({DOCS}) SELECT session_id, id, doc_id FROM l WHERE id >= 4 AND id <= 6")
+def s10_page_range(s, d):
+    return S.page(S.document_logs(s, d), start=4, stop=6).select("session_id", "id", "doc_id")
+
+
+@query(f"WITH l AS ({DOCS}) SELECT k.session_id, k.id FROM (SELECT DISTINCT session_id, unnest([3, 1000000]) AS id FROM l) k ANTI JOIN l USING (session_id, id)")
+def s7_absent_keys(s, d):
+    log = S.document_logs(s, d).select("session_id", "id")
+    keys = log.select("session_id").distinct().withColumn("id", F.explode(F.array(F.lit(3).cast("long"), F.lit(1000000).cast("long"))))
+    return S.get(log, keys)[1]
+
+
+@query(chunk_sql(DOCS, 3000, 4) + f", f AS ({FORKS}) SELECT f.session_id AS fork, c.chunk_id AS pos, 0 AS level, c.chunk_id AS id FROM f JOIN c ON c.session_id = f.parent_id WHERE c.chunk_id < (SELECT count(*) FROM c q WHERE q.session_id = f.parent_id AND q.\"last\" <= f.\"at\")")
+def s12_surviving_prefix(s, d):
+    chunks = kept(doc_chunks(s, d))
+    items = chunks.select("session_id", F.lit(0).alias("level"), "last")
+    shared = S.fork_shared_counts(items, forks(s)).join(forks(s).select("session_id", "parent_id"), "session_id").select(F.col("session_id").alias("fork"), F.col("parent_id").alias("session_id"), "level", "shared")
+    return S.surviving_prefix(chunks.select("session_id", F.col("chunk_id").alias("pos"), F.lit(0).alias("level"), F.col("chunk_id").alias("id")), shared)
+
+
 @query(f"WITH l AS ({DOCS}), f AS ({FORKS}) SELECT l.session_id, count(*) AS messages, f.parent_id, f.\"at\"::BIGINT AS \"at\" FROM l LEFT JOIN f USING (session_id) GROUP BY ALL")
 def s13_session_catalog(s, d):
     return S.catalog(S.document_logs(s, d), forks(s))
@@ -146,6 +167,8 @@ column_query("p3_trim_js", DOCS, P.trim_js, r"trim({t}, chr(9) || chr(10) || chr
 column_query("p6_flat_tokens", DOCS, P.flat_tokens, "ceil(length({t}) / 4.0::DOUBLE)::BIGINT")
 column_query("p8_density_tokens", DOCS, P.density_tokens, tokens_sql("{t}"))
 column_query("p2_round_half_up", DOCS, lambda t: P.round_half_up(F.length(t) / 8.0), "(floor(length({t}) / 8.0::DOUBLE) + (length({t}) / 8.0::DOUBLE - floor(length({t}) / 8.0::DOUBLE) >= 0.5)::INT)::BIGINT")
+column_query("p2_round_half_even", DOCS, lambda t: P.round_half_even(F.length(t) / 8.0), "round_even(length({t}) / 8.0::DOUBLE, 0)::BIGINT")
+column_query("p25_digest_eighth", DOCS, lambda t: P.digest_words(t, None), "array_to_string(list_slice(list_filter(string_split_regex(trim({t}), '\\s+'), lambda w: w <> ''), 1, greatest(40, len(list_filter(string_split_regex(trim({t}), '\\s+'), lambda w: w <> '')) // 8)), ' ')")
 column_query("p17_strip_thinking", DOCS, lambda t: P.strip_thinking(F.concat(F.lit(" <thinking>a\n</thinking>\n"), t)), "regexp_replace(' <thinking>a' || chr(10) || '</thinking>' || chr(10) || {t}, '^\\s*<thinking>.*?</thinking>\\s*', '', 'si')")
 column_query("p23_repeats_tail", DOCS, lambda t: P.repeats_tail(t, 12), "length({t}) > 12 AND contains(left({t}, length({t}) - 12), right({t}, 12))")
 column_query("p25_digest_words", DOCS, P.digest_words, "array_to_string(list_slice(list_filter(string_split_regex(trim({t}), '\\s+'), lambda w: w <> ''), 1, 40), ' ')")
@@ -167,9 +190,6 @@ def p21_digest(s, d):
     return S.table(s, d, "conversations").select("conv_id", "turn", F.sha2(F.to_json(F.struct("role", F.length("text").alias("n"))), 256).alias("digest"))
 
 
-LINES = "string_split(html || chr(10) || url, chr(10))"
-
-
 @query(f"""WITH b AS (SELECT page_id, html || chr(10) || url AS t FROM pages),
 x AS (SELECT page_id, length(t) AS n, list_sum(list_transform(string_split(t, '```')[2:], lambda p, i: CASE WHEN i % 2 = 1 THEN length(p) ELSE 0 END)) AS fenced,
 list_sum(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13))), lambda l: regexp_full_match(l, 'https?://\\S+')), lambda l: length(l))) AS links FROM b)
@@ -208,9 +228,10 @@ def w3_tail_start(s, d):
 
 
 @query(chunk_sql(DOCS, 3000, 4) + """ SELECT session_id, chunk_id, "first", "last", raw FROM c
-QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY chunk_id) <= 1 OR coalesce(sum(raw) OVER (PARTITION BY session_id ORDER BY chunk_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 6000""")
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY chunk_id) <= 1 OR coalesce(sum(raw) OVER (PARTITION BY session_id ORDER BY chunk_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 6000 OR chunk_id % 4 = 2""")
 def w4_raw_zone(s, d):
-    return C.raw_zone(doc_chunks(s, d), 1, 6000)
+    chunks = kept(doc_chunks(s, d))
+    return C.raw_zone(chunks, 1, 6000, chunks.where("chunk_id % 4 = 2"))
 
 
 @query(chunk_sql(DOCS, 3000, 4) + ' SELECT session_id, chunk_id, "first", "last", raw FROM c')
@@ -258,12 +279,12 @@ PYRAMID = f""", o AS (SELECT p.session_id, c.chunk_id, p.id, p.text FROM p JOIN
 m1 AS (SELECT session_id, 1 AS level, chunk_id AS id, min(id) AS "first", max(id) AS "last", {DIGEST.format(t="string_agg(text, ' ' ORDER BY id)")} AS text FROM o GROUP BY session_id, chunk_id),
 m2 AS (SELECT session_id, 2 AS level, id // {{k}} AS id, min("first") AS "first", max("last") AS "last", {DIGEST.format(t="string_agg(text, ' ' ORDER BY id)")} AS text FROM m1 GROUP BY session_id, id // {{k}} HAVING count(*) = {{k}}),
 m3 AS (SELECT session_id, 3 AS level, id // {{k}} AS id, min("first") AS "first", max("last") AS "last", {DIGEST.format(t="string_agg(text, ' ' ORDER BY id)")} AS text FROM m2 GROUP BY session_id, id // {{k}} HAVING count(*) = {{k}}),
-m AS (SELECT *, ceil(length(text) / 4.0::DOUBLE)::BIGINT AS tokens FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3))"""
+m AS (SELECT *, ceil(length(text) / 3.0::DOUBLE)::BIGINT AS tokens FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3))"""
 CONV_PYRAMID = chunk_sql(CONV, 100, 2) + PYRAMID.format(k=2)
 
 
 def conv_memories(s: SparkSession, d: str) -> DataFrame:
-    return M.merge_by_count(M.mint_l1(S.conversations(s, d), conv_chunks(s, d)), 2)
+    return M.merge_by_count(kept(M.mint_l1(S.conversations(s, d), conv_chunks(s, d))), 2)
 
 
 @query(CONV_PYRAMID + " SELECT * FROM m WHERE level = 1")
@@ -286,16 +307,17 @@ def k15_profile(s, d):
     return conv_memories(s, d).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query(chunk_sql(DOCS, 3000, 4) + ", h AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id DESC) AS k FROM c) SELECT session_id, chunk_id, \"first\", \"last\", raw FROM h WHERE k > 2 AND chunk_id % 3 <> 0")
+@query(chunk_sql(DOCS, 3000, 4) + ", h AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id DESC) AS k FROM c) SELECT session_id, chunk_id, \"first\", \"last\", raw FROM h WHERE (k > 2 OR chunk_id % 5 = 1) AND chunk_id % 3 <> 0")
 def d1_l1_due(s, d):
-    chunks = doc_chunks(s, d)
+    chunks = kept(doc_chunks(s, d))
     have = chunks.where("chunk_id % 3 = 0").select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("id"))
-    return M.l1_due(chunks, have, 2)
+    return M.l1_due(chunks, have, 2, chunks.where("chunk_id % 5 = 1"))
 
 
-@query(chunk_sql(CONV, 100, 2) + ' SELECT p.session_id, c.chunk_id, sum(length(trim(p.text)))::BIGINT AS chars FROM p JOIN c ON c.session_id = p.session_id AND p.id BETWEEN c."first" AND c."last" GROUP BY 1, 2 HAVING sum(length(trim(p.text))) < 600')
+@query(chunk_sql(CONV, 100, 2) + ' SELECT p.session_id, c.chunk_id, sum(length(trim(p.text)))::BIGINT AS chars FROM p JOIN c ON c.session_id = p.session_id AND p.id BETWEEN c."first" AND c."last" GROUP BY 1, 2 HAVING sum(length(trim(p.text))) < 600 AND bool_and(length(p.text) % 4 <> 0)')
 def d6_quiet_stub(s, d):
-    return M.quiet_stub(S.conversations(s, d), conv_chunks(s, d), 600)
+    log = S.conversations(s, d).withColumn("text_only", F.length("text") % 4 != 0)
+    return M.quiet_stub(log, conv_chunks(s, d), 600)
 
 
 PINS = f"SELECT l.session_id, l.id FROM ({DOCS}) l JOIN labels USING (doc_id) WHERE quality = 1"
@@ -310,9 +332,9 @@ def d7_protected_chunks(s, d):
 BAND = "(SELECT count(*) FROM range(31) t(i) WHERE floor(n_chars / 50) >= 3::DOUBLE ** i)"
 
 
-@query(f"SELECT doc_id, {BAND} AS band FROM documents")
+@query(f"SELECT doc_id, CASE WHEN lang = 'de' THEN -1 ELSE {BAND} END AS band FROM documents")
 def k3_age_band(s, d):
-    return S.table(s, d, "documents").select("doc_id", M.age_band("n_chars", 50, 3).cast("long").alias("band"))
+    return S.table(s, d, "documents").select("doc_id", M.age_band("n_chars", 50, 3, F.col("lang") == "de").cast("long").alias("band"))
 
 
 FOLD = CONV_PYRAMID + """, below AS (SELECT session_id, 0 AS level, chunk_id AS id, raw AS cost FROM c UNION ALL SELECT session_id, level, id, tokens FROM m),
@@ -327,7 +349,9 @@ SELECT b.session_id, b.before, b.before - coalesce(f.saved, 0) AS after, coalesc
 
 @query(FOLD)
 def flagship_fold(s, d):
-    return M.fold_to_target(conv_chunks(s, d), conv_memories(s, d), 2, 400, 0.1)
+    chunks = kept(conv_chunks(s, d))
+    memories = kept(M.merge_by_count(kept(M.mint_l1(S.conversations(s, d), chunks)), 2))
+    return M.fold_to_target(chunks, memories, 2, 400, 0.1)
 
 
 QUERIES["k5_fold_to_target"], ORACLES["k5_fold_to_target"] = QUERIES["flagship_fold"], FOLD
@@ -335,7 +359,7 @@ QUERIES["k5_fold_to_target"], ORACLES["k5_fold_to_target"] = QUERIES["flagship_f
 
 # --- ledgers, limits, turns
 
-ATTEMPTS = "SELECT user_id AS target, event_id AS id, CASE event_type WHEN 'signup' THEN 'clear' WHEN 'purchase' THEN 'mint' ELSE 'fail' END AS kind, CASE event_type WHEN 'error' THEN 'provider_error' WHEN 'view' THEN 'refusal' WHEN 'click' THEN 'stale' END AS reason FROM events"
+ATTEMPTS = "SELECT user_id * 8 + event_id % 8 AS target, event_id AS id, CASE event_type WHEN 'signup' THEN 'clear' WHEN 'purchase' THEN 'mint' ELSE 'fail' END AS kind, CASE event_type WHEN 'error' THEN 'provider_error' WHEN 'view' THEN 'refusal' WHEN 'click' THEN 'stale' END AS reason FROM events"
 LEDGER = f"""WITH a AS ({ATTEMPTS}), c AS (SELECT *, coalesce(max(CASE WHEN kind = 'clear' THEN id END) OVER (PARTITION BY target), -1) AS clr FROM a),
 e AS (SELECT *, id > clr AND kind = 'fail' AS live FROM c), b AS (SELECT *, coalesce(max(CASE WHEN live AND reason = 'refusal' THEN id END) OVER (PARTITION BY target), -1) AS brk FROM e),
 led AS (SELECT target, count(*) FILTER (live AND reason = 'refusal') AS attempts, count(*) FILTER (live AND reason = 'provider_error' AND id > brk) AS streak,
@@ -345,7 +369,7 @@ arg_max(reason, id) FILTER (live) AS "last", bool_or(kind IN ('clear', 'mint'))
 def attempts(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "clear").when(F.col("event_type") == "purchase", "mint").otherwise("fail")
     reason = F.when(F.col("event_type") == "error", "provider_error").when(F.col("event_type") == "view", "refusal").when(F.col("event_type") == "click", "stale")
-    return S.table(s, d, "events").select(F.col("user_id").alias("target"), F.col("event_id").alias("id"), kind.alias("kind"), reason.alias("reason"))
+    return S.table(s, d, "events").select((F.col("user_id") * 8 + F.col("event_id") % 8).alias("target"), F.col("event_id").alias("id"), kind.alias("kind"), reason.alias("reason"))
 
 
 @query(LEDGER + " SELECT * FROM led")
@@ -358,9 +382,9 @@ def f4_stalled(s, d):
     return L.stalled(L.ledger(attempts(s, d)), 1, 1)
 
 
-@query(LEDGER + " SELECT *, CASE \"last\" WHEN 'refusal' THEN 'retry' WHEN 'provider_error' THEN 'transient' ELSE 'none' END AS action FROM led")
+@query(LEDGER + " SELECT *, CASE WHEN \"last\" = 'provider_error' AND streak < 2 THEN 'transient' WHEN \"last\" IS NOT NULL AND attempts >= 3 THEN 'terminal' WHEN \"last\" = 'refusal' THEN 'retry' WHEN \"last\" = 'provider_error' THEN 'transient' ELSE 'none' END AS action FROM led")
 def f5_policy(s, d):
-    return L.policy(L.ledger(attempts(s, d)))
+    return L.policy(L.ledger(attempts(s, d)), 3, 2)
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'provider_error' WHEN value < 2 THEN 'refusal' WHEN event_type = 'click' THEN 'tool_call'
@@ -382,34 +406,50 @@ def f10_usage_rollup(s, d):
     return S.table(s, d, "events").rollup(F.col("event_type").alias("purpose")).agg(F.sum(F.ceil("value")).cast("long").alias("tokens"), F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT user_id, event_id, value / length(props)::DOUBLE AS r FROM events WHERE length(props) > 0), b AS (SELECT * FROM r WHERE r BETWEEN 0.6::DOUBLE AND 1.8::DOUBLE)
-SELECT user_id::VARCHAR AS session_id, list_reduce(list_prepend(1.0::DOUBLE, list(r ORDER BY event_id)), lambda m, x: least(1.8::DOUBLE, greatest(0.6::DOUBLE, m * (1 - 0.2::DOUBLE) + x * 0.2::DOUBLE))) AS multiplier, count(*) AS samples FROM b GROUP BY user_id""")
+ARMS = """WITH e AS (SELECT user_id, event_id, event_type = 'view' AS arm, value FROM events WHERE event_type = 'view' OR event_type IN ('click', 'purchase') AND value > 0),
+s AS (SELECT *, lag(arm) OVER w AS was, lag(value) OVER w AS armed FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT user_id, event_id, value / armed AS r FROM s WHERE NOT arm AND was AND armed > 0)"""
+
+
+def usage(s: SparkSession, d: str) -> DataFrame:
+    """Views arm what they rendered; clicks and purchases report."""
+    kind = F.col("event_type")
+    rows = S.table(s, d, "events").where(kind.isin("view", "click", "purchase"))
+    return rows.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), F.when(kind == "view", F.col("value")).alias("armed"), F.when(kind != "view", F.col("value")).alias("reported"))
+
+
+@query(ARMS + """, b AS (SELECT * FROM r WHERE r BETWEEN 0.6::DOUBLE AND 1.8::DOUBLE)
+SELECT user_id::VARCHAR AS session_id, list_reduce(list_prepend(1.0::DOUBLE, list(r ORDER BY event_id)), lambda m, x: least(1.8::DOUBLE, greatest(0.6::DOUBLE, m + 0.2::DOUBLE * (x * m - m)))) AS multiplier, count(*) AS samples FROM b GROUP BY user_id""")
 def f12_calibrate(s, d):
-    return L.calibrate(S.table(s, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), F.length("props").alias("estimate"), F.col("value").alias("reported")))
+    return L.calibrate(usage(s, d))
 
 
 def posts(s: SparkSession, d: str) -> DataFrame:
-    return S.table(s, d, "events").select("event_id", F.col("event_type").alias("channel"), F.col("user_id").alias("session_id"), F.col("ts").alias("at"))
+    """A channel for each kind of event and ten users."""
+    channel = F.concat_ws("-", "event_type", F.floor(F.col("user_id") / 10))
+    return S.table(s, d, "events").select("event_id", channel.alias("channel"), F.col("user_id").alias("session_id"), F.col("ts").alias("at"))
 
 
-@query("""SELECT event_id, count(*) OVER w AS used, greatest(0, 2 + user_id % 3 - count(*) OVER w) AS remaining FROM events
-WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""")
+@query("""WITH p AS (SELECT *, 2 + user_id % 3 AS cap, count(*) OVER (PARTITION BY event_type, user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS used,
+row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS k FROM events)
+SELECT a.event_id, a.used, greatest(0, a.cap - a.used) AS remaining, (epoch_us(CASE WHEN a.used < a.cap THEN a.ts ELSE b.ts + INTERVAL 1 DAY END)) AS next_free FROM p a LEFT JOIN p b ON b.event_type = a.event_type AND b.user_id = a.user_id AND b.k = a.k - a.cap + 1""")
 def f13_rate_limit(s, d):
-    return L.rate_limit(posts(s, d), 2 + F.col("session_id") % 3).select("event_id", "used", "remaining")
+    out = L.rate_limit(posts(s, d), 2 + F.col("session_id") % 3)
+    return out.select("event_id", "used", "remaining", F.unix_micros(F.col("next_free").cast("timestamp")).alias("next_free"))
 
 
-MEMBERS = "SELECT DISTINCT event_type AS channel, user_id AS session_id, user_id % 2 = 0 AS inputs FROM events WHERE user_id < 20"
+CHANNEL = "event_type || '-' || user_id // 10"
+MEMBERS = f"SELECT DISTINCT {CHANNEL} AS channel, user_id AS session_id, user_id % 2 = 0 AS inputs FROM events"
 
 
-@query(f"WITH m AS ({MEMBERS}) SELECT e.event_id, m.session_id AS \"to\" FROM events e JOIN m ON m.channel = e.event_type AND m.inputs AND m.session_id <> e.user_id")
+@query(f"WITH m AS ({MEMBERS}) SELECT e.event_id, m.session_id AS \"to\" FROM events e JOIN m ON m.channel = {CHANNEL} AND m.inputs AND m.session_id <> e.user_id")
 def f14_fan_out(s, d):
-    members = posts(s, d).where("session_id < 20").select("channel", "session_id", (F.col("session_id") % 2 == 0).alias("inputs")).distinct()
+    members = posts(s, d).select("channel", "session_id", (F.col("session_id") % 2 == 0).alias("inputs")).distinct()
     return L.fan_out(posts(s, d), members).select("event_id", "to")
 
 
 @query(f"WITH m AS ({MEMBERS}) SELECT channel, count(*) AS n, string_agg(session_id::VARCHAR, ',' ORDER BY session_id) AS members FROM m GROUP BY 1")
 def f15_channel_listing(s, d):
-    members = posts(s, d).where("session_id < 20").select("channel", "session_id").distinct()
+    members = posts(s, d).select("channel", "session_id").distinct()
     return members.groupBy("channel").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("session_id")), ",").alias("members"))
 
 

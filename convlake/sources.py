@@ -27,9 +27,11 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long sessions: the documents of a source, in doc_id order."""
+    """Long sessions: the documents of a source, in doc_id order. Keys are numbered alone, so no text is sorted by source."""
+    docs = table(spark, sf_dir, "documents")
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), place.cast("long").alias("id"), F.col("lang").alias("participant"), "text", "doc_id")
+    ids = docs.select("doc_id", "source").withColumn("id", place.cast("long")).hint("merge")
+    return docs.join(ids, ["doc_id", "source"]).select(F.col("source").alias("session_id"), "id", F.col("lang").alias("participant"), "text", "doc_id")
 
 
 def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
@@ -37,10 +39,16 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFr
     return spark.read.schema(schema).json(path)
 
 
-def read_log_tolerant(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """Good records, and broken lines; the caller lets a file's broken last line go and refuses any other."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache()
-    return raw.where("_corrupt_record is null").drop("_corrupt_record"), raw.where("_corrupt_record is not null").select("_corrupt_record")
+def read_log_tolerant(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
+    """The good records. A file's broken last line is let go; any other broken line is an error that names its place."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_k")).where(F.trim("value") != "")
+    kinds = f"{schema}, _corrupt_record string"
+    raw = lines.withColumn("r", F.from_json("value", kinds, {"mode": "PERMISSIVE"})).select("_f", "_k", "r.*")
+    ends = raw.groupBy("_f").agg(F.max("_k").alias("_end"))
+    broken = raw.where("_corrupt_record is not null").join(ends, "_f").where("_k < _end").select("_f", "_corrupt_record").limit(1).collect()
+    if broken:
+        raise ValueError(f"{broken[0][0]} has a broken line before its end: {broken[0][1][:80]}")
+    return raw.where("_corrupt_record is null").drop("_f", "_k", "_corrupt_record")
 
 
 def append_ids(log: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
@@ -71,22 +79,38 @@ def span(log: DataFrame, first_id: int, last_id: int) -> DataFrame:
     return log.where(F.col("id").between(first_id, last_id))
 
 
-def page(log: DataFrame, newest: int) -> DataFrame:
+def page(log: DataFrame, newest: int | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """The newest records of each session, or those with ids from ``start`` to ``stop``; an end left out is open."""
+    if newest is None:
+        return log.where(F.col("id").between(F.lit(0 if start is None else start), F.lit(2**63 - 1 if stop is None else stop)))
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("id").desc()))
     return log.withColumn("back", back).where(F.col("back") <= newest)
 
 
-def resolve_forks(spark: SparkSession, log: DataFrame, forks: DataFrame) -> DataFrame:
+def ancestors(forks: DataFrame) -> DataFrame:
+    """Each fork's ancestors (session_id, ancestor, cut), however many: the cut is the tightest fork message on the way.
+
+    Steps double, so a chain of n forks takes log2(n) rounds; a round keeps its tables for the next and lets the last ones go.
+    """
+    jump = forks.select("session_id", F.col("parent_id").alias("ancestor"), F.col("at").cast("long").alias("cut")).persist()
+    found, held = jump, [jump]
+    while not jump.isEmpty():
+        step = jump.select(F.col("session_id").alias("ancestor"), F.col("ancestor").alias("_b"), F.col("cut").alias("_c"))
+        on = lambda rows, step=step: rows.join(step.hint("merge"), "ancestor").select("session_id", F.col("_b").alias("ancestor"), F.least("cut", "_c").alias("cut"))
+        found, jump = found.unionByName(on(found)).persist(), on(jump).persist()
+        found.count(), jump.count()
+        for old in held:
+            old.unpersist()
+        held = [found, jump]
+    return found
+
+
+def resolve_forks(log: DataFrame, forks: DataFrame) -> DataFrame:
     """A fork sees its ancestors' records through the fork message, then its own; through any number of ancestors."""
-    log.createOrReplaceTempView("_log")
-    forks.createOrReplaceTempView("_forks")
-    return spark.sql("""
-        WITH RECURSIVE seen(session_id, ancestor, cut) AS (
-          SELECT session_id, session_id, CAST(NULL AS BIGINT) FROM (SELECT session_id FROM _log UNION SELECT session_id FROM _forks)
-          UNION ALL
-          SELECT s.session_id, f.parent_id, least(s.cut, f.at) FROM seen s JOIN _forks f ON f.session_id = s.ancestor)
-        SELECT s.session_id, l.session_id AS owner, l.id, l.participant FROM seen s JOIN _log l ON l.session_id = s.ancestor
-        WHERE s.cut IS NULL OR l.id <= s.cut""")
+    own = log.select("session_id", F.col("session_id").alias("owner"), "id", "participant")
+    above = ancestors(forks).withColumnRenamed("session_id", "_s")
+    seen = log.join(above.hint("merge"), log["session_id"] == above["ancestor"]).where(F.col("id") <= F.col("cut"))
+    return own.unionByName(seen.select(F.col("_s").alias("session_id"), F.col("session_id").alias("owner"), "id", "participant"))
 
 
 def fork_shared_counts(items: DataFrame, forks: DataFrame) -> DataFrame:
@@ -97,3 +121,21 @@ def fork_shared_counts(items: DataFrame, forks: DataFrame) -> DataFrame:
 
 def catalog(log: DataFrame, forks: DataFrame) -> DataFrame:
     return log.groupBy("session_id").agg(F.count("*").alias("messages")).join(forks, "session_id", "left").select("session_id", "messages", "parent_id", "at")
+
+
+def surviving_prefix(frontier: DataFrame, shared: DataFrame) -> DataFrame:
+    """The frontier nodes (session_id, pos, level, id) of a parent that a fork keeps: those before the first that isn't shared
+    (fork, session_id, level, shared: how many of the level's items end by the fork message)."""
+    met = frontier.join(shared.hint("merge"), ["session_id", "level"])
+    gone = F.max((F.col("id") >= F.col("shared")).cast("int")).over(Window.partitionBy("fork").orderBy("pos"))
+    return met.withColumn("_g", gone).where("_g = 0").select("fork", "pos", "level", "id")
+
+
+def write_layers(items: DataFrame, path: str) -> None:
+    """All layers as one table, a folder for each level."""
+    items.write.mode("append").partitionBy("level").parquet(path)
+
+
+def layers(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """One layer of that table; other levels' folders aren't read."""
+    return spark.read.parquet(path).where(F.col("level") == level)

@@ -90,8 +90,86 @@ def test_read_log_lets_a_torn_tail_go(spark, tmp_path):
     from convlake.sources import read_log_tolerant
 
     (tmp_path / "log.jsonl").write_text('{"session_id":"s","id":0,"text":"a"}\n\n{"session_id":"s","id":1,"text":"b"}\n{"session_id":"s","i')
-    good, broken = read_log_tolerant(spark, str(tmp_path / "log.jsonl"))
-    assert sorted(r.id for r in good.collect()) == [0, 1] and broken.count() == 1
+    assert sorted(r.id for r in read_log_tolerant(spark, str(tmp_path / "log.jsonl")).collect()) == [0, 1]
+    (tmp_path / "bad.jsonl").write_text('{"session_id":"s","id":0}\n{"sess\n{"session_id":"s","id":1}\n')
+    with pytest.raises(ValueError, match="broken line before its end"):
+        read_log_tolerant(spark, str(tmp_path / "bad.jsonl"))
+
+
+def test_layers_are_read_apart(spark, tmp_path):
+    from convlake.sources import layers, write_layers
+
+    rows = spark.createDataFrame([("s", level, i) for level in (0, 1, 2) for i in range(4 - level)], "session_id string, level int, id long")
+    write_layers(rows, f"{tmp_path}/layers")
+    one = layers(spark, f"{tmp_path}/layers", 1)
+    assert sorted(r.id for r in one.collect()) == [0, 1, 2] and "PartitionFilters: [isnotnull(level" in one._jdf.queryExecution().toString()
+
+
+def test_calibration_by_hand(spark):
+    from convlake.ledger import calibrate
+
+    rows = [("s", 0, 100.0, None), ("s", 1, None, 150.0), ("s", 2, None, 999.0), ("s", 3, 100.0, None), ("s", 4, None, 0.0), ("s", 5, None, 50.0), ("s", 6, 100.0, None), ("s", 7, None, 140.0), ("s", 8, 10.0, None), ("s", 9, 100.0, None), ("s", 10, None, 80.0)]
+    got = calibrate(spark.createDataFrame(rows, "session_id string, id long, armed double, reported double")).first()
+    m = 1.0
+    for r in (1.5, 1.4, 0.8):  # the second report of a compile, an empty one and a ratio of 0.5 teach nothing
+        m = m + 0.2 * (r * m - m)
+    assert got.samples == 3 and got.multiplier == pytest.approx(m)
+
+
+def test_policy_by_hand(spark):
+    from convlake.ledger import ledger, policy, stalled
+
+    fail = lambda t, reasons: [(t, i, "fail", r) for i, r in enumerate(reasons)]
+    rows = fail("a", ["refusal"] * 9) + fail("b", ["refusal"]) + fail("c", ["provider_error"] * 11) + fail("d", ["provider_error"] * 12) + fail("e", ["empty", "overflow"]) + fail("f", ["stale"]) + fail("g", ["truncated"] * 3 + ["provider_error"])
+    led = ledger(spark.createDataFrame(rows, "target string, id long, kind string, reason string"))
+    want = {"a": "terminal", "b": "retry", "c": "transient", "d": "transient", "e": "shrink", "f": "none", "g": "transient"}
+    assert {r.target: r.action for r in policy(led).collect()} == want
+    assert {r.target for r in stalled(led).collect()} == {"a", "d", "g"}
+
+
+def test_blocked_by_hand(spark):
+    from convlake.plans import blocked
+
+    tries = [("a", 0, "L1:0", "retry", 9), ("a", 1, "L1:0", "retry", 10), ("a", 2, "L1:1", "retry", 10), ("a", 3, "L1:0", "retry", 10), ("b", 0, "L1:0", "retry", 4), ("b", 1, "L1:1", "refusal", 4)]
+    lengths = [("a", 10), ("b", 9)]
+    got = blocked(spark.createDataFrame(tries, "session_id string, id long, target string, outcome string, messages long"), spark.createDataFrame(lengths, "session_id string, messages long"), 2)
+    assert {(r.session_id, r.target): r.blocked for r in got.collect()} == {("a", "L1:0"): True, ("a", "L1:1"): False, ("b", "L1:0"): True, ("b", "L1:1"): True}
+
+
+def test_memories_cost_a_third_or_what_they_took(spark):
+    from pyspark.sql import functions as F
+
+    from convlake.pricing import written_tokens
+
+    rows = spark.createDataFrame([("x" * 30, None), ("x" * 31, 0), ("x" * 30, 7)], "t string, o long")
+    assert [r[0] for r in rows.select(written_tokens(F.col("t"), F.col("o"))).collect()] == [10, 11, 7]
+
+
+def test_quiet_chunks_are_text_alone(spark):
+    from convlake.pyramid import quiet_stub
+
+    log = spark.createDataFrame([("s", 0, " hi ", True), ("s", 1, "yo", True), ("s", 2, "a", True), ("s", 3, "", False)], "session_id string, id long, text string, text_only boolean")
+    chunks = spark.createDataFrame([("s", 0, 0, 1), ("s", 1, 2, 3)], "session_id string, chunk_id long, first long, last long")
+    assert [(r.chunk_id, r.chars) for r in quiet_stub(log, chunks, 10).collect()] == [(0, 4)]
+
+
+def test_forks_of_forks(spark):
+    from convlake.sources import resolve_forks
+
+    n = 120  # a chain: each fork shares its parent's records through message 2 * k
+    forks = [(f"s{k + 1}", f"s{k}", 2 * k) for k in range(n)]
+    log = [(f"s{k}", i, "u") for k in range(n + 1) for i in range(2 * k - 1, 2 * k + 3) if i >= 0]
+    got = resolve_forks(spark.createDataFrame(log, "session_id string, id long, participant string"), spark.createDataFrame(forks, "session_id string, parent_id string, at long"))
+    seen = {(r.session_id, r.owner, r.id) for r in got.where("session_id in ('s0', 's7', 's120')").collect()}
+    parent = {a: (b, c) for a, b, c in forks}
+    want = set()
+    for s in ("s0", "s7", "s120"):
+        at, cut = s, 10**9
+        while at:
+            want |= {(s, at, i) for owner, i, _ in log if owner == at and i <= cut}
+            up = parent.get(at)
+            at, cut = (up[0], min(cut, up[1])) if up else (None, cut)
+    assert seen == want
 
 
 def test_entry_point_imports_everything(spark):
