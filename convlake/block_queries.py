@@ -10,7 +10,7 @@ from . import plans as K
 from . import sources as S
 from . import turns as T
 from .ledger import input_bound, ledger
-from .queries import ATTEMPTS, CONV, CONV_PYRAMID, DOCS, attempts, chunk_sql, conv_chunks, conv_memories, doc_chunks, priced, query, tokens_sql
+from .queries import ATTEMPTS, CONV, CONV_PYRAMID, DOCS, attempts, chunk_sql, conv_chunks, conv_memories, conv_tree, doc_chunks, priced, query, tokens_sql
 
 
 def event_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -139,22 +139,22 @@ TAKEN = ", e AS (SELECT DISTINCT session_id, level - 1 AS level, unnest([id * 2,
 
 @query(CONV_PYRAMID + ' SELECT session_id, level, id, unnest([id * 2, id * 2 + 1]) AS member FROM m WHERE level > 1')
 def m8_members(s, d):
-    return K.members(conv_memories(s, d), 2)
+    return K.members(conv_tree(s, d)[2])
 
 
 @query(CONV_PYRAMID + ' SELECT session_id, level, id, id * (2 ** (level - 1))::BIGINT AS first_chunk, (id + 1) * (2 ** (level - 1))::BIGINT - 1 AS last_chunk FROM m')
 def m9_chunks_of(s, d):
-    return K.chunks_of(conv_memories(s, d), 2).select("session_id", "level", "id", "first_chunk", "last_chunk")
+    return K.chunks_of(*conv_tree(s, d)[1:]).select("session_id", "level", "id", "first_chunk", "last_chunk")
 
 
 @query(CONV_PYRAMID + ' SELECT session_id, chunk_id, level, chunk_id // (2 ** (level - 1))::BIGINT AS ancestor FROM (SELECT session_id, level, id, unnest(range(id * (2 ** (level - 1))::BIGINT, (id + 1) * (2 ** (level - 1))::BIGINT)) AS chunk_id FROM m)')
 def m7_closure(s, d):
-    return K.closure(conv_memories(s, d), 2)
+    return K.closure(conv_tree(s, d)[2])
 
 
 @query(CONV_PYRAMID + TAKEN + ' SELECT m.session_id, m.level, m.id, m."last", m.tokens FROM m ANTI JOIN e USING (session_id, level, id) WHERE m."last" < 6')
 def m10_unmerged(s, d):
-    return K.unmerged(conv_memories(s, d), 2, 6).select("session_id", "level", "id", "last", "tokens")
+    return K.unmerged(*conv_tree(s, d)[1:], 6).select("session_id", "level", "id", "last", "tokens")
 
 
 @query(CONV_PYRAMID + """, r AS (SELECT session_id, id, sum(tokens) OVER w AS t, row_number() OVER w AS k FROM m WHERE level = 1 WINDOW w AS (PARTITION BY session_id ORDER BY id)),
@@ -167,7 +167,7 @@ def m4_merge_by_tokens(s, d):
 r AS (SELECT session_id, level, id, sum(tokens) OVER w AS t, row_number() OVER w AS k FROM b WINDOW w AS (PARTITION BY session_id ORDER BY "first")),
 z AS (SELECT session_id, min(k) AS k FROM r WHERE t >= 60 AND k >= 1 GROUP BY 1) SELECT r.session_id, r.level, r.id FROM r JOIN z ON z.session_id = r.session_id AND r.k <= z.k""")
 def m5_lift(s, d):
-    return K.lift(conv_memories(s, d), 2, 1, 60).select("session_id", "level", "id")
+    return K.lift(*conv_tree(s, d)[1:], 1, 60).select("session_id", "level", "id")
 
 
 @query(CONV_PYRAMID + """ SELECT session_id, level, id, CASE WHEN "last" - "first" > 3 * 2 ** greatest(0, level - 3) THEN 'too wide' END AS reason FROM m""")
@@ -181,9 +181,10 @@ def k12_over_budget(s, d):
     return K.over_budget(totals, 8000, 0.05)
 
 
-@query(CONV_PYRAMID + " SELECT c.session_id, c.chunk_id FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.session_id = c.session_id AND m.level > 1 AND m.\"first\" <= c.\"first\" AND m.\"last\" >= c.\"last\")")
+@query(CONV_PYRAMID + " SELECT c.session_id, c.chunk_id FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.session_id = c.session_id AND m.level > 1 AND m.\"first\" <= c.\"first\" AND m.\"last\" >= c.\"last\") AND chunk_id % 5 <> 4")
 def k16_assert_coverage(s, d):
-    return K.uncovered(conv_chunks(s, d), K.chunks_of(conv_memories(s, d).where("level > 1"), 2))
+    chunks, memories, edges = conv_tree(s, d)
+    return K.uncovered(chunks, K.chunks_of(memories.where("level > 1"), edges), chunks.where("chunk_id % 5 = 4"))
 
 
 # --- ledgers
@@ -259,7 +260,7 @@ FREE = CONV_PYRAMID + TAKEN + ", u AS (SELECT m.* FROM m ANTI JOIN e USING (sess
 
 @query(FREE + ' SELECT session_id, min("first") - 1 AS before, max(CASE WHEN level > 1 THEN "first" END) AS above, max("first") AS newest FROM u GROUP BY 1')
 def t10_cache_seams(s, d):
-    return T.cache_seams(K.unmerged(conv_memories(s, d), 2).withColumn("pos", F.col("first")))
+    return T.cache_seams(K.unmerged(*conv_tree(s, d)[1:]).withColumn("pos", F.col("first")))
 
 
 @query(FREE + """, i AS (SELECT session_id, "first" AS id, tokens + 50 AS b, row_number() OVER (PARTITION BY session_id ORDER BY "first" DESC) AS k FROM u),
@@ -267,7 +268,7 @@ r AS (SELECT session_id, id, k, CASE WHEN b <= 220 THEN b ELSE 0 END AS t, b <=
 SELECT i.session_id, i.id, i.k, CASE WHEN r.t + i.b <= 220 THEN r.t + i.b ELSE r.t END, r.t + i.b <= 220 FROM r JOIN i ON i.session_id = r.session_id AND i.k = r.k + 1)
 SELECT session_id, id FROM r WHERE fits""")
 def t11_recall_within_budget(s, d):
-    return T.recall_within_budget(K.unmerged(conv_memories(s, d), 2).select("session_id", F.col("first").alias("id"), "tokens"), 220)
+    return T.recall_within_budget(K.unmerged(*conv_tree(s, d)[1:]).select("session_id", F.col("first").alias("id"), "tokens"), 220)
 
 
 @query(f"""WITH a AS ({ATTEMPTS.replace("'stale'", "'tool_call'")}), n AS (SELECT *, coalesce(sum((kind = 'fail')::INT) OVER (PARTITION BY target ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tries, lag(reason) OVER (PARTITION BY target ORDER BY id) AS was FROM a)

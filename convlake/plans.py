@@ -38,27 +38,47 @@ def enqueue(queue: DataFrame, candidates: DataFrame, done: DataFrame) -> DataFra
     return queue.select("key", "at", F.lit(0).alias("fresh")).unionByName(fresh.select("key", "at", F.lit(1).alias("fresh")))
 
 
-def members(memories: DataFrame, k: int) -> DataFrame:
-    """The entries one level down that each merged memory holds; their ids follow from its own."""
-    ids = F.sequence(F.col("id") * k, F.col("id") * k + k - 1)
-    return memories.where("level > 1").select("session_id", "level", "id", F.explode(ids).alias("member"))
+def count_edges(memories: DataFrame, k: int) -> DataFrame:
+    """Edges (session_id, level, id, member) of memories merged by count; a member is one level down, a chunk below level 1."""
+    ids = F.when(F.col("level") == 1, F.array("id")).otherwise(F.sequence(F.col("id") * k, F.col("id") * k + k - 1))
+    return memories.select("session_id", "level", "id", F.explode(ids).alias("member"))
 
 
-def chunks_of(memories: DataFrame, k: int) -> DataFrame:
+def members(edges: DataFrame) -> DataFrame:
+    """The memories one level down that each merged memory holds."""
+    return edges.where("level > 1").select("session_id", "level", "id", "member")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """The ancestor of each chunk at each level that covers it: a join a level, from the chunks up."""
+    top = edges.agg(F.max("level")).first()[0] or 0
+    now = edges.where("level = 1").select("session_id", F.col("member").alias("chunk_id"), "level", F.col("id").alias("ancestor"))
+    out = now
+    for level in range(2, top + 1):
+        up = edges.where(F.col("level") == level).select("session_id", F.col("member").alias("ancestor"), F.col("level"), F.col("id").alias("_up"))
+        now = now.drop("level").hint("merge").join(up, ["session_id", "ancestor"]).select("session_id", "chunk_id", "level", F.col("_up").alias("ancestor"))
+        out = out.unionByName(now)
+    return out
+
+
+def chunks_of(memories: DataFrame, edges: DataFrame) -> DataFrame:
     """Each memory with the first and last chunk under it."""
-    width = F.pow(F.lit(k), F.col("level") - 1).cast("long")
-    return memories.withColumn("first_chunk", F.col("id") * width).withColumn("last_chunk", (F.col("id") + 1) * width - 1)
+    spans = closure(edges).groupBy("session_id", "level", F.col("ancestor").alias("id")).agg(F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
+    return memories.join(spans, ["session_id", "level", "id"])
 
 
-def closure(memories: DataFrame, k: int) -> DataFrame:
-    """The ancestor of each chunk at each level that covers it."""
-    return chunks_of(memories, k).select("session_id", F.explode(F.sequence("first_chunk", "last_chunk")).alias("chunk_id"), "level", F.col("id").alias("ancestor"))
+def growth(chunks: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each memory with what its members cost more than it does."""
+    below = chunks.select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("member"), F.col("raw").alias("_cost"))
+    below = below.unionByName(memories.select("session_id", (F.col("level") + 1).alias("level"), F.col("id").alias("member"), F.col("tokens").alias("_cost")))
+    cost = edges.hint("merge").join(below, ["session_id", "level", "member"]).groupBy("session_id", "level", "id").agg(F.sum("_cost").alias("_cost"))
+    return memories.join(cost, ["session_id", "level", "id"]).withColumn("growth", F.col("_cost") - F.col("tokens")).drop("_cost")
 
 
-def unmerged(memories: DataFrame, k: int, before: int | None = None) -> DataFrame:
+def unmerged(memories: DataFrame, edges: DataFrame, before: int | None = None) -> DataFrame:
     """Memories that no merge took, ending before a message."""
-    taken = members(memories, k).select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
-    free = memories.join(taken, ["session_id", "level", "id"], "left_anti")
+    taken = members(edges).select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
+    free = memories.join(taken.hint("merge"), ["session_id", "level", "id"], "left_anti")
     return free if before is None else free.where(F.col("last") < before)
 
 
@@ -71,10 +91,10 @@ def first_group(entries: DataFrame, order: list[str], least: int, target: int) -
     return run.withColumn("_full", full).where(F.col("_k") <= F.col("_full")).select(*keep)
 
 
-def lift(memories: DataFrame, k: int, least: int, target: int) -> DataFrame:
+def lift(memories: DataFrame, edges: DataFrame, least: int, target: int) -> DataFrame:
     """The group of a lifted memory: unmerged ones of all levels below the session's top, oldest first."""
     top = F.max("level").over(Window.partitionBy("session_id"))
-    below = unmerged(memories, k).withColumn("_top", top).where("level < _top")
+    below = unmerged(memories, edges).withColumn("_top", top).where("level < _top")
     return first_group(below, ["first", "id"], least, target)
 
 
@@ -85,13 +105,15 @@ def span_guard(memories: DataFrame, base: int, k: int) -> DataFrame:
 
 
 def over_budget(totals: DataFrame, window: int, grace: float) -> DataFrame:
+    """Totals with the most a window takes, and whether they pass it; what they hold (other columns) stays beside them."""
     most = F.floor(F.lit(window * (1 + grace))).cast("int")
     return totals.withColumn("most", most).withColumn("over", F.col("total") > F.col("most"))
 
 
-def uncovered(chunks: DataFrame, shown: DataFrame) -> DataFrame:
-    """Chunks inside no shown memory (first_chunk, last_chunk): empty if a plan that shows none raw is whole."""
+def uncovered(chunks: DataFrame, shown: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Chunks neither shown raw (session_id, chunk_id) nor inside a shown memory (first_chunk, last_chunk): empty if a plan is whole."""
     held = shown.select("session_id", F.explode(F.sequence("first_chunk", "last_chunk")).alias("chunk_id"))
+    held = held if raw is None else held.unionByName(raw.select("session_id", "chunk_id"))
     return chunks.join(held.hint("merge"), ["session_id", "chunk_id"], "left_anti").select("session_id", "chunk_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunking import owner_of
+from .plans import growth
 from .pricing import digest_words, trim_js, utf16_len, written_tokens
 
 
@@ -74,22 +75,19 @@ def _bands(ratio: F.Column, k: int) -> F.Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0), lambda a, i: F.when(ratio >= F.pow(F.lit(float(k)), i.cast("double")), i + 1).otherwise(a))
 
 
-def fold_to_target(chunks: DataFrame, memories: DataFrame, k: int, window: int, slack: float) -> DataFrame:
+def fold_to_target(chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: int, slack: float) -> DataFrame:
     """Per session: tokens before and after, and the folds applied. Over ``window`` the lowest level's oldest group
     folds, again and again, until the total is at most window * (1 - slack).
 
     Each fold saves a fixed amount and they apply in order of (level, first), so the loop is a running sum.
     """
-    below = chunks.select("session_id", F.lit(0).alias("level"), F.col("chunk_id").alias("id"), F.col("raw").alias("cost")).unionByName(memories.select("session_id", "level", "id", F.col("tokens").alias("cost")))
-    parent = F.when(F.col("level") == 0, F.col("id")).otherwise(F.floor(F.col("id") / k)).cast("long")
-    members = below.groupBy("session_id", (F.col("level") + 1).alias("level"), parent.alias("id")).agg(F.sum("cost").alias("members"))
-    saving = memories.join(members, ["session_id", "level", "id"]).select("session_id", "level", "id", "first", (F.col("members") - F.col("tokens")).alias("saving"))
+    saving = growth(chunks, memories, edges).select("session_id", "level", "id", "first", F.col("growth").alias("saving"))
     totals = chunks.groupBy("session_id").agg(F.sum("raw").alias("before"))
     by = Window.partitionBy("session_id").orderBy("level", "first")
     saved = F.coalesce(F.sum("saving").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = saving.join(totals, "session_id").withColumn("left", F.col("before") - saved)
+    rows = saving.join(totals.hint("merge"), "session_id").withColumn("left", F.col("before") - saved)
     lowest = F.min("left").over(by.rowsBetween(Window.unboundedPreceding, 0))
     target = float(window * (1 - slack))
     applied = rows.withColumn("lowest", lowest).where((F.col("before") > window) & (F.col("lowest") > target))
     folded = applied.groupBy("session_id").agg(F.sum("saving").alias("saved"), F.count("*").alias("folds"))
-    return totals.join(folded, "session_id", "left").select("session_id", "before", (F.col("before") - F.coalesce("saved", F.lit(0))).alias("after"), F.coalesce("folds", F.lit(0)).alias("folds"))
+    return totals.join(folded.hint("merge"), "session_id", "left").select("session_id", "before", (F.col("before") - F.coalesce("saved", F.lit(0))).alias("after"), F.coalesce("folds", F.lit(0)).alias("folds"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chunking as C
 from . import ledger as L
+from . import plans as K
 from . import pricing as P
 from . import pyramid as M
 from . import sources as S
@@ -287,6 +288,13 @@ def conv_memories(s: SparkSession, d: str) -> DataFrame:
     return M.merge_by_count(kept(M.mint_l1(S.conversations(s, d), conv_chunks(s, d))), 2)
 
 
+def conv_tree(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, memories and edges, each computed once."""
+    chunks = kept(conv_chunks(s, d))
+    memories = kept(M.merge_by_count(kept(M.mint_l1(S.conversations(s, d), chunks)), 2))
+    return chunks, memories, kept(K.count_edges(memories, 2))
+
+
 @query(CONV_PYRAMID + " SELECT * FROM m WHERE level = 1")
 def m1_mint_l1(s, d):
     return M.mint_l1(S.conversations(s, d), conv_chunks(s, d))
@@ -349,9 +357,8 @@ SELECT b.session_id, b.before, b.before - coalesce(f.saved, 0) AS after, coalesc
 
 @query(FOLD)
 def flagship_fold(s, d):
-    chunks = kept(conv_chunks(s, d))
-    memories = kept(M.merge_by_count(kept(M.mint_l1(S.conversations(s, d), chunks)), 2))
-    return M.fold_to_target(chunks, memories, 2, 400, 0.1)
+    chunks, memories, edges = conv_tree(s, d)
+    return M.fold_to_target(chunks, memories, edges, 400, 0.1)
 
 
 QUERIES["k5_fold_to_target"], ORACLES["k5_fold_to_target"] = QUERIES["flagship_fold"], FOLD

@@ -10,7 +10,7 @@ from . import plans as K
 from . import requests as R
 from . import sources as S
 from .block_queries import BYTES, TAKEN, event_messages, per_kind
-from .queries import CONV, CONV_PYRAMID, conv_chunks, conv_memories, query
+from .queries import CONV, CONV_PYRAMID, conv_chunks, conv_memories, conv_tree, query
 
 
 @query("""SELECT doc_id, CASE WHEN (length(text) + length(lang)) // 4 <= 50 THEN text || '|' || lang ELSE left(text, 200) || CASE WHEN length(text) > 200 THEN chr(10) || chr(10) || '[truncated — original was ' || ceil(length(text) / 4.0::DOUBLE)::BIGINT || ' tokens]' ELSE '' END
@@ -120,8 +120,8 @@ def t14_source_only(s, d):
 @query(CONV_PYRAMID + TAKEN + """, u AS (SELECT m.* FROM m ANTI JOIN e USING (session_id, level, id)), v AS (SELECT session_id, level AS l, id AS i, row_number() OVER (PARTITION BY session_id ORDER BY "last" DESC) AS variant FROM u WHERE level > 1 QUALIFY variant <= 2)
 SELECT u.session_id, variant, level, id FROM u JOIN v USING (session_id) WHERE NOT (level = l AND id = i) UNION ALL SELECT session_id, variant, l - 1, unnest([i * 2, i * 2 + 1]) FROM v""")
 def t16_recall_variants(s, d):
-    memories = conv_memories(s, d)
-    return R.recall_variants(K.unmerged(memories, 2), K.members(memories, 2), 2)
+    _, memories, edges = conv_tree(s, d)
+    return R.recall_variants(K.unmerged(memories, edges), K.members(edges), 2)
 
 
 # --- tasks

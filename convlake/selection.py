@@ -8,47 +8,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunking import runs
-from .plans import chunks_of, members
+from .keep import kept
+from .plans import chunks_of, closure, growth, members
+from .turns import kv_cost
 
 NODE = ["session_id", "level", "id"]
 
 
-def layout(cut: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+def layout(cut: DataFrame, memories: DataFrame, edges: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """What a cut (session_id, chunk_id, level, raw) renders: a chunk raw, or its memory at that level once for all
-    chunks under it. A chunk without such a memory stays raw."""
-    ancestor = F.when(F.col("level") > 0, F.floor(F.col("chunk_id") / F.pow(F.lit(k), F.col("level") - 1)).cast("long"))
-    at = memories.select("session_id", "level", F.col("id").alias("_m"), "tokens")
-    rows = cut.withColumn("_m", ancestor).join(at, ["session_id", "level", "_m"], "left")
-    shown = rows.withColumn("unit", F.when(F.col("tokens").isNull(), F.concat(F.lit("raw:"), "chunk_id")).otherwise(F.concat(F.lit("recall:"), "level", F.lit(":"), "_m")))
-    return shown.groupBy("session_id", "unit").agg(F.min("chunk_id").alias("first_chunk"), F.first(F.coalesce("tokens", "raw")).alias("tokens"))
-
-
-def _growth(chunks: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """Each memory with what its members cost more than it does."""
-    below = chunks.select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("id"), F.col("raw").alias("cost"))
-    below = below.unionByName(memories.select("session_id", (F.col("level") + 1).alias("level"), F.floor(F.col("id") / k).cast("long").alias("id"), F.col("tokens").alias("cost")))
-    cost = below.groupBy(*NODE).agg(F.sum("cost").alias("_cost"))
-    return chunks_of(memories, k).join(cost, NODE).withColumn("growth", F.col("_cost") - F.col("tokens")).drop("_cost")
-
-
-def _shown_total(chunks: DataFrame, shown: DataFrame, k: int) -> DataFrame:
+    chunks under it. A chunk without such a memory stays raw. Windows (session_id, head, tail: tokens) stand before and
+    after it where they are positive."""
+    at = memories.select("session_id", "level", F.col("id").alias("ancestor"), "tokens")
+    above = closure(edges).join(at.hint("merge"), ["session_id", "level", "ancestor"])
+    rows = cut.join(above.hint("merge"), ["session_id", "chunk_id", "level"], "left")
+    shown = rows.withColumn("unit", F.when(F.col("tokens").isNull(), F.concat(F.lit("raw:"), "chunk_id")).otherwise(F.concat(F.lit("recall:"), "level", F.lit(":"), "ancestor")))
+    out = shown.groupBy("session_id", "unit").agg(F.min("chunk_id").alias("first_chunk"), F.first(F.coalesce("tokens", "raw")).alias("tokens"))
+    if windows is None:
+        return out
+    head = windows.where("head > 0").select("session_id", F.lit("head").alias("unit"), F.lit(-1).cast("long").alias("first_chunk"), F.col("head").cast("long").alias("tokens"))
+    tail = windows.where("tail > 0").select("session_id", F.lit("tail").alias("unit"), F.lit(2**62).alias("first_chunk"), F.col("tail").cast("long").alias("tokens"))
+    return out.unionByName(head).unionByName(tail)
+
+
+def _shown_total(chunks: DataFrame, shown: DataFrame, cover: DataFrame) -> DataFrame:
     """Per session: the shown memories and the chunks that none of them covers."""
-    held = chunks_of(shown, k).select("session_id", F.explode(F.sequence("first_chunk", "last_chunk")).alias("chunk_id"))
-    raw = chunks.join(held.hint("merge"), ["session_id", "chunk_id"], "left_anti").select("session_id", F.col("raw").alias("tokens"))
+    raw = chunks.join(cover.hint("merge"), ["session_id", "chunk_id"], "left_anti").select("session_id", F.col("raw").alias("tokens"))
     return raw.unionByName(shown.select("session_id", "tokens")).groupBy("session_id").agg(F.sum("tokens").alias("before"))
 
 
-def unfold_to_target(chunks: DataFrame, memories: DataFrame, shown: DataFrame, k: int, target: float) -> DataFrame:
+def unfold_to_target(chunks: DataFrame, memories: DataFrame, shown: DataFrame, edges: DataFrame, target: float) -> DataFrame:
     """Per session: tokens before and after the newest memory gives way to what it merged, again and again, while the
     total stays within the target. A memory opens before what is under it, so one order serves all steps."""
-    under = chunks_of(shown, k).select("session_id", F.col("level").alias("_top"), F.explode(F.sequence("first_chunk", "last_chunk")).alias("last_chunk"))
-    steps = _growth(chunks, memories, k).join(under.hint("merge"), ["session_id", "last_chunk"]).where("level <= _top")
+    tops = shown.select("session_id", "level", F.col("id").alias("ancestor"))
+    cover = closure(edges).join(tops.hint("merge"), ["session_id", "level", "ancestor"]).select("session_id", F.col("level").alias("_top"), "chunk_id")
+    steps = chunks_of(growth(chunks, memories, edges), edges)
+    steps = steps.join(cover.withColumnRenamed("chunk_id", "last_chunk").hint("merge"), ["session_id", "last_chunk"]).where("level <= _top")
     by = Window.partitionBy("session_id").orderBy(F.col("last_chunk").desc(), F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    totals = _shown_total(chunks, shown, k)
-    rows = steps.join(totals, "session_id").withColumn("_t", F.col("before") + F.sum("growth").over(by))
+    totals = _shown_total(chunks, shown, cover)
+    rows = steps.join(totals.hint("merge"), "session_id").withColumn("_t", F.col("before") + F.sum("growth").over(by))
     done = rows.withColumn("_worst", F.max("_t").over(by)).where(F.col("_worst") <= target)
     opened = done.groupBy("session_id").agg(F.sum("growth").alias("_g"), F.count("*").alias("unfolds"))
-    return totals.join(opened, "session_id", "left").select("session_id", "before", (F.col("before") + F.coalesce("_g", F.lit(0))).alias("after"), F.coalesce("unfolds", F.lit(0)).alias("unfolds"))
+    return totals.join(opened.hint("merge"), "session_id", "left").select("session_id", "before", (F.col("before") + F.coalesce("_g", F.lit(0))).alias("after"), F.coalesce("unfolds", F.lit(0)).alias("unfolds"))
 
 
 def _prefix(rows: DataFrame, start: str, target: float) -> DataFrame:
@@ -60,21 +61,104 @@ def _prefix(rows: DataFrame, start: str, target: float) -> DataFrame:
     return left.withColumn("_low", lowest).where(F.col("_low") > target).drop("_left", "_low")
 
 
-def coarsen(chunks: DataFrame, memories: DataFrame, k: int, window: float, target: float) -> DataFrame:
+def coarsen(chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: float, target: float) -> DataFrame:
     """The ideal cut's folds, from chunks with ``cap`` and ``salience``: past the target within the bands, in the order
     (level, least salient and oldest leaf); if that leaves more than the window, past the bands too."""
     ranked = chunks.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy("salience", "chunk_id")))
-    leaves = chunks_of(memories, k).select(*NODE, F.explode(F.sequence("first_chunk", "last_chunk")).alias("chunk_id"))
+    leaves = closure(edges).withColumnRenamed("ancestor", "id")
     groups = leaves.hint("merge").join(ranked.select("session_id", "chunk_id", "cap", "_r"), ["session_id", "chunk_id"]).groupBy(*NODE).agg(F.min("cap").alias("_cap"), F.min("_r").alias("rank"))
     totals = chunks.groupBy("session_id").agg(F.sum("raw").alias("before"))
-    rows = _growth(chunks, memories, k).select(*NODE, "growth").join(groups, NODE).join(totals, "session_id")
+    rows = growth(chunks, memories, edges).select(*NODE, "growth").join(groups.hint("merge"), NODE).join(totals.hint("merge"), "session_id")
     first = _prefix(rows.where("_cap >= level"), "before", target).select(*NODE, "growth", F.lit("within").alias("phase"))
-    left = totals.join(first.groupBy("session_id").agg(F.sum("growth").alias("_g")), "session_id", "left").select("session_id", (F.col("before") - F.coalesce("_g", F.lit(0))).alias("_now"))
-    past = rows.join(first.select(*NODE), NODE, "left_anti").join(left.where(F.col("_now") > window), "session_id")
+    left = totals.join(first.groupBy("session_id").agg(F.sum("growth").alias("_g")).hint("merge"), "session_id", "left").select("session_id", (F.col("before") - F.coalesce("_g", F.lit(0))).alias("_now"))
+    past = rows.join(first.select(*NODE).hint("merge"), NODE, "left_anti").join(left.where(F.col("_now") > window).hint("merge"), "session_id")
     second = _prefix(past, "_now", target).select(*NODE, "growth", F.lit("past").alias("phase"))
     return first.unionByName(second).withColumnRenamed("growth", "saving")
 
 
+def refine(shown: DataFrame, chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: float, target: float) -> DataFrame:
+    """The memories that open after coarsening, of a cut's shown memories (session_id, level, id): while the total is under the
+    target, from the top level down and newest first, each that brings it nearer to the target within the window.
+
+    What opens at a level follows from the total so far, so a level is a fold over its memories; what a memory opens to is looked
+    at on the level below.
+    """
+    steps = kept(chunks_of(growth(chunks, memories, edges), edges))
+    tops = shown.select("session_id", "level", F.col("id").alias("ancestor"))
+    cover = closure(edges).join(tops.hint("merge"), ["session_id", "level", "ancestor"]).select("session_id", "chunk_id")
+    now = _shown_total(chunks, steps.join(shown.select(*NODE).hint("merge"), NODE, "left_semi"), cover).withColumnRenamed("before", "total")
+    open_, done = shown.select(*NODE), None
+    start = lambda t: F.struct(t.cast("double").alias("t"), F.array().cast("array<bigint>").alias("opened"))
+
+    def step(s, x):
+        after = s["t"] + x["growth"]
+        take = (s["t"] < target) & (after <= window) & (F.abs(after - target) < F.abs(s["t"] - target))
+        return F.struct(F.when(take, after).otherwise(s["t"]).alias("t"), F.when(take, F.array_append(s["opened"], x["id"])).otherwise(s["opened"]).alias("opened"))
+
+    for level in range(memories.agg(F.max("level")).first()[0] or 0, 0, -1):
+        here = steps.join(open_.where(F.col("level") == level).hint("merge"), NODE, "left_semi")
+        items = F.array_sort(F.collect_list(F.struct((-F.col("last_chunk")).alias("_o"), "growth", "id")))  # a level's shown memories
+        folded = here.groupBy("session_id").agg(items.alias("_i")).join(now.hint("merge"), "session_id").withColumn("_s", F.aggregate("_i", start(F.col("total")), step))
+        folded = kept(folded.select("session_id", F.col("_s.t").alias("_t"), "_s.opened"))
+        opened = folded.select("session_id", F.lit(level).alias("level"), F.explode("opened").alias("id"))
+        done = opened if done is None else done.unionByName(opened)
+        now = now.join(folded.select("session_id", "_t").hint("merge"), "session_id", "left").select("session_id", F.coalesce("_t", F.col("total").cast("double")).alias("total"))
+        below = members(edges).join(opened.hint("merge"), NODE, "left_semi").select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
+        open_ = open_.unionByName(below)
+    return shown.select(*NODE).limit(0) if done is None else done
+
+
+def project(cut: DataFrame, edges: DataFrame) -> DataFrame:
+    """The valid cut below ``cut`` (session_id, chunk_id, level): leaves come down by one, deepest first, while the chunks under
+    their memory at that level don't all stand there; again and again until nothing changes.
+
+    A pass is a window a level over the sessions' rows, which one shuffle deals out; there are about as many passes as levels.
+    """
+    level_up = closure(edges).groupBy("session_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("level", "ancestor"))).alias("_up"))  # an entry a level
+    rows = cut.select("session_id", "chunk_id", F.col("level").cast("int").alias("level")).join(level_up.hint("merge"), ["session_id", "chunk_id"], "left")
+    now = kept(rows.repartition("session_id"))
+    while True:
+        top = now.agg(F.max("level")).first()[0] or 0
+        after = now.withColumn("_was", F.col("level"))
+        for level in range(top, 0, -1):
+            after = after.withColumn("_at", F.try_element_at("_up", F.lit(level)))
+            apart = F.count_if(F.col("level") != level).over(Window.partitionBy("session_id", "_at"))
+            after = after.withColumn("_n", apart).withColumn("level", F.when((F.col("_was") == level) & (F.col("_at").isNull() | (F.col("_n") > 0)), level - 1).otherwise(F.col("level")))
+        after = kept(after.select("session_id", "chunk_id", "level", "_up", (F.col("level") != F.col("_was")).alias("_moved")))
+        now = after.drop("_moved")
+        if after.where("_moved").isEmpty():
+            return now.select("session_id", "chunk_id", "level")
+
+
+def suffix_adopt(carried: DataFrame, ideal: DataFrame, chunks: DataFrame, memories: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """The cut (session_id, chunk_id, level) that takes the ideal's changes from a boundary on, projected: per session the oldest
+    boundary whose switch re-reads at most ``reach`` tokens, by a binary search over the changed chunks that all sessions make at once.
+
+    ``carried`` must be valid. A session without an affordable boundary keeps it.
+    """
+    raw = chunks.select("session_id", "chunk_id", "raw")
+    both = carried.withColumnRenamed("level", "_c").join(ideal.withColumnRenamed("level", "_i").hint("merge"), ["session_id", "chunk_id"]).join(raw.hint("merge"), ["session_id", "chunk_id"])
+    changed = F.when(F.col("_c") != F.col("_i"), F.row_number().over(Window.partitionBy("session_id", F.col("_c") != F.col("_i")).orderBy("chunk_id")) - 1)
+    both = kept(both.withColumn("_k", changed))
+    search = kept(both.groupBy("session_id").agg(F.lit(0).cast("long").alias("low"), F.count("_k").alias("high")))
+    place = lambda cut: layout(cut, memories, edges).withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("first_chunk")))
+    before = kept(place(both.select("session_id", "chunk_id", F.col("_c").alias("level"), "raw")))
+
+    def cut_at(boundary: DataFrame) -> DataFrame:
+        """The projected cut of each session's boundary (session_id, at): the at-th change and what is newer are the ideal's."""
+        edge = both.join(boundary.hint("merge"), "session_id")
+        from_ = F.min(F.when(F.col("_k") == F.col("at"), F.col("chunk_id"))).over(Window.partitionBy("session_id"))
+        return project(edge.withColumn("_f", from_).select("session_id", "chunk_id", F.when(F.col("chunk_id") >= F.col("_f"), F.col("_i")).otherwise(F.col("_c")).alias("level")), edges)
+
+    while not (going := search.where("low < high")).isEmpty():
+        mid = going.select("session_id", F.floor((F.col("low") + F.col("high")) / 2).cast("long").alias("at"))
+        cost = kv_cost(before, place(cut_at(mid).join(raw.hint("merge"), ["session_id", "chunk_id"]))).select("session_id", F.col("cost").alias("_cost"))
+        met = search.join(mid.join(cost.hint("merge"), "session_id").hint("merge"), "session_id", "left")
+        fits = F.col("_cost") <= reach
+        search = kept(met.select("session_id", F.when(F.col("at").isNull() | fits, F.col("low")).otherwise(F.col("at") + 1).alias("low"), F.when(fits, F.col("at")).otherwise(F.col("high")).alias("high")))
+    return cut_at(search.select("session_id", F.col("low").alias("at")))
+
+
 def adopt(stats: DataFrame, window: float, target: float, reach: float, gap: float) -> DataFrame:
     """Which step applies, of (session_id, now, now_loss, ideal, ideal_loss, cost, part, part_loss): hold the carried cut,
     switch to the ideal if that re-reads at most ``reach``, take its newest changes, or the ideal at its full cost."""
@@ -86,6 +170,14 @@ def adopt(stats: DataFrame, window: float, target: float, reach: float, gap: flo
     return rows.select("session_id", "branch", F.when(held, F.col("now")).when(F.col("branch") == "suffix", F.col("part")).otherwise(F.col("ideal")).alias("tokens"))
 
 
+def adopted_cut(branches: DataFrame, carried: DataFrame, ideal: DataFrame, part: DataFrame) -> DataFrame:
+    """The cut (session_id, chunk_id, level) that each session's branch takes: the carried one on hold, its newest changes on
+    suffix, else the ideal."""
+    named = [carried.withColumn("_b", F.lit("hold")), part.withColumn("_b", F.lit("suffix")), ideal.withColumn("_b", F.lit("ideal"))]
+    taken = branches.select("session_id", F.when(F.col("branch").isin("hold", "suffix"), F.col("branch")).otherwise("ideal").alias("_b"))
+    return named[0].unionByName(named[1]).unionByName(named[2]).join(taken.hint("merge"), ["session_id", "_b"], "left_semi").drop("_b")
+
+
 def carry_frontier(compiles: DataFrame, chunks: DataFrame) -> DataFrame:
     """The newest compile's nodes (session_id, compile_id, level, id, last_chunk), and chunks closed since as raw nodes."""
     newest = F.max("compile_id").over(Window.partitionBy("session_id"))
@@ -169,18 +261,18 @@ def reading_stretch(leaves: DataFrame, chunks: DataFrame, multiple: int) -> Data
     return one.where("_g = 1 and _n = _all").join(whole, ["session_id", "group"]).where(F.col("whole") >= multiple * F.col("portion")).select("session_id", "work", "group", "portion", "whole")
 
 
-def merge_source_text(texts: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+def merge_source_text(texts: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
     """The text that each merged memory was made from, one level deeper than what it merged: chunks (session_id, chunk_id,
     text) for level 2, recalls of its members' members above."""
-    width = F.when(F.col("level") == 2, k).otherwise(k * k)
-    deep = memories.where("level > 1").select(*NODE, (F.col("level") - 2).alias("_l"), F.explode(F.sequence(F.col("id") * width, F.col("id") * width + width - 1)).alias("_i"))
-    nodes = texts.select("session_id", F.lit(0).alias("_l"), F.col("chunk_id").alias("_i"), "text").unionByName(memories.select("session_id", F.col("level").alias("_l"), F.col("id").alias("_i"), "text"))
-    parts = F.array_sort(F.collect_list(F.struct("_i", "text")))  # at most k * k
+    under = edges.select("session_id", F.col("level").alias("_l"), F.col("id").alias("member"), F.col("member").alias("_i"))
+    deep = members(edges).withColumn("_l", F.col("level") - 1).hint("merge").join(under, ["session_id", "_l", "member"]).select(*NODE, (F.col("_l") - 1).alias("_l"), "_i")
+    nodes = texts.select("session_id", F.lit(0).alias("_l"), F.col("chunk_id").alias("_i"), F.col("chunk_id").alias("_o"), "text").unionByName(memories.select("session_id", F.col("level").alias("_l"), F.col("id").alias("_i"), F.col("first").alias("_o"), "text"))
+    parts = F.array_sort(F.collect_list(F.struct("_o", "text")))  # a memory's members' members
     return deep.hint("merge").join(nodes, ["session_id", "_l", "_i"]).groupBy(*NODE).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 
 
-def live_quarantine(quarantined: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+def live_quarantine(quarantined: DataFrame, edges: DataFrame) -> DataFrame:
     """Quarantined runs (session_id, run, level, id, a row for each member) less those with a member merged elsewhere."""
-    merged = members(memories, k).select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
+    merged = members(edges).select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
     stale = quarantined.join(merged, NODE, "left_semi").select("session_id", "run").distinct()
     return quarantined.join(stale, ["session_id", "run"], "left_anti")

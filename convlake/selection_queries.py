@@ -9,7 +9,7 @@ from . import plans as K
 from . import selection as Z
 from . import sources as S
 from .block_queries import TAKEN
-from .queries import CONV, CONV_PYRAMID, DOCS, SHARD, chunk_sql, conv_chunks, conv_memories, doc_chunks, priced, query
+from .queries import CONV, CONV_PYRAMID, DOCS, SHARD, chunk_sql, conv_chunks, conv_memories, conv_tree, doc_chunks, priced, query
 
 SPAN = "(2 ** (level - 1))::BIGINT"
 COST = """, below AS (SELECT session_id, 1 AS level, chunk_id AS id, raw AS cost FROM c UNION ALL SELECT session_id, level + 1, id // 2, tokens FROM m),
@@ -17,14 +17,11 @@ k AS (SELECT session_id, level, id, sum(cost) AS cost FROM below GROUP BY 1, 2,
 FREE = CONV_PYRAMID + TAKEN + ", u AS (SELECT m.* FROM m ANTI JOIN e USING (session_id, level, id))"
 
 
-def cut(s, d):
-    return conv_chunks(s, d).select("session_id", "chunk_id", (F.col("chunk_id") % 3).cast("int").alias("level"), "raw")
-
-
 @query(CONV_PYRAMID + """, t AS (SELECT session_id, chunk_id, raw, (chunk_id % 3)::INT AS level, CASE WHEN chunk_id % 3 > 0 THEN chunk_id // (2 ** (chunk_id % 3 - 1))::BIGINT END AS id FROM c)
 SELECT t.session_id, CASE WHEN m.tokens IS NULL THEN 'raw:' || chunk_id ELSE 'recall:' || t.level || ':' || t.id END AS unit, min(chunk_id) AS first_chunk, min(coalesce(m.tokens, raw)) AS tokens FROM t LEFT JOIN m USING (session_id, level, id) GROUP BY 1, 2""")
 def k1_layout(s, d):
-    return Z.layout(cut(s, d), conv_memories(s, d), 2)
+    chunks, memories, edges = conv_tree(s, d)
+    return Z.layout(chunks.select("session_id", "chunk_id", (F.col("chunk_id") % 3).cast("int").alias("level"), "raw"), memories, edges)
 
 
 @query(FREE + COST + f""", tot AS (SELECT session_id, sum(tokens)::BIGINT AS before FROM u GROUP BY 1),
@@ -32,8 +29,8 @@ r AS (SELECT g.session_id, g.growth, tot.before, tot.before + sum(growth) OVER w
 f AS (SELECT session_id, sum(growth)::BIGINT AS g, count(*) AS n FROM (SELECT *, max(t) OVER (PARTITION BY session_id ORDER BY n) AS worst FROM r) WHERE worst <= 300 GROUP BY 1)
 SELECT tot.session_id, before, before + coalesce(g, 0) AS after, coalesce(n, 0) AS unfolds FROM tot LEFT JOIN f USING (session_id)""")
 def k6_unfold_to_target(s, d):
-    memories = conv_memories(s, d)
-    return Z.unfold_to_target(conv_chunks(s, d), memories, K.unmerged(memories, 2), 2, 300)
+    chunks, memories, edges = conv_tree(s, d)
+    return Z.unfold_to_target(chunks, memories, K.unmerged(memories, edges), edges, 300)
 
 
 def prefix_sql(rows: str, start: str) -> str:
@@ -49,8 +46,9 @@ nw AS (SELECT b.session_id, b.before - coalesce(sum(growth), 0) AS now FROM b LE
 past AS (SELECT g.*, now FROM g JOIN nw USING (session_id) ANTI JOIN one ON one.session_id = g.session_id AND one.level = g.level AND one.id = g.id WHERE now > 220), two AS {prefix_sql("past", "now")}
 SELECT session_id, level, id, growth AS saving, 'within' AS phase FROM one UNION ALL SELECT session_id, level, id, growth, 'past' FROM two""")
 def k7_coarsen(s, d):
-    chunks = conv_chunks(s, d).withColumn("cap", 1 + F.col("chunk_id") % 2).withColumn("salience", (F.col("chunk_id") * 7) % 5)
-    return Z.coarsen(chunks, conv_memories(s, d), 2, 220, 200)
+    chunks, memories, edges = conv_tree(s, d)
+    chunks = chunks.withColumn("cap", 1 + F.col("chunk_id") % 2).withColumn("salience", (F.col("chunk_id") * 7) % 5)
+    return Z.coarsen(chunks, memories, edges, 220, 200)
 
 
 @query("""WITH a AS (SELECT user_id::VARCHAR AS session_id, sum(ceil(value)) FILTER (event_type = 'click') AS now, count(*) FILTER (event_type = 'view')::DOUBLE AS now_loss, sum(ceil(value)) FILTER (event_type = 'purchase') AS ideal, count(*) FILTER (event_type = 'error')::DOUBLE AS ideal_loss, sum(ceil(value)) FILTER (event_type = 'signup') AS cost, sum(ceil(value)) FILTER (event_type = 'view') AS part, count(*) FILTER (event_type = 'click')::DOUBLE AS part_loss FROM events GROUP BY 1),
@@ -90,7 +88,8 @@ def k14_fold_diff(s, d):
 @query(FREE + f""", w1 AS (SELECT *, id * {SPAN} AS a, (id + 1) * {SPAN} - 1 AS b FROM u), g AS (SELECT *, lag(b) OVER w AS pb, lag(level) OVER w AS pl FROM w1 WINDOW w AS (PARTITION BY session_id ORDER BY a)),
 z AS (SELECT session_id, max(chunk_id) AS e FROM c GROUP BY 1) SELECT g.session_id, bool_and(a = coalesce(pb, -1) + 1) AND max(b) = min(e) AS whole, NOT bool_or(coalesce(level > pl, false)) AS falling FROM g JOIN z USING (session_id) GROUP BY 1""")
 def k17_frontier_guarantees(s, d):
-    return Z.frontier_guarantees(K.chunks_of(K.unmerged(conv_memories(s, d), 2), 2), conv_chunks(s, d))
+    chunks, memories, edges = conv_tree(s, d)
+    return Z.frontier_guarantees(K.chunks_of(K.unmerged(memories, edges), edges), chunks)
 
 
 # --- work
@@ -165,11 +164,11 @@ def m12_merge_source_text(s, d):
     owned = C.owner_of(S.conversations(s, d), conv_chunks(s, d).select("session_id", "chunk_id", "first", "last")).where("chunk_id is not null")
     parts = F.array_sort(F.collect_list(F.struct("id", "text")))  # a chunk's messages
     texts = owned.groupBy("session_id", "chunk_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
-    return Z.merge_source_text(texts, conv_memories(s, d), 2)
+    return Z.merge_source_text(texts, *conv_tree(s, d)[1:])
 
 
 @query(CONV_PYRAMID + TAKEN + """, q AS (SELECT session_id, id // 3 AS run, level, id FROM m WHERE level = 1), stale AS (SELECT DISTINCT session_id, run FROM q SEMI JOIN e USING (session_id, level, id)) SELECT q.* FROM q ANTI JOIN stale USING (session_id, run)""")
 def m13_live_quarantine(s, d):
-    memories = conv_memories(s, d)
+    _, memories, edges = conv_tree(s, d)
     runs = memories.where("level = 1").select("session_id", F.floor(F.col("id") / 3).cast("long").alias("run"), "level", "id")
-    return Z.live_quarantine(runs, memories, 2)
+    return Z.live_quarantine(runs, edges)
