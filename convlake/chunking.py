@@ -19,13 +19,18 @@ def crossing(priced: DataFrame, limit: int, newest: bool = False) -> DataFrame:
     return priced.select("session_id", F.row_number().over(order).alias("k"), total.alias("t")).groupBy("session_id").agg((F.min(F.when(F.col("t") > limit, F.col("k"))) - 1).alias("inside"))
 
 
-def head_end(priced: DataFrame, limit: int) -> DataFrame:
-    """Where the head window ends; a tool call just before the edge stays with its result."""
+def head_end(priced: DataFrame, limit: int, chunks: DataFrame | None = None) -> DataFrame:
+    """Where the head window ends; a tool call just before the edge stays with its result. Once a session has a closed chunk
+    the head ends where its first one starts, and never moves."""
     total = F.sum("tokens").over(by_id().rowsBetween(Window.unboundedPreceding, 0))
     rows = priced.select("session_id", "id", total.alias("t"), F.lag("tool_use", 1, False).over(by_id()).alias("call"))
     over = F.when(F.col("t") > limit, F.struct("id", "call"))
     found = rows.groupBy("session_id").agg(F.min(over).alias("x"), F.count("*").alias("n"))
-    return found.select("session_id", F.coalesce(F.col("x.id") - F.col("x.call").cast("int"), F.col("n")).alias("head_end"))
+    free = F.coalesce(F.col("x.id") - F.col("x.call").cast("int"), F.col("n"))
+    if chunks is None:
+        return found.select("session_id", free.alias("head_end"))
+    frozen = chunks.groupBy("session_id").agg(F.min_by("first", "chunk_id").alias("_f"))
+    return found.join(frozen.hint("merge"), "session_id", "left").select("session_id", F.coalesce("_f", free).alias("head_end"))
 
 
 def tail_start(priced: DataFrame, limit: int) -> DataFrame:
@@ -81,6 +86,82 @@ def close_chunks(priced: DataFrame, target: int, least: int) -> DataFrame:
     return sized.where("_c").drop("_c")
 
 
+def spans(priced: DataFrame, target: int, least: int) -> DataFrame:
+    """chunks(session_id, chunk_id, first, last, raw, salience, group) where a message over twice the target is cut into
+    ceil(tokens / target) chunks of its own, one group; it closes the open run first, however small that is.
+
+    Needs tokens, ``cut`` (the price of what is left of a long text), salience and tool_use; a chunk is as salient as its least
+    message. Sessions are streamed as in chunk_of.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, t, n = None, 0, 0, 0
+        for batch in batches:
+            chunks, pieces, closes = [], [], []
+            for session, tokens, cut, call in zip(*[batch.column(c).to_pylist() for c in ("session_id", "tokens", "cut", "tool_use")], strict=True):
+                if session != at:
+                    at, chunk, t, n = session, 0, 0, 0
+                if tokens > 2 * target:
+                    chunk, t, n = chunk + (n > 0), 0, 0
+                    chunks.append(chunk)
+                    pieces.append(-(-tokens // target))
+                    closes.append(True)
+                    chunk += pieces[-1]
+                    continue
+                t, n = t + cut, n + 1
+                done = t >= target and n >= least and not call
+                chunks.append(chunk)
+                pieces.append(0)
+                closes.append(done)
+                if done:
+                    chunk, t, n = chunk + 1, 0, 0
+            own = [batch.column(c) for c in ("session_id", "id", "tokens", "cut", "salience")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(chunks, pa.int64()), pa.array(pieces, pa.int64()), pa.array(closes, pa.bool_())], ["session_id", "id", "tokens", "cut", "salience", "chunk_id", "pieces", "closes"])
+
+    rows = priced.select("session_id", "id", F.col("tokens").cast("long"), F.col("cut").cast("long"), F.col("salience").cast("double"), "tool_use").repartition("session_id").sortWithinPartitions("session_id", "id")
+    dealt = rows.mapInArrow(run, "session_id string, id long, tokens long, cut long, salience double, chunk_id long, pieces long, closes boolean")
+    each = F.explode(F.sequence(F.lit(0), F.greatest(F.col("pieces") - 1, F.lit(0)))).alias("_k")
+    rows = dealt.select("*", each).withColumn("chunk_id", F.col("chunk_id") + F.col("_k")).withColumn("_raw", F.when(F.col("pieces") > 0, F.floor(F.col("tokens") / F.col("pieces"))).otherwise(F.col("cut")).cast("long"))
+    group = F.max(F.when(F.col("pieces") > 0, F.concat(F.lit("g"), "id")))
+    sized = rows.groupBy("session_id", "chunk_id").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("_raw").alias("raw"), F.min("salience").alias("salience"), group.alias("group"), F.bool_or("closes").alias("_c"))
+    # an open run that another chunk follows was closed by it
+    return sized.withColumn("_top", F.max("chunk_id").over(Window.partitionBy("session_id"))).where("_c or chunk_id < _top").drop("_c", "_top")
+
+
+def groups_of(chunks: DataFrame) -> DataFrame:
+    """The group of each chunk that is a shard."""
+    return chunks.where("group is not null").select("session_id", "chunk_id", "group")
+
+
+def fixed_chunks(log: DataFrame, size: int) -> DataFrame:
+    """Chunks of a log's texts of at most ``size`` characters, a line end between messages: (session_id, chunk_id, start_id, start_offset,
+    end_id, end_offset, text). Texts come in pieces of at most ``size``; a piece that doesn't fit closes the chunk, and the last chunk stays open.
+    """
+    fields = "session_id string, chunk_id long, start_id long, start_offset long, end_id long, end_offset long, text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, held, used = None, 0, [], 0  # held: pieces (id, offset, text) of the open chunk
+        for batch in batches:
+            out = []
+            for session, mid, text in zip(*[batch.column(c) for c in ("session_id", "id", "text")], strict=True):
+                session, mid, text = session.as_py(), mid.as_py(), text.as_py() or ""
+                if session != at:
+                    at, chunk, held, used = session, 0, [], 0
+                for offset in range(0, len(text), size):
+                    piece = text[offset : offset + size]
+                    more = len(piece) + bool(held and held[-1][0] != mid)
+                    if held and used + more > size:
+                        whole = "".join(("\n" if k and held[k - 1][0] != p[0] else "") + p[2] for k, p in enumerate(held))
+                        out.append((at, chunk, held[0][0], held[0][1], held[-1][0], held[-1][1] + len(held[-1][2]), whole))
+                        chunk, held, used, more = chunk + 1, [], 0, len(piece)
+                    held.append((mid, offset, piece))
+                    used += more
+            kinds = [pa.string(), *[pa.int64()] * 5, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [f.split()[0] for f in fields.split(", ")])
+
+    return log.select("session_id", "id", "text").repartition("session_id").sortWithinPartitions("session_id", "id").mapInArrow(run, fields)
+
+
 def owner_of(log: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunk that holds each message: spans exploded to an equi-join."""
     ids = chunks.select("session_id", "chunk_id", F.explode(F.sequence("first", "last")).alias("id"))

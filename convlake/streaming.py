@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isfinite
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CHUNKS = "session_id string, chunk_id long, first long, last long, raw long"
+from .ledger import ALPHA, DAY, HIGH, LOW
+from .pricing import digest_words, written_tokens
+from .pyramid import l1_due
+
+CHUNKS = "session_id string, chunk_id long, first long, last long, raw long, late boolean"
 STATE = "chunk_id long, first long, last long, n long, tokens long"
 
 
 def close_chunks(priced: DataFrame, target: int, least: int) -> DataFrame:
     """chunks that close as messages (session_id, id, tokens, tool_use) arrive; the open run is the state.
 
-    Ids up to the last one seen are late or repeated and are let go: a closed chunk never opens again.
+    A closed chunk never opens again: a message up to the last one seen comes out as a row of its own with ``late`` set and no
+    chunk, for the caller to put aside.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -24,24 +31,107 @@ def close_chunks(priced: DataFrame, target: int, least: int) -> DataFrame:
         out = []
         for m in pd.concat(list(batches)).sort_values("id").itertuples():
             if m.id <= last:
+                out.append((key[0], None, m.id, m.id, m.tokens, True))
                 continue
             first = m.id if n == 0 else first
             last, n, tokens = m.id, n + 1, tokens + m.tokens
             if tokens >= target and n >= least and not m.tool_use:
-                out.append((key[0], chunk, first, last, tokens))
+                out.append((key[0], chunk, first, last, tokens, False))
                 chunk, n, tokens = chunk + 1, 0, 0
         state.update((int(chunk), int(first), int(last), int(n), int(tokens)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNKS.split(", ")]).astype({"chunk_id": "Int64"})
 
     return priced.groupBy("session_id").applyInPandasWithState(step, CHUNKS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def usage_windows(usage: DataFrame, size: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Tokens per session in tumbling windows; the same on a batch and on a stream."""
-    rows = usage.withWatermark("at", lateness).groupBy(F.window("at", size), "session_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+def due_work(chunks: DataFrame, at: str, holdback: int, k: int, words: int = 40) -> StreamingQuery:
+    """After each batch of closed chunks (session_id, chunk_id, first, last, raw, text) the L1s that are due and the merges by
+    count that they complete are appended to the tables ``at``/chunks and ``at``/memories.
+
+    A batch that comes again finds its own rows there and adds nothing, so each memory is written once.
+    """
+    spark = chunks.sparkSession
+    fields = "session_id string, level int, id long, first long, last long, text string, tokens long"
+    have = lambda name, schema: spark.read.schema(schema).parquet(f"{at}/{name}")
+    given = ", ".join(f"{c} {t}" for c, t in chunks.dtypes)
+    for name, schema in (("chunks", given), ("memories", fields)):
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{at}/{name}")
+
+    def step(batch: DataFrame, _: int) -> None:
+        batch.join(have("chunks", given), ["session_id", "chunk_id"], "left_anti").write.mode("append").parquet(f"{at}/chunks")
+        due = l1_due(have("chunks", given), have("memories", fields), holdback)
+        text = digest_words(F.col("text"), words)
+        due.select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("id"), "first", "last", text.alias("text"), written_tokens(text).alias("tokens")).write.mode("append").parquet(f"{at}/memories")
+        while True:
+            now = have("memories", fields)
+            parts = F.array_sort(F.collect_list(F.struct("id", "text")))  # at most k
+            up = now.groupBy("session_id", (F.col("level") + 1).alias("level"), F.floor(F.col("id") / k).cast("long").alias("id")).agg(F.count("*").alias("_n"), parts.alias("_p"), F.min("first").alias("first"), F.max("last").alias("last"))
+            joined = digest_words(F.array_join(F.transform("_p", lambda x: x["text"]), " "), words)
+            fresh = up.where(F.col("_n") == k).join(now.select("session_id", "level", "id"), ["session_id", "level", "id"], "left_anti").select("session_id", "level", "id", "first", "last", joined.alias("text"), written_tokens(joined).alias("tokens"))
+            if fresh.isEmpty():
+                return
+            fresh.write.mode("append").parquet(f"{at}/memories")
+
+    return chunks.writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/checkpoint").start()
+
+
+def calibrate(usage: DataFrame) -> DataFrame:
+    """Per session and batch: the multiplier after it, of compiles and reports (session_id, id, armed, reported) as they arrive; the state
+    is the multiplier, its samples, and what the last compile armed. Ids arrive in order; the rule is ledger.calibrate's."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        m, armed, n = state.get if state.exists else (1.0, 0.0, 0)
+        for x in pd.concat(list(batches)).sort_values("id").itertuples():
+            if not pd.isna(x.armed):
+                armed = x.armed
+            elif x.reported > 0 and isfinite(x.reported) and armed > 0:
+                ratio, armed = x.reported / armed, 0.0
+                if LOW <= ratio <= HIGH:
+                    m, n = min(HIGH, max(LOW, m + ALPHA * (ratio * m - m))), n + 1
+        state.update((float(m), float(armed), int(n)))
+        yield pd.DataFrame([(key[0], m, n)], columns=["session_id", "multiplier", "samples"])
+
+    return usage.groupBy("session_id").applyInPandasWithState(step, "session_id string, multiplier double, samples long", "m double, armed double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def rate_limit(posts: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Each post (channel, session_id, event_id, at, cap) as it arrives: accepted or not, and how many are left. Only accepted posts
+    count; the state is their times within the last day, at most ``cap``, and goes a day after the last one."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        made = list(state.get[0]) if state.exists else []
+        out = []
+        for x in pd.concat(list(batches)).sort_values(["at", "event_id"]).itertuples():
+            now = int(x.at.timestamp() * 1e6)
+            made = [t for t in made if t >= now - DAY]
+            good = len(made) < x.cap
+            if good:
+                made.append(now)
+            out.append((*key, x.event_id, good, max(0, x.cap - len(made))))
+        if made:
+            state.update((made,))
+            state.setTimeoutTimestamp(max(made[-1] // 1000 + DAY // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["channel", "session_id", "event_id", "accepted", "remaining"])
+
+    rows = posts.withWatermark("at", lateness).groupBy("channel", "session_id")
+    return rows.applyInPandasWithState(step, "channel string, session_id long, event_id long, accepted boolean, remaining long", "made array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def usage_windows(usage: DataFrame, size: str = "1 hour", lateness: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Tokens per session in windows, tumbling or, with a slide, sliding; the same on a batch and on a stream."""
+    rows = usage.withWatermark("at", lateness).groupBy(F.window("at", size, slide), "session_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     return rows.select("session_id", F.col("window.start").alias("start"), "tokens", "n")
 
 
+def usage_sessions(usage: DataFrame, gap: str = "6 hours", lateness: str = "10 minutes") -> DataFrame:
+    """Tokens per session in stretches of use that no ``gap`` parts."""
+    rows = usage.withWatermark("at", lateness).groupBy(F.session_window("at", gap), "session_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    return rows.select("session_id", F.col("session_window.start").alias("start"), "tokens", "n")
+
+
 def dedupe_append(messages: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """A message id that arrives again within the lateness counts once."""
     return messages.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["session_id", "id"])
