@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 2_000
+#: A hub is a node with a HUB-th of the edges or more, so there are 2 * HUB at most.
+HUB = 1_000
 RANK_ROWS = 20_000
 
 
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests), one is made and set."""
+    """The folder all executors share. Only a local session that names none, as in tests, gets one made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,7 +54,7 @@ class Scratch:
 
 def join_checked(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``other`` if it has at most ``limit`` rows, counted here; else a sort-merge join, whose hot keys AQE splits."""
-    small = len(other.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit
+    small = other.limit(limit + 1).count() <= limit
     return df.join(F.broadcast(other) if small else other.hint("merge"), on, how)
 
 
@@ -78,6 +82,13 @@ def spread(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 33)
 
 
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with their node's m. Hubs, few by their definition, are broadcast, so no task gathers a hub's edges."""
+    hubs = F.broadcast(least.where(F.col("n") * HUB >= total).select("a", "m"))
+    others = rows.join(hubs.select("a"), "a", "left_anti")
+    return rows.join(hubs, "a").unionByName(others.join(least.select("a", "m").hint("merge"), "a"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (node, root): the smallest node reachable over ``edges`` (a, b), for nodes with an edge.
 
@@ -92,11 +103,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen, step = mark, step + 1
         sides = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = sides.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = scratch.save(sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), f"least{step}")
+        large = _with_least(sides, least, mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = scratch.save(large, f"large{step}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        smallest = scratch.save(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), f"smallest{step}")
+        small = _with_least(large, smallest, mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smallest.select("a", F.col("m").alias("b")))
         after = scratch.save(small.where("a <> b").distinct(), f"edges{step}")
-        scratch.drop(f"large{step}", f"edges{step - 1}")
+        scratch.drop(f"large{step}", f"least{step}", f"smallest{step}", f"edges{step - 1}")
         now = after

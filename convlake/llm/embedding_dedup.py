@@ -87,12 +87,16 @@ def compare_cell(threshold: float, bits: int):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, width: int | None = None) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Only vectors with equal labels, not null, and equal lengths link. Vectors that are null, empty, zero or hold
     null or non-finite numbers link with nothing, nor do rows without a vec_id. Equal vectors of a label are one
-    class, compared once; its rows count as links of each other and of all that links with one of them.
+    class, compared once; its rows count as links of each other and of all that links with one of them. Rows that repeat
+    a vec_id are rows of their class; other columns are ignored; an empty table gives no rows.
+
+    ``width`` is the bits of a band; unless given it follows from the largest label, and the number of bands from it, so that a
+    pair at the threshold meets with the chance RECALL whatever the width. The README has what was measured.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -103,7 +107,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = rows.where("h1 is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
     classes = scratch.save(classes.withColumn("dim", F.size("embedding")), "classes")
     most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    width = min(24, max(2, ceil(log(max(most, 1) / TILE + 1, 2))))
+    width = width or min(24, max(2, ceil(log(max(most, 1) / TILE + 1, 2))))
     agree = 1 - acos(threshold) / pi
     bands = max(1, ceil(log(1 - RECALL) / log(1 - agree**width)))
     bits = max(MIN_BITS, width * bands)

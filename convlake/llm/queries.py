@@ -66,7 +66,7 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10}
+    return {"op6_substring_dedup": OP6, "op10_exact_dedup": OP10}
 
 
 OP10 = """
@@ -74,3 +74,15 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
+
+OP6 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+n AS (SELECT doc_id, i, md5(string_agg(w, ' ') OVER f) AS h, count(*) OVER f AS n FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+first AS (SELECT h, min(doc_id) AS least FROM n WHERE n = 50 GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, i, 1 AS g FROM n JOIN first USING (h) WHERE n = 50 AND doc_id > least),
+c AS (SELECT doc_id, i, w, coalesce(max(g) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS g FROM x LEFT JOIN gone USING (doc_id, i)),
+r AS (SELECT *, g = 1 AND coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM c),
+o AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (g = 1) AS n_removed, count(*) FILTER (opens) AS n_spans, sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (g = 0), '')) AS kept_sha256 FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""

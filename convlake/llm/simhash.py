@@ -102,7 +102,7 @@ def near_links(classes: DataFrame, total: int, tile: int = TILE) -> DataFrame:
     side 0 for a tile with itself. The edges of a cell are a forest, so their number is bounded by its rows.
     """
     bits = max(0, min(16, int(np.ceil(np.log2(max(total, 1) / tile)))))
-    words = F.array(*[F.struct(F.lit(w).alias("w"), F.shiftrightunsigned(F.col("fp"), 64 - 16 * w - bits).bitwiseAND(F.lit(2**bits - 1)).alias("v")) for w in range(4)])
+    words = F.array(*[F.struct(F.lit(w).alias("w"), F.shiftrightunsigned(F.col("fp"), 64 - 16 * w - bits).bitwiseAND(F.lit(2**bits - 1)).alias("v")) for w in range(4 if bits else 1)])
     rows = classes.select("fp", "node", F.bit_count("fp").alias("pc"), F.explode(words).alias("g")).select("fp", "node", "pc", "g.w", "g.v")
     group = ["w", "v"]
     counts = rows.groupBy(*group, "pc").count()
@@ -128,7 +128,8 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that is reachable over fingerprints within 3 bits, itself included. Null and
     empty texts have fingerprint zero and link with each other and whatever else is near it. Rows that repeat are
-    rows of one class; a null doc_id is never a component's id unless no other is in its class (then it is null).
+    rows of one class; a null doc_id is never a component's id unless no other is in its class (then it is null). An empty
+    table gives no rows; a text's words are hashed as they are, however long it is, and its bits counted some at a time.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs), "fingerprints")

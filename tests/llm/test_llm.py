@@ -130,6 +130,28 @@ def test_embedding_dedup(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+@pytest.mark.parametrize("width", [8, 16])
+def test_embedding_dedup_finds_its_links_in_many_bands(spark, width):
+    from convlake.llm.embedding_dedup import embedding_dedup
+
+    draw, dim, n = np.random.default_rng(4), 48, 1_500
+    rows = draw.standard_normal((n, dim))
+    for i in range(500, n):  # near the threshold on either side
+        j = draw.integers(0, 500)
+        noise = draw.standard_normal(dim)
+        rows[i] = rows[j] + noise * draw.uniform(0.12, 0.24) * np.linalg.norm(rows[j]) / np.linalg.norm(noise)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(n, dtype=bool)
+    links = near.sum(axis=1)
+    data = [(i, 1, rows[i].tolist(), "x", i) for i in range(n)] + [(n, 1, rows[0].tolist(), "x", 0), (n, 1, rows[0].tolist(), "x", 0)]
+    df = spark.createDataFrame(data, "vec_id long, label int, embedding array<double>, keys string, band long")
+    got = {r.vec_id: r.n_links for r in embedding_dedup(df, width=width).where(f"vec_id < {n}").collect()}
+    want = {i: int(links[i]) + 2 * int(i == 0 or near[i, 0]) for i in range(n)}
+    assert sum(want.values()) > 500 and all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+    assert embedding_dedup(df.limit(0)).collect() == []
+
+
 def test_code_estimates_are_unbiased_and_bounded():
     from convlake.llm.embedding_dedup import encode, estimate, rotations, units
 
@@ -575,3 +597,43 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert mixed.columns == docs.columns
     out = cp.run(spark, str(tmp_path))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_takes_clashing_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    draw = random.Random(1)
+    say = lambda n: " ".join("".join(draw.choices("abcdefgh", k=4)) for _ in range(n))
+    names = ["copies", "_h1", "fp", "node", "text_sha256", "piece", "score", "slice"]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in names)
+    rows = [(i, say(40), "en", f"s{i % 3}", 1, *names) for i in range(30)] + [(30, None, "en", None, 0, *names), (31, "", None, "s0", 0, *names), (32, say(20_000), "en", "s1", 1, *names)]
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, i % 2) for i in range(10)] if data else [], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, f in cp.STAGES[1:-1]:
+            out = f(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns == docs.columns and (out.count() > 0) == bool(data), stage
+        assert (cp.run(spark, f"{tmp_path}/{name}").count() > 0) == bool(data)
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from convlake.llm import common
+
+    monkeypatch.setattr(common, "HUB", 20)
+    edges = [(i, 5_000) for i in range(1, 300)] + [(i, i + 1) for i in range(6_000, 6_040)] + [(7_000, 7_001), (7, 7)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "hub")).collect()}
+    assert got == {**{i: 1 for i in range(1, 300)}, 5_000: 1, **{i: 6_000 for i in range(6_000, 6_041)}, 7_000: 7_000, 7_001: 7_000}
+
+
+def test_substring_dedup_equals_its_sql(spark, docs):
+    import duckdb
+
+    from convlake.llm.queries import llm_oracle_sql
+    from convlake.llm.substring_dedup import substring_dedup
+
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).toPandas()
+    con = duckdb.connect()
+    con.register("documents", some[["doc_id", "text"]])
+    want = sorted(con.sql(llm_oracle_sql()["op6_substring_dedup"]).fetchall())
+    assert sorted(tuple(r) for r in substring_dedup(spark.createDataFrame(some[["doc_id", "text"]])).collect()) == want
