@@ -25,25 +25,33 @@ def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, label: st
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model accepts. A null or empty text is judged by the model's value at no evidence; without labels all stay."""
     return fit_toxicity(docs, table(spark, sf_dir, "labels")).accepted(docs, THRESHOLD)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; null and empty texts are equal. An empty table stays empty."""
     return _without(spark, docs, exact_dedup(docs).where("not kept").select("doc_id"), "exact")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id; texts without words are one group."""
     return _without(spark, docs, simhash_dedup(docs).where("doc_id <> component_id").select("doc_id"), "near")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("doc_id is not null")
+    """Each document as often as the mix takes it, so some not at all. A null source is a source; rows without a doc_id come once."""
+    name = "copies"
+    while name in docs.columns:
+        name += "_"
+    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias(name)).where("doc_id is not null")
     taken = docs.join(Scratch(spark, "pipeline").save(copies, "copies").hint("merge"), "doc_id", "left")
-    times = F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)))
-    return taken.withColumn("copies", F.explode(times)).select(*docs.columns)
+    times = F.array_repeat(F.lit(0), F.coalesce(F.col(name), F.lit(1)))
+    return taken.withColumn(name, F.explode(times)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences; a null text is a single end mark, and texts are cut only where they exceed a sequence."""
     return pack(docs)
 
 
