@@ -35,6 +35,9 @@ TYPE_TOKENS, PROPS = tokens_sql("event_type"), tokens_sql("props")
 QUARTER, JSON = "ceil(length(props) / 4.0::DOUBLE)::BIGINT", "length(json(props)::VARCHAR)"
 RAW = f"({TYPE_TOKENS} + {per_kind(f'ceil({JSON} / 2.3::DOUBLE) + 20', 'ceil(length(props) / 2.3::DOUBLE)', '1600', PROPS, '600', PROPS)})::DOUBLE"
 ONLY = f"ceil(length(event_type) / 4.0::DOUBLE)::BIGINT + {per_kind(f'ceil({JSON} / 4.0::DOUBLE)::BIGINT + 20', QUARTER, '0', QUARTER, '0', QUARTER)}"
+APART = per_kind(JSON, "length(props)", "6400", "0", "0", "0")
+WHOLE = f"length(event_type) + {per_kind(JSON, 'length(props)', '6400', 'length(props)', '0', 'length(props)')}"
+SALIENCE = f"greatest(0.2::DOUBLE, 1 - 0.8::DOUBLE * least(1.0::DOUBLE, ({APART}) / ({WHOLE})::DOUBLE))"
 BYTES = "CASE WHEN event_type = 'signup' THEN floor(value * 1000)::BIGINT ELSE 0 END"
 
 
@@ -63,7 +66,7 @@ def p12_image_bytes(s, d):
     return event_messages(s, d).select("id", B.image_bytes(F.col("content")).alias("image_bytes"))
 
 
-@query(f"SELECT user_id::VARCHAR AS session_id, event_id AS id, {per_kind("'text,tool_use'", "'text,tool_result'", "'image,text'", "'text,thinking'", "'text,thinking'", "'text'")} AS kinds, {RAW} AS raw, (event_type = 'signup')::BIGINT AS images, {BYTES} AS image_bytes, {ONLY} AS text_only FROM events")
+@query(f"SELECT user_id::VARCHAR AS session_id, event_id AS id, {per_kind("'text,tool_use'", "'text,tool_result'", "'image,text'", "'text,thinking'", "'text,thinking'", "'text'")} AS kinds, {RAW} AS raw, (event_type = 'signup')::BIGINT AS images, {BYTES} AS image_bytes, {ONLY} AS text_only, {SALIENCE} AS salience FROM events")
 def p14_message_price(s, d):
     return B.message_price(event_messages(s, d)).withColumn("kinds", F.array_join("kinds", ","))
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pricing import DENSE, density_tokens, flat_tokens, round_half_up, trim_js, utf16_len
+from .pricing import DENSE, density_tokens, external, flat_tokens, round_half_up, trim_js, utf16_len
 
-BLOCK = "type string, text string, data string, id string, name string, input string, signature string, stamp double, bytes long"
+BLOCK = "type string, text string, data string, id string, name string, input string, signature string, stamp double, bytes long, parts array<struct<type:string,text:string,stamp:double,bytes:bigint>>"
 # Fixed values of the rules.
 HIDDEN, CALL, IMAGE, MEDIA = 600, 20, 1600, 1000
+IMAGE_CHARS, FLAT_IMAGE = 6400, 400
 REASONING = ["thinking", "redacted_thinking"]
 
 
@@ -43,8 +47,31 @@ def text_only_tokens(b: Column) -> Column:
     return F.when(said, flat_tokens(b["text"])).when(b["type"] == "tool_use", F.ceil(json_len(b["input"]) / 4.0) + CALL).otherwise(0)
 
 
+def flat_tokens_of(content: Column) -> Column:
+    """A quarter of all characters, an image counting as FLAT_IMAGE of them; a call's are its input's."""
+    own = lambda b: F.when(b["type"] == "image", FLAT_IMAGE).otherwise(F.coalesce(F.length(F.when(b["type"] == "tool_use", b["input"]).otherwise(b["text"])), F.lit(0)))
+    return F.floor(_total(content, own, "long") / 4).cast("long")
+
+
+def content_salience(content: Column) -> Column:
+    """1 for talk, down to 0.2 for what exists elsewhere: fenced code, bare link lines, what tools were given and gave, images."""
+    size = lambda text: F.coalesce(utf16_len(text), F.lit(0)).cast("long")
+    nested = lambda b: F.aggregate(F.coalesce(b["parts"], F.array()), F.lit(0).cast("long"), lambda a, p: a + F.when(p["type"] == "image", IMAGE_CHARS).otherwise(size(p["text"])))
+    whole = lambda b: F.when(b["type"] == "image", F.lit(IMAGE_CHARS).cast("long")).when(b["type"] == "tool_use", json_len(F.coalesce(b["input"], F.lit("{}"))).cast("long")).otherwise(size(b["text"]) + nested(b))
+    apart = lambda b: F.when(b["type"].isin("image", "tool_use", "tool_result"), whole(b)).when(b["type"] == "text", F.coalesce(external(b["text"]), F.lit(0))).otherwise(0)
+    total = _total(content, whole, "long")
+    return F.when(total <= 0, 1.0).otherwise(F.greatest(F.lit(0.2), 1 - 0.8 * F.least(F.lit(1.0), _total(content, apart, "long") / total)))
+
+
+def block_prices(content: Column) -> Column:
+    """The uncalibrated price of each block, for store_tokens."""
+    return F.transform(content, raw_tokens)
+
+
 def raw_tokens(b: Column) -> Column:
-    """The uncalibrated price by kind; a stamped estimate goes first for reasoning and images."""
+    """The uncalibrated price by kind; a stamped estimate goes first for reasoning and images. A result of parts costs what
+    they do."""
+    part = lambda p: F.when(p["type"] == "image", F.coalesce(p["stamp"], F.lit(float(IMAGE)))).when(p["type"] == "text", F.coalesce(density_tokens(p["text"]), F.lit(0)).cast("double")).when(p["type"].isin("document", "audio", "video"), float(MEDIA)).otherwise(0.0)
     kind, text = b["type"], b["text"]
     hidden = (F.coalesce(b["signature"], F.lit("")) != "") & (F.coalesce(text, F.lit("")) == "")
     return (
@@ -53,6 +80,7 @@ def raw_tokens(b: Column) -> Column:
         .when(kind.isin("thinking", "text"), F.coalesce(density_tokens(text), F.lit(0)))
         .when(kind == "redacted_thinking", F.when(F.length(b["data"]) > 0, round_half_up(utf16_len(b["data"]) / 6.0)).otherwise(HIDDEN))
         .when(kind == "tool_use", F.ceil(json_len(b["input"]) / DENSE) + CALL)
+        .when((kind == "tool_result") & b["parts"].isNotNull(), F.aggregate(b["parts"], F.lit(0.0), lambda a, p: a + part(p)))
         .when(kind == "tool_result", F.coalesce(F.ceil(utf16_len(text) / DENSE), F.lit(0)))
         .when(kind == "image", IMAGE)
         .when(kind.isin("document", "audio", "video"), MEDIA)
@@ -65,7 +93,7 @@ def image_bytes(content: Column) -> Column:
 
 
 def message_price(messages: DataFrame) -> DataFrame:
-    """What windows and chunks read of a message: kinds, raw, images, image_bytes, text_only. Computed once."""
+    """What windows and chunks read of a message: kinds, raw, images, image_bytes, text_only, salience. Computed once."""
     c = F.col("content")
     return messages.withColumns({
         "kinds": F.array_sort(F.array_distinct(F.transform(c, lambda b: b["type"]))),
@@ -73,6 +101,7 @@ def message_price(messages: DataFrame) -> DataFrame:
         "images": F.size(F.filter(c, lambda b: b["type"] == "image")).cast("long"),
         "image_bytes": image_bytes(c),
         "text_only": _total(c, text_only_tokens, "long"),
+        "salience": content_salience(c),
     }).drop("content")
 
 
@@ -83,7 +112,7 @@ def well_formed(b: Column) -> Column:
         F.when(kind.isin("text", "thinking"), there("text"))
         .when(kind == "redacted_thinking", there("data"))
         .when(kind == "tool_use", there("id", "name", "input"))
-        .when(kind == "tool_result", there("id", "text"))
+        .when(kind == "tool_result", there("id") & (b["text"].isNotNull() | b["parts"].isNotNull()))
         .when(kind.isin("image", "document", "audio", "video"), b["data"].isNotNull() | b["bytes"].isNotNull())
         .otherwise(F.lit(False))
     )
@@ -110,15 +139,22 @@ def usage_input(provider: Column, n: Column, written: Column, read: Column) -> C
     return F.when((n >= 0) & (total > 0), total)
 
 
-def admit(items: DataFrame, count: int, size: int) -> DataFrame:
-    """Per session, newest first: items (id, bytes) that fit ``count`` and ``size`` (0: no limit). One that doesn't fit
-    is skipped and the next is tried, so this is a fold, not a running sum."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(s, i):
-        fits = F.lit(True) if not count else s["n"] < count
-        fits = fits & (s["b"] + i["bytes"] <= size) if size else fits
-        return F.struct((s["n"] + fits.cast("long")).alias("n"), F.when(fits, s["b"] + i["bytes"]).otherwise(s["b"]).alias("b"), F.when(fits, F.array_append(s["kept"], i["id"])).otherwise(s["kept"]).alias("kept"))
-
-    newest = F.reverse(F.array_sort(F.collect_list(F.struct("id", F.col("bytes").cast("long").alias("bytes")))))
-    return items.groupBy("session_id").agg(newest.alias("items")).select("session_id", F.explode(F.aggregate("items", start, step, lambda s: s["kept"])).alias("id"))
+def admit(items: DataFrame, count: int, size: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """Per session, newest id first and by ``within`` in it: items (id, bytes) that fit ``count`` and ``size`` (0: no limit). One that
+    doesn't fit is skipped and the next is tried, so sessions are streamed in that order; the state is what was kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, used = None, 0, 0
+        for batch in batches:
+            fits = []
+            for session, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if session != at:
+                    at, n, used = session, 0, 0
+                fits.append((not count or n < count) and (not size or used + more <= size))
+                if fits[-1]:
+                    n, used = n + 1, used + more
+            yield batch.filter(pa.array(fits, pa.bool_()))
+
+    kept = ["id", *within]
+    rows = items.select("session_id", F.col("bytes").cast("long").alias("bytes"), *kept).repartition("session_id").sortWithinPartitions("session_id", F.col("id").desc(), *within)
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes)).select("session_id", *kept)

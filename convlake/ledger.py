@@ -98,7 +98,9 @@ def input_bound(n_messages: Column, payload_bytes: Column) -> Column:
 
 
 def turns_of(log: DataFrame) -> DataFrame:
-    """Turns start at a user's message."""
+    """Turns start at a user's message that isn't a call's results (``tool_result``, where the log has it)."""
+    starts = F.col("participant") == "user"
+    starts = starts & ~F.col("tool_result") if "tool_result" in log.columns else starts
     by = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = log.withColumn("turn", F.sum((F.col("participant") == "user").cast("int")).over(by))
+    numbered = log.withColumn("turn", F.sum(starts.cast("int")).over(by))
     return numbered.groupBy("session_id", "turn").agg(F.min("id").alias("first"), F.max("id").alias("last"))

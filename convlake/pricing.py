@@ -50,13 +50,18 @@ def store_tokens(raw: Column, multiplier: float = 1.0) -> Column:
     return F.aggregate(raw, F.lit(0).cast("long"), lambda a, r: a + round_half_up(r * multiplier))
 
 
-def salience(s: Column) -> Column:
-    """1 for talk, down to 0.2 for what exists elsewhere: fenced code and bare link lines."""
+def external(s: Column) -> Column:
+    """Characters of fenced code and bare link lines."""
     size = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + utf16_len(p))
     fenced = F.filter(F.split(s, "```"), lambda p, i: i % 2 == 1)
     links = F.filter(F.transform(F.split(s, "\n"), trim_js), lambda p: p.rlike(f"^https?://[^{JS_SPACE[1:-1]}]+$"))
+    return size(fenced) + size(links)
+
+
+def salience(s: Column) -> Column:
+    """1 for talk, down to 0.2 for what exists elsewhere: fenced code and bare link lines."""
     total = utf16_len(s)
-    return F.when(F.coalesce(total, F.lit(0)) <= 0, 1.0).otherwise(F.greatest(F.lit(0.2), 1 - 0.8 * F.least(F.lit(1.0), (size(fenced) + size(links)) / total)))
+    return F.when(F.coalesce(total, F.lit(0)) <= 0, 1.0).otherwise(F.greatest(F.lit(0.2), 1 - 0.8 * F.least(F.lit(1.0), external(s) / total)))
 
 
 def strip_thinking(s: Column) -> Column:

@@ -95,6 +95,21 @@ def cap_images(images: DataFrame, size: int) -> DataFrame:
     return images.join(kept, ["session_id", "id"], "left").select("session_id", "id", F.col("_k").isNotNull().alias("kept"))
 
 
+def cap_nested_images(images: DataFrame, size: int) -> DataFrame:
+    """Images (session_id, id, pos, part, bytes; part -1 for a block of its own, else its place in a result) with whether each is
+    kept: newest turn first and in a turn's order while bytes fit; 0 keeps all."""
+    kept = admit(images, 0, size, ("pos", "part")).withColumn("_k", F.lit(True))
+    on = ["session_id", "id", "pos", "part"]
+    return images.join(kept.hint("merge"), on, "left").select(*on, F.col("_k").isNotNull().alias("kept"))
+
+
+def admit_request(sized: DataFrame, reserve: int, budget: int) -> DataFrame:
+    """Requests (session_id, n: messages, bytes) with their estimate (bytes), their bound (with what roles and marks can add), and
+    whether the bound and the output's reserve fit the budget; rejected ones keep both numbers."""
+    bound = F.col("bytes") + 512 + 128 * F.col("n")
+    return sized.select("session_id", F.col("bytes").alias("estimate"), bound.alias("bound"), (bound + reserve).alias("needed"), (bound + reserve <= budget).alias("admitted"))
+
+
 def cache_marks(before: DataFrame, after: DataFrame, head: int) -> DataFrame:
     """Of entries (session_id, pos, key): the last of the head, the end of the unchanged prefix, and the last entry."""
     was = before.select("session_id", "pos", F.col("key").alias("_was"))

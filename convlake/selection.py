@@ -197,6 +197,41 @@ def fold_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return changed.agg(F.sum("_gone").alias("replaced"), F.sum(1 - F.col("_gone")).alias("shown"), F.sum("tokens").alias("saved"))
 
 
+def fold_diffs(frontiers: DataFrame) -> DataFrame:
+    """How each compile of frontiers (session_id, compile_id, level, id, last_chunk, tokens) folds what the one before it showed."""
+    each = frontiers.select("session_id", "compile_id").distinct()
+    after = each.withColumn("_next", F.lead("compile_id").over(Window.partitionBy("session_id").orderBy("compile_id")))
+    key = lambda df, c: df.withColumn("session_id", F.concat_ws("\x1f", "session_id", c))
+    moved = frontiers.join(after.where("_next is not null").hint("merge"), ["session_id", "compile_id"])
+    found = fold_diff(key(moved, "_next"), key(frontiers.join(after.where("_next is not null").select("session_id", F.col("_next").alias("compile_id")).hint("merge"), ["session_id", "compile_id"]), "compile_id"))
+    part = F.split("session_id", "\x1f")
+    return found.select(part[0].alias("session_id"), part[1].cast("long").alias("compile_id"), "replaced", "shown", "saved")
+
+
+def held_in_band(before: DataFrame, after: DataFrame, totals: DataFrame, window: float, low: float) -> DataFrame:
+    """Per session (session_id, total: of the carried frontier): whether a total inside the band left the frontier as it was."""
+    changed = before.select(*NODE).join(after.select(*NODE), NODE, "left_anti").unionByName(after.select(*NODE).join(before.select(*NODE), NODE, "left_anti")).select("session_id", F.lit(True).alias("_c")).distinct()
+    inside = F.col("total").between(window * low, window)
+    return totals.join(changed.hint("merge"), "session_id", "left").select("session_id", inside.alias("inside"), (~inside | F.col("_c").isNull()).alias("kept"))
+
+
+def merge_first_run(candidates: DataFrame, taken: DataFrame, k: int, widest: int | None = None) -> DataFrame:
+    """The stricter rule of merges: a level has a merge due only with ``k`` unmerged memories (session_id, level, id, first, last) that
+    aren't too wide for it, and only its first run that has k of them, or two with a newer run after it."""
+    each = Window.partitionBy("session_id", "level")
+    free = candidates.join(taken, NODE, "left_anti").withColumn("_all", F.count("*").over(each))
+    if widest is not None:
+        free = free.where(F.col("last") - F.col("first") <= widest * F.pow(F.lit(float(k)), F.greatest(F.lit(0), F.col("level") - 3)))
+    by = each.orderBy("first", "last")
+    broken = F.coalesce((F.col("first") != F.lag("last").over(by) + 1).cast("int"), F.lit(1))
+    numbered = free.where(F.col("_all") >= k).withColumn("_b", broken).withColumn("run", F.sum("_b").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("session_id", "level", "run")
+    sized = numbered.withColumn("_n", F.count("*").over(run)).withColumn("_k", F.row_number().over(run.orderBy("first", "last"))).withColumn("_newest", F.max("run").over(each))
+    due = (F.col("_n") >= k) | (F.col("_n") >= 2) & (F.col("run") < F.col("_newest"))
+    chosen = sized.withColumn("_first", F.min(F.when(due, F.col("run"))).over(each))
+    return chosen.where((F.col("run") == F.col("_first")) & (F.col("_k") <= k)).select(*NODE, F.min("first").over(run).alias("first"), "run")
+
+
 def frontier_guarantees(shown: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per session: whether shown nodes (level, first_chunk, last_chunk) tile its chunks, and levels fall to the present."""
     by = Window.partitionBy("session_id").orderBy("first_chunk")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,3 +140,15 @@ def write_layers(items: DataFrame, path: str) -> None:
 def layers(spark: SparkSession, path: str, level: int) -> DataFrame:
     """One layer of that table; other levels' folders aren't read."""
     return spark.read.parquet(path).where(F.col("level") == level)
+
+
+def append(log_path: str, fresh: DataFrame, order: str, buckets: int = 64, schema: str = LOG_SCHEMA) -> None:
+    """Add ``fresh`` at the end of each session's log, a table by bucket of session, with the ids that continue it."""
+    spark = fresh.sparkSession
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+    try:
+        log = spark.read.schema(f"{schema}, bucket int").parquet(log_path)
+    except AnalysisException:  # none yet
+        log = spark.createDataFrame([], f"{schema}, bucket int")
+    names = [c.split()[0] for c in schema.split(", ")]
+    append_ids(log, fresh, order).select(*names).withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(log_path)

@@ -80,3 +80,17 @@ def kv_cost(before: DataFrame, after: DataFrame) -> DataFrame:
 def misallocation(cut: DataFrame) -> DataFrame:
     """Of a cut (session_id, level, cap, salience): depth past the cap, weighted by salience."""
     return cut.groupBy("session_id").agg(F.sum(F.col("salience") * F.greatest(F.lit(0), F.col("level") - F.col("cap"))).alias("misallocation"))
+
+
+def next_rung(calls: DataFrame) -> DataFrame:
+    """Per target of calls (target, id, stop, text) so far: how the next one asks, or none if the last reply is accepted or nothing
+    is left to ask. A call for tools leads to a line against them, then to no tools; a reply that was all reasoning to plain prose;
+    any other failure to a request with a summary opened up."""
+    by = Window.partitionBy("target").orderBy("id")
+    tools = F.col("stop") == "tool_use"
+    rows = calls.withColumn("_k", F.row_number().over(by)).withColumn("_tools", F.min(tools.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    ended = F.col("stop") == "end_turn"
+    blank = ended & (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
+    rows = rows.withColumn("_prose", F.coalesce(F.max(blank.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1)
+    rung = F.when(ended & ~blank, "none").when(F.col("_prose"), "none").when(blank, "prose").when(F.col("_tools") & (F.col("_k") == 1), "no tools").when(F.col("_tools") & (F.col("_k") == 2), "tools dropped").otherwise("variant")
+    return rows.groupBy("target").agg(F.max_by(rung, "id").alias("rung"), F.count("*").alias("tries"))

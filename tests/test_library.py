@@ -443,3 +443,26 @@ def test_cuts_against_brute_force(spark):
     tops = spark.createDataFrame([(s, lv, i) for s, x in shown.items() for lv, i in x], "session_id string, level int, id long")
     got = Z.refine(tops, chunks, memories.withColumn("first", memories["id"]), edges, window, target)
     assert {tuple(r) for r in got.select("session_id", "level", "id").collect()} == want and want
+
+
+def test_logs_grow_by_append(spark, tmp_path):
+    from convlake.sources import append, read_log
+
+    path = f"{tmp_path}/log"
+    for part in ([("a", 1, "u", "x"), ("a", 2, "u", "y"), ("b", 1, "u", "z")], [("a", 3, "u", "w"), ("c", 1, "u", "v")]):
+        append(path, spark.createDataFrame(part, "session_id string, at long, participant string, text string"), "at", 4)
+    got = spark.read.parquet(path)
+    assert sorted((r.session_id, r.id, r.text) for r in got.collect()) == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "w"), ("b", 0, "z"), ("c", 0, "v")]
+    (tmp_path / "l.jsonl").write_text('{"session_id":"s","id":0,"text":"a"}\n\n{"session_id":"s","id":1}\n')
+    assert sorted((r.id, r.text) for r in read_log(spark, str(tmp_path / "l.jsonl")).collect()) == [(0, "a"), (1, None)]
+
+
+def test_a_message_that_comes_again_counts_once(spark, tmp_path):
+    import datetime
+
+    from convlake.streaming import dedupe_append
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    parts = [[("s", 0, at(0)), ("s", 1, at(1))], [("s", 1, at(1)), ("s", 2, at(2)), ("t", 1, at(2))], [("s", 2, at(2))]]
+    got = run_stream(spark, tmp_path, dedupe_append, parts, "session_id string, id long, at timestamp", "append", "once")
+    assert sorted((r.session_id, r.id) for r in got) == [("s", 0), ("s", 1), ("s", 2), ("t", 1)]
