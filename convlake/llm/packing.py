@@ -122,6 +122,50 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+class Sums:
+    """An index of the lengths whose sum is a given one: by sum a single length, a pair and a triple, each the one with the longest
+    first length that is still available.
+
+    Counts only fall, so a combination that has run out never comes back: each sum keeps the first length it has come down
+    to, and looks on from there. What is only short because of the piece that asks is passed over and stays.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs, self.triples = (np.arange(len(left)) - n for n in (1, 2))  # the longest first length a sum can have
+
+    def single(self, total: int, mine: int) -> list[int]:
+        return [total] if self.left[total] > (total == mine) else []
+
+    def _pair(self, a: int, b: int, taken: tuple[int, ...]) -> bool:
+        return self.left[a] >= 1 + (a == b) + taken.count(a) and self.left[b] >= 1 + (a == b) + taken.count(b)
+
+    def pair(self, total: int, taken: tuple[int, ...]) -> list[int]:
+        a = int(self.pairs[total]) if total > 1 else 0
+        while 2 * a >= total and not self._pair(a, total - a, ()):
+            a -= 1
+        if total > 1:
+            self.pairs[total] = a
+        while 2 * a >= total:
+            if self._pair(a, total - a, taken):
+                return [a, total - a]
+            a -= 1
+        return []
+
+    def triple(self, total: int, mine: int) -> list[int]:
+        a = int(self.triples[total]) if total > 2 else 0
+        gone = True  # whether all first lengths so far have run out
+        while a > 0:
+            rest = self.left[a] and self.pair(total - a, (a,))
+            if rest and self.left[a] > (a == mine) and (found := self.pair(total - a, (a, mine))):
+                return [a, *found]
+            gone = gone and not rest
+            a -= 1
+            if gone:
+                self.triples[total] = a
+        return []
+
+
 class Plan:
     """Places by length: runs (length, first rank, count, first sequence, offset)."""
 
@@ -139,51 +183,25 @@ class Plan:
         self.used[length] += n
         self.left[length] -= n
 
-    def _use(self, lengths: list[int]) -> int:
+    def _use(self, lengths: list[int]) -> None:
         """The combination as often as its lengths are available; each time fills a sequence."""
         times = min(int(self.left[x]) // lengths.count(x) for x in set(lengths))
-        if times:
-            at = 0
-            for x in lengths:
-                self._place(x, times, self.sequences, at)
-                at += x
-            self.sequences += times
-        return times
-
-    def _pair(self, total: int, taken: tuple[int, ...]) -> list[int]:
-        """Two available lengths of that sum, the longer as long as can be, beside those taken."""
-        a = np.arange(total - 1, (total - 1) // 2, -1)
-        b = total - a
-        free = self.left.copy()
-        for x in taken:
-            free[x] -= 1
-        fits = (free[a] > 0) & (free[b] > 0) & ((a != b) | (free[a] > 1))
-        k = int(np.argmax(fits)) if len(fits) else 0
-        return [int(a[k]), int(b[k])] if len(fits) and fits[k] else []
+        at = 0
+        for x in lengths:
+            self._place(x, times, self.sequences, at)
+            at += x
+        self.sequences += times
 
     def _exact(self) -> None:
-        full = self.capacity
-        for length in range(full, 0, -1):
-            sums = None  # which pair sums there were; it only ever loses some, and each find is verified
+        """From the longest piece down: the gap that it leaves is filled by a single length, a pair or a triple of just that sum."""
+        sums = Sums(self.left)
+        for length in range(self.capacity, 0, -1):
+            gap = self.capacity - length
             while self.left[length]:
-                gap = full - length
-                if gap == 0:
-                    self._use([length])
-                    continue
-                if gap <= full and self.left[gap] > (gap == length) and self._use([length, gap]):
-                    continue
-                if (found := self._pair(gap, (length,))) and self._use([length, *found]):
-                    continue
-                if sums is None:
-                    bits = sum(1 << int(x) for x in np.flatnonzero(self.left))
-                    sums = 0
-                    for x in np.flatnonzero(self.left).tolist():
-                        sums |= bits << x
-                for a in np.flatnonzero(self.left[: max(gap - 1, 0)])[::-1].tolist():
-                    if sums >> (gap - a) & 1 and self.left[a] > (a == length) and (found := self._pair(gap - a, (length, a))) and self._use([length, a, *found]):
-                        break
-                else:
+                found = [] if gap == 0 else sums.single(gap, length) or sums.pair(gap, (length,)) or sums.triple(gap, length)
+                if gap and not found:
                     break
+                self._use([length, *found])
 
     def _best_fit(self) -> None:
         bins: dict[int, list[list[int]]] = {}  # by gap: [first sequence, how many]
