@@ -135,7 +135,10 @@ def model_terms(words: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     shares = counts.hint("merge").join(sums.hint("merge"), ["k", "mid"]).select("k", F.col("key").alias("low"), ((F.col("n") - d) / F.col("all")).alias("own"), (d * F.col("kinds") / F.col("all")).alias("free"))
     signs = counts.where("k = 1").count()
     ends = full.select("key", F.posexplode(F.slice("low", 1, F.size("low") - 1)).alias("k", "low")).withColumn("k", F.col("k") + 1)
-    met = ends.hint("merge").join(shares.hint("merge"), ["k", "low"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "own", "free"))).alias("chain"))  # ORDER - 1 at most
+    # a letter may end a tenth of all runs; letters are broadcast, as there are 1,114,112 code points at most
+    letters = ends.where("k = 1").join(F.broadcast(shares.where("k = 1")), ["k", "low"])
+    longer = ends.where("k > 1").hint("merge").join(shares.where("k > 1").hint("merge"), ["k", "low"])
+    met = letters.unionByName(longer).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "own", "free"))).alias("chain"))  # ORDER - 1 at most
     shared = met.select("key", F.aggregate("chain", F.lit(1.0 / (signs + 1)), lambda p, x: x["own"] + x["free"] * p).alias("p"))
     follow = full.groupBy("ctx").agg(*[F.sum(c).alias(f"all_{c}") for c in ("t", "o")], *[F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("t", "o")])
     follow = scratch.save(follow, f"follow-{label}")
