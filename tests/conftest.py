@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{home}/warehouse")
+        .config("spark.checkpoint.dir", f"file://{home}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
