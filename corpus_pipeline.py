@@ -57,7 +57,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing sources", mixing), ("best-fit packing", packing)]
 
-#: Learnt scores and seeded draws are beyond SQL; tests/llm holds the stages against brute force.
+#: Learnt scores and seeded draws are beyond SQL; tests/llm holds exact and near dedup here against brute force, and the operators of the
+#: other stages in tests of their own.
 ORACLE_SQL = None
 
 
