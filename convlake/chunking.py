@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keep import kept
+from .segments import SLICE, segments
 from .sources import by_id, newest_first
 
 
@@ -54,78 +53,40 @@ def raw_zone(chunks: DataFrame, head: int, tail_tokens: int, pinned: DataFrame |
     return rows.where(held).select(*chunks.columns)
 
 
-def chunk_of(priced: DataFrame, target: int, least: int) -> DataFrame:
-    """Each message (session_id, id, tokens) with its chunk_id, and whether it closes it. A run closes at ``target`` tokens over
-    at least ``least`` messages and not on a tool call; the last run stays open, and no message closes it.
+def _rows(priced: DataFrame, weight: F.Column, size: int, **others: F.Column) -> DataFrame:
+    """Rows of segments(), of a log whose ids count from 0: slices are ranges of ids."""
+    plain = {"less": F.lit(0).cast("long"), "closer": F.lit(True), "alone": F.lit(False), "span": F.lit(1).cast("long"), "extra": F.lit(None).cast("double")} | others
+    return priced.select("session_id", "id", F.coalesce(weight, F.lit(0)).cast("long").alias("weight"), *[c.alias(n) for n, c in plain.items()], F.floor(F.col("id") / size).alias("slice"))
 
-    Sessions are streamed in order of their ids; the state is the open run's size, however long a session is.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, chunk, t, n = None, 0, 0, 0
-        for batch in batches:
-            chunks, closes = [], []
-            for session, tokens, call in zip(*[batch.column(c).to_pylist() for c in ("session_id", "tokens", "tool_use")], strict=True):
-                if session != at:
-                    at, chunk, t, n = session, 0, 0, 0
-                t, n = t + tokens, n + 1
-                done = t >= target and n >= least and not call
-                chunks.append(chunk)
-                closes.append(done)
-                if done:
-                    chunk, t, n = chunk + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("session_id", "id", "tokens")], pa.array(chunks, pa.int64()), pa.array(closes, pa.bool_())], ["session_id", "id", "tokens", "chunk_id", "closes"])
-
-    rows = priced.select("session_id", "id", F.col("tokens").cast("long"), "tool_use").repartition("session_id").sortWithinPartitions("session_id", "id")
-    return rows.mapInArrow(run, "session_id string, id long, tokens long, chunk_id long, closes boolean")
-
-
-def close_chunks(priced: DataFrame, target: int, least: int) -> DataFrame:
+def chunk_of(priced: DataFrame, target: int, least: int, size: int = SLICE) -> DataFrame:
+    """Each message (session_id, id, tokens) with its chunk_id, and whether that chunk is open. A run closes at ``target`` tokens over
+    at least ``least`` messages and not on a tool call; the last run may stay open. A session is solved by slices of ``size`` ids."""
+    rows = _rows(priced, F.col("tokens"), size, closer=~F.coalesce("tool_use", F.lit(False)))
+    return segments(rows, target, least).select("session_id", "id", F.col("weight").alias("tokens"), "chunk_id", "open")
+
+
+def close_chunks(priced: DataFrame, target: int, least: int, size: int = SLICE) -> DataFrame:
     """chunks(session_id, chunk_id, first, last, raw)."""
-    sized = chunk_of(priced, target, least).groupBy("session_id", "chunk_id").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("tokens").alias("raw"), F.bool_or("closes").alias("_c"))
-    return sized.where("_c").drop("_c")
+    closed = chunk_of(priced, target, least, size).where("not open")
+    return closed.groupBy("session_id", "chunk_id").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("tokens").alias("raw"))
 
 
-def spans(priced: DataFrame, target: int, least: int) -> DataFrame:
+def spans(priced: DataFrame, target: int, least: int, size: int = SLICE) -> DataFrame:
     """chunks(session_id, chunk_id, first, last, raw, salience, group) where a message over twice the target is cut into
     ceil(tokens / target) chunks of its own, one group; it closes the open run first, however small that is.
 
     Needs tokens, ``cut`` (the price of what is left of a long text), salience and tool_use; a chunk is as salient as its least
-    message. Sessions are streamed as in chunk_of.
+    message.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, chunk, t, n = None, 0, 0, 0
-        for batch in batches:
-            chunks, pieces, closes = [], [], []
-            for session, tokens, cut, call in zip(*[batch.column(c).to_pylist() for c in ("session_id", "tokens", "cut", "tool_use")], strict=True):
-                if session != at:
-                    at, chunk, t, n = session, 0, 0, 0
-                if tokens > 2 * target:
-                    chunk, t, n = chunk + (n > 0), 0, 0
-                    chunks.append(chunk)
-                    pieces.append(-(-tokens // target))
-                    closes.append(True)
-                    chunk += pieces[-1]
-                    continue
-                t, n = t + cut, n + 1
-                done = t >= target and n >= least and not call
-                chunks.append(chunk)
-                pieces.append(0)
-                closes.append(done)
-                if done:
-                    chunk, t, n = chunk + 1, 0, 0
-            own = [batch.column(c) for c in ("session_id", "id", "tokens", "cut", "salience")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(chunks, pa.int64()), pa.array(pieces, pa.int64()), pa.array(closes, pa.bool_())], ["session_id", "id", "tokens", "cut", "salience", "chunk_id", "pieces", "closes"])
-
-    rows = priced.select("session_id", "id", F.col("tokens").cast("long"), F.col("cut").cast("long"), F.col("salience").cast("double"), "tool_use").repartition("session_id").sortWithinPartitions("session_id", "id")
-    dealt = rows.mapInArrow(run, "session_id string, id long, tokens long, cut long, salience double, chunk_id long, pieces long, closes boolean")
-    each = F.explode(F.sequence(F.lit(0), F.greatest(F.col("pieces") - 1, F.lit(0)))).alias("_k")
-    rows = dealt.select("*", each).withColumn("chunk_id", F.col("chunk_id") + F.col("_k")).withColumn("_raw", F.when(F.col("pieces") > 0, F.floor(F.col("tokens") / F.col("pieces"))).otherwise(F.col("cut")).cast("long"))
-    group = F.max(F.when(F.col("pieces") > 0, F.concat(F.lit("g"), "id")))
-    sized = rows.groupBy("session_id", "chunk_id").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("_raw").alias("raw"), F.min("salience").alias("salience"), group.alias("group"), F.bool_or("closes").alias("_c"))
-    # an open run that another chunk follows was closed by it
-    return sized.withColumn("_top", F.max("chunk_id").over(Window.partitionBy("session_id"))).where("_c or chunk_id < _top").drop("_c", "_top")
+    long = F.coalesce(F.col("tokens") > 2 * target, F.lit(False))
+    pieces = F.when(long, F.ceil(F.col("tokens") / target)).otherwise(1).cast("long")
+    rows = _rows(priced, F.when(long, F.col("tokens")).otherwise(F.col("cut")), size, closer=~F.coalesce("tool_use", F.lit(False)), alone=long, span=pieces, extra=F.col("salience").cast("double"))
+    closed = segments(rows, target, least).where("not open").groupBy("session_id", "chunk_id").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("weight").alias("raw"), F.min("extra").alias("salience"), F.max("alone").alias("_a"))
+    n = F.when(F.col("_a"), F.ceil(F.col("raw") / target)).otherwise(1).cast("int")
+    each = closed.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    group = F.when(F.col("_n") > 1, F.concat(F.lit("g"), "first"))
+    return each.select("session_id", (F.col("chunk_id") + F.col("_k")).alias("chunk_id"), "first", "last", F.floor(F.col("raw") / F.col("_n")).cast("long").alias("raw"), "salience", group.alias("group"))
 
 
 def groups_of(chunks: DataFrame) -> DataFrame:
@@ -133,33 +94,30 @@ def groups_of(chunks: DataFrame) -> DataFrame:
     return chunks.where("group is not null").select("session_id", "chunk_id", "group")
 
 
-def fixed_chunks(log: DataFrame, size: int) -> DataFrame:
+def fixed_chunks(log: DataFrame, size: int, held: int = SLICE) -> DataFrame:
     """Chunks of a log's texts of at most ``size`` characters, a line end between messages: (session_id, chunk_id, start_id, start_offset,
     end_id, end_offset, text). Texts come in pieces of at most ``size``; a piece that doesn't fit closes the chunk, and the last chunk stays open.
+
+    Pieces are chosen by their sizes alone, by slices of ``held`` ids; texts are cut and joined after that. Ids
+    are below 2^32.
     """
-    fields = "session_id string, chunk_id long, start_id long, start_offset long, end_id long, end_offset long, text string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, chunk, held, used = None, 0, [], 0  # held: pieces (id, offset, text) of the open chunk
-        for batch in batches:
-            out = []
-            for session, mid, text in zip(*[batch.column(c) for c in ("session_id", "id", "text")], strict=True):
-                session, mid, text = session.as_py(), mid.as_py(), text.as_py() or ""
-                if session != at:
-                    at, chunk, held, used = session, 0, [], 0
-                for offset in range(0, len(text), size):
-                    piece = text[offset : offset + size]
-                    more = len(piece) + bool(held and held[-1][0] != mid)
-                    if held and used + more > size:
-                        whole = "".join(("\n" if k and held[k - 1][0] != p[0] else "") + p[2] for k, p in enumerate(held))
-                        out.append((at, chunk, held[0][0], held[0][1], held[-1][0], held[-1][1] + len(held[-1][2]), whole))
-                        chunk, held, used, more = chunk + 1, [], 0, len(piece)
-                    held.append((mid, offset, piece))
-                    used += more
-            kinds = [pa.string(), *[pa.int64()] * 5, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [f.split()[0] for f in fields.split(", ")])
-
-    return log.select("session_id", "id", "text").repartition("session_id").sortWithinPartitions("session_id", "id").mapInArrow(run, fields)
+    texts = log.select("session_id", "id", F.coalesce("text", F.lit("")).alias("text"))
+    count = F.ceil(F.length("text") / size).cast("int")
+    pieces = kept(texts.where("text <> ''").select("session_id", "id", F.length("text").alias("_l"), F.explode(F.sequence(F.lit(0), count - 1)).alias("_k")))
+    own = F.least(F.lit(size), F.col("_l") - F.col("_k") * size)
+    first = (F.col("_k") == 0).cast("long")
+    # a piece after another message's weighs its line end too, but not as a chunk's first
+    place = F.col("id") * 2**31 + F.col("_k")
+    rows = pieces.select("session_id", place.alias("id"), (own + first).cast("long").alias("weight"), first.alias("less"), F.lit(True).alias("closer"), F.lit(False).alias("alone"), F.lit(1).cast("long").alias("span"), F.lit(None).cast("double").alias("extra"), F.floor(place / (held * 2**31)).alias("slice"))
+    closed = segments(rows, size + 1, 1, before=True).where("not open")
+    dealt = closed.select("session_id", "chunk_id", F.shiftright("id", 31).alias("id"), F.col("id").bitwiseAND(2**31 - 1).cast("int").alias("k"))
+    met = dealt.hint("merge").join(texts, dealt["session_id"].eqNullSafe(texts["session_id"]) & (dealt["id"] == texts["id"])).select(dealt["session_id"], "chunk_id", dealt["id"], "k", F.substring("text", F.col("k") * size + 1, F.lit(size)).alias("piece"))
+    parts = F.array_sort(F.collect_list(F.struct("id", "k", "piece")))  # pieces of at most ``size`` characters in all
+    text = F.array_join(F.transform("_p", lambda p, i: F.concat(F.when((i > 0) & (p["k"] == 0), "\n").otherwise(""), p["piece"])), "")
+    last = F.element_at("_p", -1)
+    made = met.groupBy("session_id", "chunk_id").agg(parts.alias("_p"))
+    offset = lambda p: (p["k"] * size).cast("long")
+    return made.select("session_id", "chunk_id", F.col("_p")[0]["id"].alias("start_id"), offset(F.col("_p")[0]).alias("start_offset"), last["id"].alias("end_id"), (offset(last) + F.length(last["piece"])).alias("end_offset"), text.alias("text"))
 
 
 def owner_of(log: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from . import selection as Z
 from . import sources as S
 from .block_queries import TAKEN, event_messages
 from .keep import kept
-from .queries import CONV_PYRAMID, conv_chunks, conv_tree, events_log, query
+from .queries import CONV_PYRAMID, DOCS, conv_chunks, conv_tree, events_log, query
 
 
 def event_blocks(s: SparkSession, d: str) -> DataFrame:
@@ -69,16 +69,16 @@ def t4_pair_tools(s, d):
 
 @query(CONV_PYRAMID + TAKEN + """, u AS (SELECT m.* FROM m ANTI JOIN e USING (session_id, level, id)), r AS (SELECT session_id, max("first") AS f, max("last") AS l FROM c WHERE chunk_id < 4 GROUP BY 1)
 SELECT u.session_id, 1 AS section, u."first" AS ord, u.text FROM u JOIN r USING (session_id) WHERE u."last" < r.f UNION ALL SELECT p.session_id, 2, p.id, p.text FROM p JOIN r USING (session_id) WHERE p.id BETWEEN r.f AND r.l AND session_id::INT % 2 = 0
-UNION ALL SELECT p.session_id, 2, p.id, upper(p.text) FROM p JOIN r USING (session_id) WHERE p.id = r.f AND session_id::INT % 2 = 1 UNION ALL SELECT session_id, 3, 0, 'Merge.' || CASE session_id::INT % 3 WHEN 0 THEN ' Reply only.' ELSE '' END FROM r""")
+UNION ALL SELECT p.session_id, 2, p.id, left(p.text, 200) FROM p JOIN r USING (session_id) WHERE p.id = r.f AND session_id::INT % 2 = 1 UNION ALL SELECT session_id, 3, 0, 'Merge.' || CASE session_id::INT % 3 WHEN 0 THEN ' Reply only.' ELSE '' END FROM r""")
 def t13_assemble_merge(s, d):
-    """The run is the newest of the first four chunks; refused sessions are shown its first message in capitals."""
+    """The run is the newest of the first four chunks; refused sessions are shown the start of its first message."""
     chunks, memories, edges = conv_tree(s, d)
     number = F.col("session_id").cast("int")
     runs = chunks.where("chunk_id < 4").groupBy("session_id").agg(F.max("first").alias("first"), F.max("last").alias("_l"))
     runs = runs.withColumn("refused", number % 2 == 1).withColumn("outcome", F.when(number % 3 == 0, "tool_use"))
     log = S.conversations(s, d).join(runs.withColumnRenamed("first", "_f").select("session_id", "_f", "_l"), "session_id").where("id between _f and _l")
     deep = log.select("session_id", F.col("id").alias("ord"), "text", F.lit(False).alias("refused"))
-    own = log.where("id = _f").select("session_id", F.col("id").alias("ord"), F.upper("text").alias("text"), F.lit(True).alias("refused"))
+    own = log.where("id = _f").select("session_id", F.col("id").alias("ord"), F.left("text", F.lit(200)).alias("text"), F.lit(True).alias("refused"))
     return Y.assemble_merge(K.unmerged(memories, edges), runs, deep.unionByName(own), "Merge.", {"tool_use": " Reply only."})
 
 
@@ -99,17 +99,31 @@ def measured(s, d):
     return S.document_logs(s, d).select("session_id", "id", flat.alias("tokens"), F.least(flat, F.lit(550)).alias("cut"), (1 / (1 + F.length("text") % 7)).alias("salience"), (F.length("text") % 3 == 0).alias("tool_use"))
 
 
-@query()
+SPANS = f"""WITH RECURSIVE l AS ({DOCS}), q AS (SELECT session_id, id, length(text) // 4 AS tokens, least(length(text) // 4, 550) AS cut, 1 / (1 + length(text) % 7)::DOUBLE AS salience, length(text) % 3 = 0 AS call, length(text) // 4 > 2000 AS alone, ceil(length(text) // 4 / 1000.0::DOUBLE)::BIGINT AS pieces FROM l),
+w AS (SELECT *, 0::BIGINT AS chunk_id, CASE WHEN alone THEN tokens ELSE cut END AS t, 1 AS n, NOT alone AND cut >= 1000 AND 1 >= 4 AND NOT call AS done FROM q WHERE id = 0
+ UNION ALL SELECT q.*, x.base + (q.alone AND NOT x.fresh)::INT, CASE WHEN q.alone THEN q.tokens WHEN x.fresh THEN q.cut ELSE x.t + q.cut END, CASE WHEN q.alone OR x.fresh THEN 1 ELSE x.n + 1 END,
+  NOT q.alone AND CASE WHEN x.fresh THEN q.cut ELSE x.t + q.cut END >= 1000 AND CASE WHEN x.fresh THEN 1 ELSE x.n + 1 END >= 4 AND NOT q.call
+ FROM (SELECT *, alone OR done AS fresh, chunk_id + CASE WHEN alone THEN pieces ELSE done::INT END AS base FROM w) x JOIN q ON q.session_id = x.session_id AND q.id = x.id + 1),
+r AS (SELECT session_id, chunk_id, min(id) AS "first", max(id) AS "last", sum(CASE WHEN alone THEN tokens ELSE cut END)::BIGINT AS raw, min(salience) AS salience, bool_or(alone) AS alone, max(CASE WHEN alone THEN pieces ELSE 1 END) AS pieces, bool_or(alone OR done) AS c FROM w GROUP BY 1, 2),
+sp AS (SELECT session_id, chunk_id + k AS chunk_id, "first", "last", raw // pieces AS raw, salience, CASE WHEN alone THEN 'g' || "first" END AS "group" FROM (SELECT *, max(chunk_id) OVER (PARTITION BY session_id) AS top FROM r), unnest(range(pieces)) AS u(k) WHERE c OR chunk_id < top)"""
+
+
+@query(SPANS + " SELECT * FROM sp")
 def c2_spans(s, d):
     return C.spans(measured(s, d), 1000, 4)
 
 
-@query()
+@query(SPANS + """ SELECT session_id, chunk_id, "group" FROM sp WHERE "group" IS NOT NULL""")
 def c6_groups_of(s, d):
     return C.groups_of(C.spans(measured(s, d), 1000, 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS ({DOCS}), q AS (SELECT session_id, id, k * 6000 AS off, substring(text, (k * 6000 + 1)::INT, 6000) AS piece, row_number() OVER (PARTITION BY session_id ORDER BY id, k) AS k FROM l, unnest(range(ceil(length(text) / 6000.0::DOUBLE)::INT)) AS u(k)),
+w AS (SELECT *, 0::BIGINT AS chunk_id, length(piece) AS used FROM q WHERE k = 1
+ UNION ALL SELECT q.*, x.chunk_id + (x.used + length(q.piece) + (q.id <> x.id)::INT > 6000)::INT, CASE WHEN x.used + length(q.piece) + (q.id <> x.id)::INT > 6000 THEN length(q.piece) ELSE x.used + length(q.piece) + (q.id <> x.id)::INT END
+ FROM w x JOIN q ON q.session_id = x.session_id AND q.k = x.k + 1),
+o AS (SELECT *, min(k) OVER (PARTITION BY session_id, chunk_id) AS first_k, max(chunk_id) OVER (PARTITION BY session_id) AS top FROM w)
+SELECT session_id, chunk_id, arg_min(id, k) AS start_id, arg_min(off, k) AS start_offset, arg_max(id, k) AS end_id, arg_max(off + length(piece), k) AS end_offset, string_agg(CASE WHEN off = 0 AND k > first_k THEN chr(10) ELSE '' END || piece, '' ORDER BY k) AS text FROM o WHERE chunk_id < top GROUP BY 1, 2""")
 def c7_fixed_chunks(s, d):
     return C.fixed_chunks(S.document_logs(s, d), 6000)
 
@@ -128,19 +142,54 @@ def some_cut(chunks: DataFrame, k: int) -> DataFrame:
     return chunks.select("session_id", "chunk_id", (F.col("chunk_id") * k % 4).cast("int").alias("level"))
 
 
-@query()
+#: Each chunk with its memory at the three levels that the pyramid of the tests can have.
+UP = """, up AS (SELECT c.session_id, c.chunk_id, c.raw, m1.id AS a1, m2.id AS a2, m3.id AS a3 FROM c LEFT JOIN m m1 ON m1.session_id = c.session_id AND m1.level = 1 AND m1.id = c.chunk_id
+LEFT JOIN m m2 ON m2.session_id = c.session_id AND m2.level = 2 AND m2.id = c.chunk_id // 2 LEFT JOIN m m3 ON m3.session_id = c.session_id AND m3.level = 3 AND m3.id = c.chunk_id // 4)"""
+
+
+def project_sql(name: str, start: str, key: str = "session_id", passes: int = 8) -> str:
+    """CTE ``name`` of the cut ``start`` (key, chunk_id, lv, a1 .. a3) after so many passes, each from the top level down."""
+    step = f"SELECT *, lv AS was FROM {name}_ WHERE pass < {passes}"
+    for k in (3, 2, 1):
+        step = f"SELECT * REPLACE (CASE WHEN was = {k} AND (a{k} IS NULL OR count(*) FILTER (lv <> {k}) OVER (PARTITION BY {key}, a{k}) > 0) THEN {k} - 1 ELSE lv END AS lv) FROM ({step})"
+    return f", {name}_ AS (SELECT *, 0 AS pass FROM {start} UNION ALL SELECT * EXCLUDE (was) REPLACE (pass + 1 AS pass) FROM ({step})), {name} AS (SELECT * FROM {name}_ WHERE pass = {passes})"
+
+
+@query(CONV_PYRAMID + UP + ", z AS (SELECT session_id, chunk_id, a1, a2, a3, (chunk_id * 7 % 4)::INT AS lv FROM up)" + project_sql("pr", "z") + " SELECT session_id, chunk_id, lv AS level FROM pr")
 def k9_project(s, d):
     chunks, _, edges = conv_tree(s, d)
     return Z.project(some_cut(chunks, 7), edges)
 
 
-@query()
+@query(CONV_PYRAMID + TAKEN + """, u AS (SELECT m.* FROM m ANTI JOIN e USING (session_id, level, id)), below AS (SELECT session_id, 1 AS level, chunk_id AS id, raw AS cost FROM c UNION ALL SELECT session_id, level + 1, id // 2, tokens FROM m),
+g AS (SELECT session_id, level, id, sum(cost)::BIGINT AS cost FROM below GROUP BY 1, 2, 3), st AS (SELECT m.session_id, m.level, m.id, g.cost - m.tokens AS growth, u.id IS NOT NULL AS top, row_number() OVER (PARTITION BY m.session_id ORDER BY m.level DESC, m.id DESC) AS r
+ FROM m JOIN g USING (session_id, level, id) LEFT JOIN u USING (session_id, level, id)), w0 AS (SELECT session_id, sum(tokens)::BIGINT AS t FROM u GROUP BY 1),
+rk AS (SELECT session_id, 0::BIGINT AS r, t, []::VARCHAR[] AS o, false AS take, 0 AS level, 0::BIGINT AS id FROM w0
+ UNION ALL SELECT session_id, r, CASE WHEN take THEN t + growth ELSE t END, CASE WHEN take THEN list_append(o, level || ':' || id) ELSE o END, take, level, id FROM (
+  SELECT st.*, rk.t, rk.o, (st.top OR list_contains(rk.o, (st.level + 1) || ':' || (st.id // 2))) AND rk.t < 320 AND rk.t + st.growth <= 400 AND abs(rk.t + st.growth - 320) < abs(rk.t - 320) AS take FROM rk JOIN st ON st.session_id = rk.session_id AND st.r = rk.r + 1))
+SELECT session_id, level, id FROM rk WHERE take""")
 def k8_refine(s, d):
     chunks, memories, edges = conv_tree(s, d)
     return Z.refine(K.unmerged(memories, edges), chunks, memories, edges, 400, 320)
 
 
-@query()
+ADOPTED = (
+    CONV_PYRAMID
+    + UP
+    + ", z AS (SELECT *, CASE WHEN a3 IS NOT NULL THEN 3 WHEN a2 IS NOT NULL THEN 2 WHEN a1 IS NOT NULL THEN 1 ELSE 0 END AS lv FROM up)"
+    + project_sql("ideal", "z")
+    + """, ch AS (SELECT *, CASE WHEN lv > 0 THEN sum((lv > 0)::INT) OVER (PARTITION BY session_id ORDER BY chunk_id) - 1 END AS k, count(*) FILTER (lv > 0) OVER (PARTITION BY session_id) AS n FROM ideal),
+y AS (SELECT b.session_id, b."at", ch.chunk_id, ch.raw, ch.a1, ch.a2, ch.a3, CASE WHEN ch.chunk_id >= b.f THEN ch.lv ELSE 0 END AS lv FROM (SELECT session_id, k AS "at", chunk_id AS f FROM ch WHERE k IS NOT NULL UNION ALL SELECT DISTINCT session_id, n, NULL FROM ch) b JOIN ch USING (session_id))"""
+    + project_sql("pa", "y", 'session_id, "at"')
+    + """, un AS (SELECT pa.session_id, pa."at", CASE WHEN lv > 0 THEN 'm' || lv || ':' || chunk_id // (2 ** (lv - 1))::BIGINT ELSE 'r' || chunk_id END AS unit, min(chunk_id) AS p, any_value(CASE WHEN lv > 0 THEN m.tokens ELSE raw END) AS tokens, max(lv) AS lv
+ FROM pa LEFT JOIN m ON m.session_id = pa.session_id AND m.level = pa.lv AND m.id = pa.chunk_id // (2 ** greatest(0, pa.lv - 1))::BIGINT GROUP BY 1, 2, 3),
+co AS (SELECT session_id, "at", coalesce(sum(tokens) FILTER (p >= f), 0) AS cost FROM (SELECT *, min(p) FILTER (lv > 0) OVER (PARTITION BY session_id, "at") AS f FROM un) GROUP BY 1, 2),
+best AS (SELECT session_id, min("at") AS "at" FROM co WHERE cost <= 200 GROUP BY 1)
+SELECT session_id, chunk_id, lv AS level FROM pa JOIN best USING (session_id, "at")"""
+)
+
+
+@query(ADOPTED)
 def k11_suffix_adopt(s, d):
     """From all raw towards every memory's top, as far as 200 tokens of re-reading go."""
     chunks, memories, edges = conv_tree(s, d)

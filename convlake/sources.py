@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keep import kept
+
+#: About how many keys of a session are numbered in one task.
+NUMBERED = 2_000_000
 LOG_SCHEMA = "session_id string, id long, participant string, text string"
 
 
@@ -27,12 +30,36 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("id"), F.col("role").alias("participant"), "text")
 
 
+def places(keys: DataFrame, session: str, order: str, rows: int = NUMBERED) -> DataFrame:
+    """``keys`` (with ``n``, how many rows a key stands for) with ``id``: how many rows of its session come before it by the long column
+    ``order``, nulls first; keys of equal order in any order.
+
+    A session is summed by slices of the order's range, so that a long one isn't sorted in one task, and the sums of the slices before are
+    added. A session without a name is one too.
+    """
+    least, most, total = keys.agg(F.min(order), F.max(order), F.sum("n")).first()
+    width = max(1, ((most or 0) - (least or 0) + 1) * rows // max(total or 0, 1))
+    cut = keys.withColumn("_cut", F.coalesce(F.floor((F.col(order) - F.lit(least or 0)) / width), F.lit(-1)).cast("long"))
+    earlier = lambda by: F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy(session, "_cut").agg(F.sum("n").alias("n")).withColumn("_before", earlier(Window.partitionBy(session).orderBy("_cut")))
+    sums = sums.select(F.struct(session, "_cut").alias("_slice"), "_before")
+    at = cut.withColumn("_slice", F.struct(session, "_cut")).withColumn("_at", earlier(Window.partitionBy("_slice").orderBy(F.col(order).asc_nulls_first())))
+    return at.join(sums.hint("merge"), "_slice").withColumn("id", (F.col("_at") + F.col("_before")).cast("long")).drop("_cut", "_slice", "_before", "_at")
+
+
 def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long sessions: the documents of a source, in doc_id order. Keys are numbered alone, so no text is sorted by source."""
-    docs = table(spark, sf_dir, "documents")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    ids = docs.select("doc_id", "source").withColumn("id", place.cast("long")).hint("merge")
-    return docs.join(ids, ["doc_id", "source"]).select(F.col("source").alias("session_id"), "id", F.col("lang").alias("participant"), "text", "doc_id")
+    """Long sessions: the documents of a source, in doc_id order; those without a source are a session without a name.
+
+    Only keys are numbered: a source, a doc_id and a hash of the row. Rows that share all three take the places from their key's on; a
+    key that very many rows share is dealt out in one task, row by row.
+    """
+    key = F.struct("source", "doc_id", F.xxhash64("lang", "text").alias("h")).alias("_key")
+    docs = table(spark, sf_dir, "documents").select(key, "source", "doc_id", "lang", "text")
+    sized = docs.groupBy("_key").agg(F.count("*").alias("n")).select("_key", F.col("_key.source").alias("source"), F.col("_key.doc_id").alias("doc_id"), "n")
+    named = places(sized, "source", "doc_id").select("_key", "id")
+    alike = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")) - 1
+    met = docs.join(named.hint("merge"), "_key").withColumn("id", F.col("id") + alike)
+    return met.select(F.col("source").alias("session_id"), "id", F.col("lang").alias("participant"), "text", "doc_id")
 
 
 def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
@@ -91,18 +118,19 @@ def page(log: DataFrame, newest: int | None = None, start: int | None = None, st
 def ancestors(forks: DataFrame) -> DataFrame:
     """Each fork's ancestors (session_id, ancestor, cut), however many: the cut is the tightest fork message on the way.
 
-    Steps double, so a chain of n forks takes log2(n) rounds; a round keeps its tables for the next and lets the last ones go.
+    Steps double, so a chain of n forks takes log2(n) rounds; a round writes its tables for the next. A fork that is its own ancestor has
+    no end: the sessions on such a ring are an error.
     """
-    jump = forks.select("session_id", F.col("parent_id").alias("ancestor"), F.col("at").cast("long").alias("cut")).persist()
-    found, held = jump, [jump]
-    while not jump.isEmpty():
+    forks = kept(forks.select("session_id", F.col("parent_id").alias("ancestor"), F.col("at").cast("long").alias("cut")))
+    found = jump = forks
+    rounds = forks.count().bit_length()  # a chain can be as long as there are forks, unless it is a ring
+    while rounds and not jump.isEmpty():
         step = jump.select(F.col("session_id").alias("ancestor"), F.col("ancestor").alias("_b"), F.col("cut").alias("_c"))
         on = lambda rows, step=step: rows.join(step.hint("merge"), "ancestor").select("session_id", F.col("_b").alias("ancestor"), F.least("cut", "_c").alias("cut"))
-        found, jump = found.unionByName(on(found)).persist(), on(jump).persist()
-        found.count(), jump.count()
-        for old in held:
-            old.unpersist()
-        held = [found, jump]
+        found, jump, rounds = kept(found.unionByName(on(found))), kept(on(jump)), rounds - 1
+    rings = jump.where("session_id = ancestor").union(found.where("session_id = ancestor")).select("session_id").limit(3).collect()
+    if rings:
+        raise ValueError(f"forks that come from themselves: {', '.join(r[0] for r in rings)}")
     return found
 
 
@@ -143,12 +171,12 @@ def layers(spark: SparkSession, path: str, level: int) -> DataFrame:
 
 
 def append(log_path: str, fresh: DataFrame, order: str, buckets: int = 64, schema: str = LOG_SCHEMA) -> None:
-    """Add ``fresh`` at the end of each session's log, a table by bucket of session, with the ids that continue it."""
+    """Add ``fresh`` at the end of each session's log, a table by bucket of session, with the ids that continue it. One writer
+    at a time: two appends at once would give the same ids."""
     spark = fresh.sparkSession
     bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
-    try:
-        log = spark.read.schema(f"{schema}, bucket int").parquet(log_path)
-    except AnalysisException:  # none yet
-        log = spark.createDataFrame([], f"{schema}, bucket int")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(log_path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    log = spark.read.schema(f"{schema}, bucket int").parquet(log_path) if there else spark.createDataFrame([], f"{schema}, bucket int")
     names = [c.split()[0] for c in schema.split(", ")]
     append_ids(log, fresh, order).select(*names).withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(log_path)
