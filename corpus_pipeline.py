@@ -1,11 +1,14 @@
 """From raw documents to packed sequences: toxicity, exact dedup, near-dedup, mixing to target weights, packing.
 
-Each stage reads what its predecessor wrote. Rows without a doc_id can't be named by a stage's verdict and stay;
-rows that share a doc_id share the verdict (in the mix: as many copies as the one of them that gets most).
+Each stage reads what its predecessor wrote, and its verdicts are of rows: where rows share a doc_id or have none, a stage
+numbers them first, in the order of their doc_ids, and gives the doc_ids back at its end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,34 +23,59 @@ from convlake.llm.toxicity import THRESHOLD, fit_toxicity
 DROPPED_ROWS = 500_000
 
 
+def _by_row(stage: Callable[[SparkSession, DataFrame, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` of (spark, rows, docs, sf_dir), whose rows each have a doc_id of their own, as one of (spark, docs, sf_dir)."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch = Scratch(spark, "rows")
+        odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1)
+        if not odd.count():
+            return stage(spark, docs, docs, sf_dir)
+        given = "given_id"
+        while given in docs.columns:
+            given += "_"
+        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+        dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+        numbered = scratch.save(dealt.withColumn(given, F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+        out = stage(spark, numbered, docs, sf_dir)
+        return out.select(*[F.col(given).alias("doc_id") if c == "doc_id" else c for c in docs.columns])
+
+    return run
+
+
 def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
-    return join_checked(docs, Scratch(spark, "pipeline").save(dropped.distinct(), label), ["doc_id"], "left_anti", DROPPED_ROWS)
+    return join_checked(docs, Scratch(spark, "pipeline").save(dropped, label), ["doc_id"], "left_anti", DROPPED_ROWS)
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_by_row
+def toxicity(spark: SparkSession, rows: DataFrame, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model accepts. A null or empty text is judged by the model's value at no evidence; without labels all stay."""
-    return fit_toxicity(docs, table(spark, sf_dir, "labels")).accepted(docs, THRESHOLD)
+    return fit_toxicity(docs, table(spark, sf_dir, "labels")).accepted(rows, THRESHOLD)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; null and empty texts are equal. An empty table stays empty."""
-    return _without(spark, docs, exact_dedup(docs).where("not kept").select("doc_id"), "exact")
+@_by_row
+def exact(spark: SparkSession, rows: DataFrame, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row, of those with the largest doc_id; null and empty texts are equal. An empty table stays empty."""
+    return _without(spark, rows, exact_dedup(rows).where("not kept").select("doc_id"), "exact")
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; texts without words are one group."""
-    return _without(spark, docs, simhash_dedup(docs).where("doc_id <> component_id").select("doc_id"), "near")
+@_by_row
+def near(spark: SparkSession, rows: DataFrame, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one row, of those with the smallest doc_id; texts without words are one group."""
+    return _without(spark, rows, simhash_dedup(rows).where("doc_id <> component_id").select("doc_id"), "near")
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so some not at all. A null source is a source; rows without a doc_id come once."""
+@_by_row
+def mixing(spark: SparkSession, rows: DataFrame, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, so some not at all. A null source is a source."""
     name = "copies"
-    while name in docs.columns:
+    while name in rows.columns:
         name += "_"
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias(name)).where("doc_id is not null")
-    taken = docs.join(Scratch(spark, "pipeline").save(copies, "copies").hint("merge"), "doc_id", "left")
-    times = F.array_repeat(F.lit(0), F.coalesce(F.col(name), F.lit(1)))
-    return taken.withColumn(name, F.explode(times)).select(*docs.columns)
+    copies = mix_sources(rows).select("doc_id", F.col("copies").alias(name))
+    taken = rows.join(Scratch(spark, "pipeline").save(copies, "copies").hint("merge"), "doc_id")
+    times = F.array_repeat(F.lit(0), F.col(name))
+    return taken.withColumn(name, F.explode(times)).select(*rows.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
