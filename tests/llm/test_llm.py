@@ -577,9 +577,8 @@ def test_toxicity_of_one_class_or_none(spark):
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline as cp
 
-    names = "doc_id long, text string, lang string, source string, n_chars int"
     rows = [r[:5] for r in rows_of()]
-    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 50 == 1)) for i in range(100)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stage = dict(cp.STAGES)
@@ -588,17 +587,33 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     for r in rows:
         if r[0] is not None:
             last[lower(r[1])] = max(last.get(lower(r[1]), -1), r[0])
-    assert {r.doc_id for r in exact if r.doc_id is not None} == set(last.values())
-    near = {r.doc_id for r in stage["SimHash near-dedup"](spark, docs, str(tmp_path)).collect()}
-    prints = {r[0]: brute_fingerprint(r[1]) for r in rows if r[0] is not None}
-    root = reach(list(prints), {a: [b for b, y in prints.items() if bin(x ^ y).count("1") <= 3] for a, x in prints.items()})
-    assert near - {None} == set(root.values())
+    last.setdefault(lower("no number"), None)
+    assert Counter(r.doc_id for r in exact) == Counter(last.values())
+    near = Counter(r.doc_id for r in stage["SimHash near-dedup"](spark, docs, str(tmp_path)).collect())
+    prints = {(r[0] is not None, r[0], k): brute_fingerprint(r[1]) for k, r in enumerate(rows)}
+    names = sorted(prints, key=lambda n: (n[0], n[1] or 0, n[2]))
+    root = reach(range(len(names)), {a: [b for b, y in enumerate(names) if bin(prints[x] ^ prints[y]).count("1") <= 3] for a, x in enumerate(names)})
+    assert near == Counter(names[r][1] for r in set(root.values()))
     mixed = stage["mixing sources"](spark, docs, str(tmp_path))
     assert mixed.columns == docs.columns
     out = cp.run(spark, str(tmp_path))
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
 
 
+def test_pipeline_loses_no_text_with_a_shared_number(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    draw = random.Random(2)
+    a, b, c = (" ".join("".join(draw.choices("abcdefgh", k=4)) for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (9, b), (7, c), (7, c), (None, a), (None, None), (None, None), (8, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, given_id string"
+    spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, stage = spark.read.parquet(f"{tmp_path}/documents.parquet"), dict(cp.STAGES)
+    for name, want in (("exact dedup", [(5, a), (9, b), (7, c), (8, "")]), ("SimHash near-dedup", [(None, a), (5, b), (7, c), (None, None)])):
+        got = stage[name](spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want), name
+
+
 def test_pipeline_takes_clashing_columns_and_empty_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
