@@ -142,7 +142,7 @@ TAKEN = ", e AS (SELECT DISTINCT session_id, level - 1 AS level, unnest([id * 2,
 
 @query(CONV_PYRAMID + ' SELECT session_id, level, id, unnest([id * 2, id * 2 + 1]) AS member FROM m WHERE level > 1')
 def m8_members(s, d):
-    return K.members(conv_tree(s, d)[2])
+    return K.members(conv_tree(s, d)[2]).drop("member_level")
 
 
 @query(CONV_PYRAMID + ' SELECT session_id, level, id, id * (2 ** (level - 1))::BIGINT AS first_chunk, (id + 1) * (2 ** (level - 1))::BIGINT - 1 AS last_chunk FROM m')

@@ -45,13 +45,22 @@ def count_edges(memories: DataFrame, k: int) -> DataFrame:
 
 
 def members(edges: DataFrame) -> DataFrame:
-    """The memories one level down that each merged memory holds."""
-    return edges.where("level > 1").select("session_id", "level", "id", "member")
+    """The memories that each merged memory holds (member_level, member): one level down, or where edges say."""
+    below = F.col("member_level") if "member_level" in edges.columns else F.col("level") - 1
+    return edges.where(below > 0).select("session_id", "level", "id", below.alias("member_level"), "member")
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """The ancestor of each chunk at each level that covers it: a join a level, from the chunks up."""
+    """The ancestor of each chunk at each level that covers it: a join a level, from the chunks up.
+
+    A memory's members are one level down, or at the levels that edges name (member_level, 0: a chunk)."""
     top = edges.agg(F.max("level")).first()[0] or 0
+    if "member_level" in edges.columns:
+        out = edges.where("member_level = 0").select("session_id", F.col("member").alias("chunk_id"), "level", F.col("id").alias("ancestor"))
+        for level in range(2, top + 1):
+            up = edges.where((F.col("level") == level) & (F.col("member_level") > 0)).select("session_id", F.col("member_level").alias("level"), F.col("member").alias("ancestor"), F.col("id").alias("_up"))
+            out = out.unionByName(out.hint("merge").join(up, ["session_id", "level", "ancestor"]).select("session_id", "chunk_id", F.lit(level).alias("level"), F.col("_up").alias("ancestor")))
+        return out
     now = edges.where("level = 1").select("session_id", F.col("member").alias("chunk_id"), "level", F.col("id").alias("ancestor"))
     out = now
     for level in range(2, top + 1):
@@ -69,15 +78,16 @@ def chunks_of(memories: DataFrame, edges: DataFrame) -> DataFrame:
 
 def growth(chunks: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
     """Each memory with what its members cost more than it does."""
-    below = chunks.select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("member"), F.col("raw").alias("_cost"))
-    below = below.unionByName(memories.select("session_id", (F.col("level") + 1).alias("level"), F.col("id").alias("member"), F.col("tokens").alias("_cost")))
-    cost = edges.hint("merge").join(below, ["session_id", "level", "member"]).groupBy("session_id", "level", "id").agg(F.sum("_cost").alias("_cost"))
+    below = chunks.select("session_id", F.lit(0).alias("member_level"), F.col("chunk_id").alias("member"), F.col("raw").alias("_cost"))
+    below = below.unionByName(memories.select("session_id", F.col("level").alias("member_level"), F.col("id").alias("member"), F.col("tokens").alias("_cost")))
+    named = edges if "member_level" in edges.columns else edges.withColumn("member_level", F.col("level") - 1)
+    cost = named.hint("merge").join(below, ["session_id", "member_level", "member"]).groupBy("session_id", "level", "id").agg(F.sum("_cost").alias("_cost"))
     return memories.join(cost, ["session_id", "level", "id"]).withColumn("growth", F.col("_cost") - F.col("tokens")).drop("_cost")
 
 
 def unmerged(memories: DataFrame, edges: DataFrame, before: int | None = None) -> DataFrame:
     """Memories that no merge took, ending before a message."""
-    taken = members(edges).select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
+    taken = members(edges).select("session_id", F.col("member_level").alias("level"), F.col("member").alias("id"))
     free = memories.join(taken.hint("merge"), ["session_id", "level", "id"], "left_anti")
     return free if before is None else free.where(F.col("last") < before)
 

@@ -38,13 +38,26 @@ def protected_chunks(chunks: DataFrame, pins: DataFrame) -> DataFrame:
     return chunks.join(p, (F.col("session_id") == F.col("_s")) & (F.col("_a") <= F.col("last")) & (F.col("_b") >= F.col("first")), "left_semi")
 
 
-def mint_l1(log: DataFrame, chunks: DataFrame, words: int = 40) -> DataFrame:
-    """A memory for each chunk: the leading words of its text stand in for a summary."""
+def chunk_texts(log: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each chunk's text (session_id, chunk_id, text, first, last): its messages, a blank between them."""
     owned = owner_of(log, chunks.select("session_id", "chunk_id", "first", "last")).where("chunk_id is not null")
     parts = F.array_sort(F.collect_list(F.struct("id", "text")))  # a chunk's messages
     text = F.array_join(F.transform(parts, lambda p: p["text"]), " ")
-    made = owned.groupBy("session_id", "chunk_id").agg(text.alias("t"), F.min("id").alias("first"), F.max("id").alias("last"))
-    made = made.withColumn("text", digest_words(F.col("t"), words))
+    return owned.groupBy("session_id", "chunk_id").agg(text.alias("text"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+def max_level(memories: DataFrame) -> DataFrame:
+    return memories.groupBy("session_id").agg(F.max("level").alias("level"))
+
+
+def profile(nodes: DataFrame) -> DataFrame:
+    """How many nodes stand at each level."""
+    return nodes.groupBy("level").agg(F.count("*").alias("n"))
+
+
+def mint_l1(log: DataFrame, chunks: DataFrame, words: int = 40) -> DataFrame:
+    """A memory for each chunk: the leading words of its text stand in for a summary."""
+    made = chunk_texts(log, chunks).withColumn("text", digest_words(F.col("text"), words))
     return made.select("session_id", F.lit(1).alias("level"), F.col("chunk_id").alias("id"), "first", "last", "text", written_tokens(F.col("text")).alias("tokens"))
 
 

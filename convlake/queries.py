@@ -307,12 +307,12 @@ def m2_merge_by_count(s, d):
 
 @query(CONV_PYRAMID + " SELECT session_id, max(level) AS level FROM m GROUP BY 1")
 def m11_max_level(s, d):
-    return conv_memories(s, d).groupBy("session_id").agg(F.max("level").alias("level"))
+    return M.max_level(conv_memories(s, d))
 
 
 @query(CONV_PYRAMID + ' SELECT level, count(*) AS n FROM m GROUP BY 1')
 def k15_profile(s, d):
-    return conv_memories(s, d).groupBy("level").agg(F.count("*").alias("n"))
+    return M.profile(conv_memories(s, d))
 
 
 @query(chunk_sql(DOCS, 3000, 4) + ", h AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id DESC) AS k FROM c) SELECT session_id, chunk_id, \"first\", \"last\", raw FROM h WHERE (k > 2 OR chunk_id % 5 = 1) AND chunk_id % 3 <> 0")
@@ -484,4 +484,4 @@ def x5_usage_windows(s, d):
     return X.usage_windows(usage)
 
 
-from . import block_queries, more_queries, repair_queries, request_queries, selection_queries  # noqa: E402,F401  register their own
+from . import block_queries, forming_queries, more_queries, repair_queries, request_queries, selection_queries  # noqa: E402,F401  register their own

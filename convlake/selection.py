@@ -103,7 +103,7 @@ def refine(shown: DataFrame, chunks: DataFrame, memories: DataFrame, edges: Data
         opened = folded.select("session_id", F.lit(level).alias("level"), F.explode("opened").alias("id"))
         done = opened if done is None else done.unionByName(opened)
         now = now.join(folded.select("session_id", "_t").hint("merge"), "session_id", "left").select("session_id", F.coalesce("_t", F.col("total").cast("double")).alias("total"))
-        below = members(edges).join(opened.hint("merge"), NODE, "left_semi").select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
+        below = members(edges).join(opened.hint("merge"), NODE, "left_semi").select("session_id", F.col("member_level").alias("level"), F.col("member").alias("id"))
         open_ = open_.unionByName(below)
     return shown.select(*NODE).limit(0) if done is None else done
 
@@ -299,8 +299,9 @@ def reading_stretch(leaves: DataFrame, chunks: DataFrame, multiple: int) -> Data
 def merge_source_text(texts: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
     """The text that each merged memory was made from, one level deeper than what it merged: chunks (session_id, chunk_id,
     text) for level 2, recalls of its members' members above."""
-    under = edges.select("session_id", F.col("level").alias("_l"), F.col("id").alias("member"), F.col("member").alias("_i"))
-    deep = members(edges).withColumn("_l", F.col("level") - 1).hint("merge").join(under, ["session_id", "_l", "member"]).select(*NODE, (F.col("_l") - 1).alias("_l"), "_i")
+    named = edges if "member_level" in edges.columns else edges.withColumn("member_level", F.col("level") - 1)
+    under = named.select("session_id", F.col("level").alias("_l"), F.col("id").alias("member"), F.col("member_level").alias("_d"), F.col("member").alias("_i"))
+    deep = members(edges).withColumnRenamed("member_level", "_l").hint("merge").join(under, ["session_id", "_l", "member"]).select(*NODE, F.col("_d").alias("_l"), "_i")
     nodes = texts.select("session_id", F.lit(0).alias("_l"), F.col("chunk_id").alias("_i"), F.col("chunk_id").alias("_o"), "text").unionByName(memories.select("session_id", F.col("level").alias("_l"), F.col("id").alias("_i"), F.col("first").alias("_o"), "text"))
     parts = F.array_sort(F.collect_list(F.struct("_o", "text")))  # a memory's members' members
     return deep.hint("merge").join(nodes, ["session_id", "_l", "_i"]).groupBy(*NODE).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
@@ -308,6 +309,6 @@ def merge_source_text(texts: DataFrame, memories: DataFrame, edges: DataFrame) -
 
 def live_quarantine(quarantined: DataFrame, edges: DataFrame) -> DataFrame:
     """Quarantined runs (session_id, run, level, id, a row for each member) less those with a member merged elsewhere."""
-    merged = members(edges).select("session_id", (F.col("level") - 1).alias("level"), F.col("member").alias("id"))
+    merged = members(edges).select("session_id", F.col("member_level").alias("level"), F.col("member").alias("id"))
     stale = quarantined.join(merged, NODE, "left_semi").select("session_id", "run").distinct()
     return quarantined.join(stale, ["session_id", "run"], "left_anti")
