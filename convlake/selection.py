@@ -130,9 +130,10 @@ def project(cut: DataFrame, edges: DataFrame) -> DataFrame:
             return now.select("session_id", "chunk_id", "level")
 
 
-def suffix_adopt(carried: DataFrame, ideal: DataFrame, chunks: DataFrame, memories: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+def suffix_adopt(carried: DataFrame, ideal: DataFrame, chunks: DataFrame, memories: DataFrame, edges: DataFrame, reach: float | DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """The cut (session_id, chunk_id, level) that takes the ideal's changes from a boundary on, projected: per session the oldest
-    boundary whose switch re-reads at most ``reach`` tokens, by a binary search over the changed chunks that all sessions make at once.
+    boundary whose switch re-reads at most ``reach`` tokens (one for all, or session_id, reach), by a binary search over the changed chunks
+    that all sessions make at once. Windows are rendered too.
 
     ``carried`` must be valid. A session without an affordable boundary keeps it.
     """
@@ -141,7 +142,8 @@ def suffix_adopt(carried: DataFrame, ideal: DataFrame, chunks: DataFrame, memori
     changed = F.when(F.col("_c") != F.col("_i"), F.row_number().over(Window.partitionBy("session_id", F.col("_c") != F.col("_i")).orderBy("chunk_id")) - 1)
     both = kept(both.withColumn("_k", changed))
     search = kept(both.groupBy("session_id").agg(F.lit(0).cast("long").alias("low"), F.count("_k").alias("high")))
-    place = lambda cut: layout(cut, memories, edges).withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("first_chunk")))
+    reaches = search.select("session_id", F.lit(reach).alias("reach")) if not isinstance(reach, DataFrame) else reach
+    place = lambda cut: layout(cut, memories, edges, windows).withColumn("pos", F.row_number().over(Window.partitionBy("session_id").orderBy("first_chunk")))
     before = kept(place(both.select("session_id", "chunk_id", F.col("_c").alias("level"), "raw")))
 
     def cut_at(boundary: DataFrame) -> DataFrame:
@@ -153,13 +155,13 @@ def suffix_adopt(carried: DataFrame, ideal: DataFrame, chunks: DataFrame, memori
     while not (going := search.where("low < high")).isEmpty():
         mid = going.select("session_id", F.floor((F.col("low") + F.col("high")) / 2).cast("long").alias("at"))
         cost = kv_cost(before, place(cut_at(mid).join(raw.hint("merge"), ["session_id", "chunk_id"]))).select("session_id", F.col("cost").alias("_cost"))
-        met = search.join(mid.join(cost.hint("merge"), "session_id").hint("merge"), "session_id", "left")
-        fits = F.col("_cost") <= reach
+        met = search.join(mid.join(cost.hint("merge"), "session_id").hint("merge"), "session_id", "left").join(reaches.hint("merge"), "session_id", "left")
+        fits = F.col("_cost") <= F.col("reach")
         search = kept(met.select("session_id", F.when(F.col("at").isNull() | fits, F.col("low")).otherwise(F.col("at") + 1).alias("low"), F.when(fits, F.col("at")).otherwise(F.col("high")).alias("high")))
     return cut_at(search.select("session_id", F.col("low").alias("at")))
 
 
-def adopt(stats: DataFrame, window: float, target: float, reach: float, gap: float) -> DataFrame:
+def adopt(stats: DataFrame, window: float | F.Column, target: float | F.Column, reach: float | F.Column, gap: float) -> DataFrame:
     """Which step applies, of (session_id, now, now_loss, ideal, ideal_loss, cost, part, part_loss): hold the carried cut,
     switch to the ideal if that re-reads at most ``reach``, take its newest changes, or the ideal at its full cost."""
     near = lambda loss: F.col(loss) - F.col("ideal_loss") <= gap * F.greatest(F.lit(1.0), F.col("ideal_loss"))
