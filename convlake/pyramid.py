@@ -78,14 +78,13 @@ def merge_by_count(memories: DataFrame, k: int, words: int = 40) -> DataFrame:
     return out
 
 
-def age_band(age: str, zone: int, k: int, protected: F.Column | None = None) -> F.Column:
-    """How many levels an age allows: -1 if protected, 0 when younger than the zone, else by powers of k, compared as integers."""
-    ratio = F.floor(F.col(age) / zone)
-    return F.when(F.lit(False) if protected is None else protected, -1).otherwise(_bands(ratio, k))
-
-
-def _bands(ratio: F.Column, k: int) -> F.Column:
-    return F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0), lambda a, i: F.when(ratio >= F.pow(F.lit(float(k)), i.cast("double")), i + 1).otherwise(a))
+def age_band(age: str | F.Column, zone: int, k: int, protected: F.Column | None = None) -> F.Column:
+    """How many levels an age allows: -1 if protected, 0 when younger than the zone, else by powers of k (2 or more), compared as integers:
+    a long has fewer than 64 of them."""
+    ratio = F.floor((F.col(age) if isinstance(age, str) else age) / zone)
+    powers = [k**i for i in range(64) if k**i < 2**63]
+    band = F.size(F.filter(F.array(*[F.lit(p) for p in powers]), lambda p: ratio >= p))
+    return F.when(F.lit(False) if protected is None else protected, -1).otherwise(band)
 
 
 def fold_to_target(chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: int, slack: float) -> DataFrame:

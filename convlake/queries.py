@@ -484,4 +484,4 @@ def x5_usage_windows(s, d):
     return X.usage_windows(usage)
 
 
-from . import block_queries, forming_queries, more_queries, repair_queries, request_queries, selection_queries  # noqa: E402,F401  register their own
+from . import block_queries, forming_queries, more_queries, planning_queries, repair_queries, request_queries, selection_queries  # noqa: E402,F401  register their own
