@@ -128,7 +128,7 @@ def owner_of(log: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def open_start(log: DataFrame, chunks: DataFrame) -> DataFrame:
     ends = chunks.groupBy("session_id").agg((F.max("last") + 1).alias("start"))
-    return log.select("session_id").distinct().join(ends, "session_id", "left").select("session_id", F.coalesce("start", F.lit(0)).alias("open_start"))
+    return log.select("session_id").distinct().join(ends.hint("merge"), "session_id", "left").select("session_id", F.coalesce("start", F.lit(0)).alias("open_start"))
 
 
 def shard(priced: DataFrame, target: int) -> DataFrame:

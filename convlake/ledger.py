@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,10 +86,44 @@ def rate_limit(posts: DataFrame, per_day: Column) -> DataFrame:
     return met.withColumn("remaining", F.greatest(F.lit(0), F.col("_cap") - F.col("used"))).withColumn("next_free", free).drop("_m", "_cap", "_k", "_at", "_held")
 
 
+def accepted_posts(posts: DataFrame, per_day: Column) -> DataFrame:
+    """Posts (channel, session_id, event_id, at) as they come: ``accepted`` while fewer than ``per_day`` accepted ones are in the trailing day, how many
+    the cap leaves after it, and for a refused one ``frees``, when the next can go. A refused post takes no place.
+
+    A post that comes more than a day after the one before it starts anew, so a member's posts fall into bursts, which are streamed by time; the state is the
+    times that count, at most the cap.
+    """
+    names = [c for c in posts.columns if c not in ("_m", "_cap")]
+    each = Window.partitionBy("channel", "session_id").orderBy("_m", "event_id")
+    rows = posts.withColumn("_m", F.unix_micros(F.col("at").cast("timestamp"))).withColumn("_cap", per_day.cast("long"))
+    rows = rows.withColumn("_new", F.coalesce((F.col("_m") - F.lag("_m").over(each) > DAY).cast("int"), F.lit(0))).withColumn("_burst", F.sum("_new").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, made = None, deque()
+        for batch in batches:
+            good, left, frees = [], [], []
+            for channel, who, burst, now, cap in zip(*[batch.column(c).to_pylist() for c in ("channel", "session_id", "_burst", "_m", "_cap")], strict=True):
+                if (channel, who, burst) != at:
+                    at, made = (channel, who, burst), deque()
+                while made and made[0] < now - DAY:
+                    made.popleft()
+                good.append(len(made) < cap)
+                frees.append(None if good[-1] or cap <= 0 else made[len(made) - cap] + DAY)
+                if good[-1]:
+                    made.append(now)
+                left.append(max(0, cap - len(made)))
+            own = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(good, pa.bool_()), pa.array(left, pa.int64()), pa.array(frees, pa.int64())], [*names, "accepted", "remaining", "_frees"])
+
+    dealt = rows.repartition("channel", "session_id", "_burst").sortWithinPartitions("channel", "session_id", "_burst", "_m", "event_id")
+    kinds = ", ".join(f"{c} {t}" for c, t in posts.select(*names).dtypes)
+    return dealt.mapInArrow(run, f"{kinds}, accepted boolean, remaining long, _frees long").withColumn("frees", F.timestamp_micros("_frees")).drop("_frees")
+
+
 def fan_out(posts: DataFrame, members: DataFrame) -> DataFrame:
     """Each post to each listening member but its author."""
     m = members.where("inputs").select("channel", F.col("session_id").alias("to"))
-    return posts.join(m, "channel").where("`to` <> session_id")
+    return posts.join(m.hint("merge"), "channel").where("`to` <> session_id")
 
 
 def running_totals(costs: DataFrame) -> DataFrame:

@@ -26,15 +26,30 @@ def chunk_raw(priced: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def demanded(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Chunks that meet a demanded range (session_id, first, last); a missing end is open."""
-    r = ranges.select(F.col("session_id").alias("_s"), F.col("first").alias("_a"), F.col("last").alias("_b"))
-    meets = (F.col("last") >= F.coalesce("_a", F.lit(0))) & (F.col("_b").isNull() | (F.col("first") <= F.col("_b")))
-    return chunks.join(r, (F.col("session_id") == F.col("_s")) & meets, "left_semi").select("session_id", "chunk_id")
+    """Chunks that meet a demanded range (session_id, first, last); a missing end is open.
+
+    A chunk meets a range if the range starts in it or it starts in the range. So chunks and the starts of ranges are laid along the session:
+    a chunk is taken if the ranges that start before it reach it, or one starts in it.
+    """
+    r = ranges.select("session_id", F.coalesce("first", F.lit(0)).cast("long").alias("at"), F.coalesce("last", F.lit(2**62)).cast("long").alias("end"))
+    return meeting(chunks, r).select("session_id", "chunk_id")
+
+
+def meeting(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Chunks (session_id, first, last and more) that meet a range (session_id, at, end). Each is laid at its start: the furthest end of the
+    ranges at or before a chunk's start reaches it, or the next range starts by its last message."""
+    laid = chunks.select("session_id", F.col("first").cast("long").alias("at"), F.lit(None).cast("long").alias("end"), F.struct(*chunks.columns).alias("_c"))
+    both = laid.unionByName(ranges.where("end >= at").select("session_id", "at", "end", F.lit(None).cast(laid.schema["_c"].dataType).alias("_c")))
+    by = Window.partitionBy("session_id").orderBy("at")
+    reach = F.max("end").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(F.col("_c").isNull(), F.col("at"))).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    found = both.withColumn("_r", reach).withColumn("_n", after).where(F.col("_c").isNotNull() & ((F.col("_r") >= F.col("at")) | (F.col("_n") <= F.col("_c.last"))))
+    return found.select("_c.*")
 
 
 def enqueue(queue: DataFrame, candidates: DataFrame, done: DataFrame) -> DataFrame:
     """``queue`` (key, at) and then each candidate once, neither queued nor done, in order of arrival."""
-    fresh = candidates.groupBy("key").agg(F.min("at").alias("at")).join(queue, "key", "left_anti").join(done, "key", "left_anti")
+    fresh = candidates.groupBy("key").agg(F.min("at").alias("at")).join(queue.hint("merge"), "key", "left_anti").join(done.hint("merge"), "key", "left_anti")
     return queue.select("key", "at", F.lit(0).alias("fresh")).unionByName(fresh.select("key", "at", F.lit(1).alias("fresh")))
 
 
@@ -73,7 +88,7 @@ def closure(edges: DataFrame) -> DataFrame:
 def chunks_of(memories: DataFrame, edges: DataFrame) -> DataFrame:
     """Each memory with the first and last chunk under it."""
     spans = closure(edges).groupBy("session_id", "level", F.col("ancestor").alias("id")).agg(F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
-    return memories.join(spans, ["session_id", "level", "id"])
+    return memories.join(spans.hint("merge"), ["session_id", "level", "id"])
 
 
 def growth(chunks: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
@@ -82,7 +97,7 @@ def growth(chunks: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFram
     below = below.unionByName(memories.select("session_id", F.col("level").alias("member_level"), F.col("id").alias("member"), F.col("tokens").alias("_cost")))
     named = edges if "member_level" in edges.columns else edges.withColumn("member_level", F.col("level") - 1)
     cost = named.hint("merge").join(below, ["session_id", "member_level", "member"]).groupBy("session_id", "level", "id").agg(F.sum("_cost").alias("_cost"))
-    return memories.join(cost, ["session_id", "level", "id"]).withColumn("growth", F.col("_cost") - F.col("tokens")).drop("_cost")
+    return memories.join(cost.hint("merge"), ["session_id", "level", "id"]).withColumn("growth", F.col("_cost") - F.col("tokens")).drop("_cost")
 
 
 def unmerged(memories: DataFrame, edges: DataFrame, before: int | None = None) -> DataFrame:
@@ -132,7 +147,7 @@ def blocked(attempts: DataFrame, lengths: DataFrame, limit: int) -> DataFrame:
     refusal, and one that was tried ``limit`` times at the log's present length (session_id, messages)."""
     by = Window.partitionBy("session_id")
     now = lengths.select("session_id", F.col("messages").alias("_now"))
-    rows = attempts.withColumn("_last", F.max_by("outcome", "id").over(by)).join(now, "session_id", "left")
+    rows = attempts.withColumn("_last", F.max_by("outcome", "id").over(by)).join(now.hint("merge"), "session_id", "left")
     found = rows.groupBy("session_id", "target").agg(F.first("_last").alias("_last"), F.count_if(F.col("messages") == F.col("_now")).alias("_n"))
     return found.select("session_id", "target", (F.col("_last").eqNullSafe(F.lit("refusal")) | (F.col("_n") >= limit)).alias("blocked"))
 
@@ -175,4 +190,4 @@ def last_prompt(usage: DataFrame) -> DataFrame:
 def unlearnt(replies: DataFrame, compiles: DataFrame) -> DataFrame:
     """Replies (session_id, id) whose compile, the last at or before them, is still the session's last (session_id, compile_id)."""
     last = compiles.groupBy("session_id").agg(F.max("compile_id").alias("_c"))
-    return replies.join(last, "session_id").where(F.col("id") >= F.col("_c")).drop("_c")
+    return replies.join(last.hint("merge"), "session_id").where(F.col("id") >= F.col("_c")).drop("_c")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunking import owner_of
-from .plans import growth
+from .plans import growth, meeting
 from .pricing import digest_words, trim_js, utf16_len, written_tokens
 
 
@@ -22,7 +22,7 @@ def l1_due(chunks: DataFrame, memories: DataFrame, holdback: int, demanded: Data
         wanted = demanded.select("session_id", "chunk_id", F.lit(True).alias("_d")).distinct()
         open_ = open_.join(wanted.hint("merge"), ["session_id", "chunk_id"], "left").where(~held | F.col("_d").isNotNull()).drop("_d")
     open_ = open_.drop("k")
-    return open_.join(memories.where("level = 1").select("session_id", F.col("id").alias("chunk_id")), ["session_id", "chunk_id"], "left_anti")
+    return open_.join(memories.where("level = 1").select("session_id", F.col("id").alias("chunk_id")).hint("merge"), ["session_id", "chunk_id"], "left_anti")
 
 
 def quiet_stub(log: DataFrame, chunks: DataFrame, least: int) -> DataFrame:
@@ -34,8 +34,7 @@ def quiet_stub(log: DataFrame, chunks: DataFrame, least: int) -> DataFrame:
 
 def protected_chunks(chunks: DataFrame, pins: DataFrame) -> DataFrame:
     """Chunks whose range meets a pinned range of their session."""
-    p = pins.select(F.col("session_id").alias("_s"), F.col("first").alias("_a"), F.col("last").alias("_b"))
-    return chunks.join(p, (F.col("session_id") == F.col("_s")) & (F.col("_a") <= F.col("last")) & (F.col("_b") >= F.col("first")), "left_semi")
+    return meeting(chunks, pins.select("session_id", F.col("first").cast("long").alias("at"), F.col("last").cast("long").alias("end")))
 
 
 def chunk_texts(log: DataFrame, chunks: DataFrame) -> DataFrame:

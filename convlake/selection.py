@@ -185,7 +185,7 @@ def carry_frontier(compiles: DataFrame, chunks: DataFrame) -> DataFrame:
     newest = F.max("compile_id").over(Window.partitionBy("session_id"))
     kept = compiles.withColumn("_n", newest).where("compile_id = _n").select(*NODE, "last_chunk")
     cover = kept.groupBy("session_id").agg(F.max("last_chunk").alias("_c"))
-    fresh = chunks.join(cover, "session_id", "left").where(F.col("_c").isNull() | (F.col("chunk_id") > F.col("_c")))
+    fresh = chunks.join(cover.hint("merge"), "session_id", "left").where(F.col("_c").isNull() | (F.col("chunk_id") > F.col("_c")))
     return kept.select(*NODE).unionByName(fresh.select("session_id", F.lit(0).alias("level"), F.col("chunk_id").alias("id")))
 
 
@@ -193,8 +193,8 @@ def fold_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Between two frontiers (session_id, level, id, last_chunk, tokens): nodes replaced, nodes shown in their place, and
     tokens saved, as far as the earlier one reaches."""
     reach = before.groupBy("session_id").agg(F.max("last_chunk").alias("_reach"))
-    gone = before.join(after, NODE, "left_anti").select("session_id", F.lit(1).alias("_gone"), "tokens")
-    new = after.join(before, NODE, "left_anti").join(reach, "session_id").where("last_chunk <= _reach").select("session_id", F.lit(0).alias("_gone"), (-F.col("tokens")).alias("tokens"))
+    gone = before.join(after.hint("merge"), NODE, "left_anti").select("session_id", F.lit(1).alias("_gone"), "tokens")
+    new = after.join(before.hint("merge"), NODE, "left_anti").join(reach.hint("merge"), "session_id").where("last_chunk <= _reach").select("session_id", F.lit(0).alias("_gone"), (-F.col("tokens")).alias("tokens"))
     changed = gone.unionByName(new).groupBy("session_id")
     return changed.agg(F.sum("_gone").alias("replaced"), F.sum(1 - F.col("_gone")).alias("shown"), F.sum("tokens").alias("saved"))
 
@@ -212,7 +212,7 @@ def fold_diffs(frontiers: DataFrame) -> DataFrame:
 
 def held_in_band(before: DataFrame, after: DataFrame, totals: DataFrame, window: float, low: float) -> DataFrame:
     """Per session (session_id, total: of the carried frontier): whether a total inside the band left the frontier as it was."""
-    changed = before.select(*NODE).join(after.select(*NODE), NODE, "left_anti").unionByName(after.select(*NODE).join(before.select(*NODE), NODE, "left_anti")).select("session_id", F.lit(True).alias("_c")).distinct()
+    changed = before.select(*NODE).join(after.select(*NODE).hint("merge"), NODE, "left_anti").unionByName(after.select(*NODE).join(before.select(*NODE).hint("merge"), NODE, "left_anti")).select("session_id", F.lit(True).alias("_c")).distinct()
     inside = F.col("total").between(window * low, window)
     return totals.join(changed.hint("merge"), "session_id", "left").select("session_id", inside.alias("inside"), (~inside | F.col("_c").isNull()).alias("kept"))
 
@@ -221,7 +221,7 @@ def merge_first_run(candidates: DataFrame, taken: DataFrame, k: int, widest: int
     """The stricter rule of merges: a level has a merge due only with ``k`` unmerged memories (session_id, level, id, first, last) that
     aren't too wide for it, and only its first run that has k of them, or two with a newer run after it."""
     each = Window.partitionBy("session_id", "level")
-    free = candidates.join(taken, NODE, "left_anti").withColumn("_all", F.count("*").over(each))
+    free = candidates.join(taken.hint("merge"), NODE, "left_anti").withColumn("_all", F.count("*").over(each))
     if widest is not None:
         free = free.where(F.col("last") - F.col("first") <= widest * F.pow(F.lit(float(k)), F.greatest(F.lit(0), F.col("level") - 3)))
     by = each.orderBy("first", "last")
@@ -241,13 +241,32 @@ def frontier_guarantees(shown: DataFrame, chunks: DataFrame) -> DataFrame:
     found = rows.groupBy("session_id").agg(F.count_if("_gap").alias("_g"), F.count_if("_rise").alias("_r"), F.max("last_chunk").alias("_l"))
     ends = chunks.groupBy("session_id").agg(F.max("chunk_id").alias("_e"))
     whole = (F.coalesce("_g", F.lit(1)) == 0) & F.col("_l").eqNullSafe(F.col("_e"))
-    return ends.join(found, "session_id", "left").select("session_id", whole.alias("whole"), (F.coalesce("_r", F.lit(0)) == 0).alias("falling"))
+    return ends.join(found.hint("merge"), "session_id", "left").select("session_id", whole.alias("whole"), (F.coalesce("_r", F.lit(0)) == 0).alias("falling"))
+
+
+def stop_rules(carried: DataFrame, shown: DataFrame, chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: float, slack: float, low: float) -> DataFrame:
+    """Per session, whether a plan stopped too early, of the nodes that it shows (session_id, level, id; level 0: a chunk) and the carried frontier's total
+    (session_id, total): after folding (carried over the window) above window * (1 - slack) with a group left to fold, or after folding, or from below
+    window * low, with room within that target for the newest memory to open."""
+    target = window * (1 - slack)
+    cost = chunks.select("session_id", F.lit(0).alias("level"), F.col("chunk_id").alias("id"), F.col("raw").alias("tokens")).unionByName(memories.select(*NODE, "tokens"))
+    now = shown.select(*NODE).join(cost.hint("merge"), NODE).groupBy("session_id").agg(F.sum("tokens").alias("_now"))
+    named = edges if "member_level" in edges.columns else edges.withColumn("member_level", F.col("level") - 1)
+    there = shown.select("session_id", F.col("level").alias("member_level"), F.col("id").alias("member"), F.lit(1).alias("_s"))
+    groups = named.join(there.hint("merge"), ["session_id", "member_level", "member"], "left").groupBy(*NODE).agg((F.count("*") == F.count("_s")).alias("_whole"))
+    left = groups.where("_whole").select("session_id").distinct().withColumn("_left", F.lit(True))
+    newest = chunks_of(growth(chunks, memories, edges), edges).join(shown.select(*NODE).hint("merge"), NODE, "left_semi").groupBy("session_id").agg(F.max_by("growth", F.struct("last_chunk", "level")).alias("_g"))
+    rows = carried.join(now.hint("merge"), "session_id").join(left.hint("merge"), "session_id", "left").join(newest.hint("merge"), "session_id", "left")
+    folded = F.col("total") > window
+    folding = folded & (F.col("_now") > target) & F.coalesce("_left", F.lit(False))
+    opening = (folded | (F.col("total") < window * low)) & F.coalesce(F.col("_now") + F.col("_g") <= target, F.lit(False))
+    return rows.select("session_id", folding.alias("stopped_folding"), opening.alias("stopped_unfolding"))
 
 
 def demand_runs(chunks: DataFrame, memories: DataFrame, zone: DataFrame, escalated: DataFrame) -> DataFrame:
     """Of escalated sessions: the runs of chunks that no L1 stands for and no raw zone holds."""
     have = memories.where("level = 1").select("session_id", F.col("id").alias("chunk_id"))
-    free = chunks.join(escalated, "session_id", "left_semi").join(have, ["session_id", "chunk_id"], "left_anti").join(zone, ["session_id", "chunk_id"], "left_anti")
+    free = chunks.join(escalated.hint("merge"), "session_id", "left_semi").join(have.hint("merge"), ["session_id", "chunk_id"], "left_anti").join(zone.hint("merge"), ["session_id", "chunk_id"], "left_anti")
     return runs(free.select("session_id", F.col("chunk_id").alias("id"))).select("session_id", "first", "last")
 
 
@@ -270,7 +289,7 @@ def merge_by_run(candidates: DataFrame, taken: DataFrame, k: int) -> DataFrame:
     ``k`` gives its first k; a shorter one of two or more goes whole once its level reaches beyond it."""
     each = Window.partitionBy("session_id", "level")
     by = each.orderBy("first", "last")
-    free = candidates.withColumn("_live", F.max("last").over(each)).join(taken, NODE, "left_anti")
+    free = candidates.withColumn("_live", F.max("last").over(each)).join(taken.hint("merge"), NODE, "left_anti")
     broken = F.coalesce((F.col("first") > F.lag("last").over(by) + 1).cast("int"), F.lit(1))
     numbered = free.withColumn("_b", broken).withColumn("_run", F.sum("_b").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy("session_id", "level", "_run")
@@ -283,11 +302,11 @@ def work(l1s: DataFrame, merges: DataFrame, zone: DataFrame, covered: DataFrame,
     """Work in the order (level, first), children before parents: an L1 for each due chunk outside the raw zone that no
     memory covers, then merges (of merge_by_run) by level; less targets done or stalled."""
     chunk = ["session_id", "chunk_id"]
-    one = l1s.join(zone, chunk, "left_anti").join(covered, chunk, "left_anti").select("session_id", F.lit(1).alias("level"), "first", F.concat(F.lit("L1:"), "chunk_id").alias("target"))
+    one = l1s.join(zone.hint("merge"), chunk, "left_anti").join(covered.hint("merge"), chunk, "left_anti").select("session_id", F.lit(1).alias("level"), "first", F.concat(F.lit("L1:"), "chunk_id").alias("target"))
     ids = F.array_join(F.array_sort(F.collect_list("id")), "+")  # at most k
     up = merges.groupBy("session_id", (F.col("level") + 1).alias("level"), "run").agg(F.min("first").alias("first"), ids.alias("_ids"))
     up = up.select("session_id", "level", "first", F.concat(F.lit("L"), "level", F.lit(":"), "_ids").alias("target"))
-    return one.unionByName(up).join(done, ["session_id", "target"], "left_anti").join(stalled, ["session_id", "target"], "left_anti")
+    return one.unionByName(up).join(done.hint("merge"), ["session_id", "target"], "left_anti").join(stalled.hint("merge"), ["session_id", "target"], "left_anti")
 
 
 def reading_stretch(leaves: DataFrame, chunks: DataFrame, multiple: int) -> DataFrame:
@@ -295,7 +314,7 @@ def reading_stretch(leaves: DataFrame, chunks: DataFrame, multiple: int) -> Data
     that is at least ``multiple`` times theirs."""
     one = leaves.groupBy("session_id", "work").agg(F.count_distinct("group").alias("_g"), F.count("group").alias("_n"), F.count("*").alias("_all"), F.max("group").alias("group"), F.sum("tokens").alias("portion"))
     whole = chunks.where("group is not null").groupBy("session_id", "group").agg(F.sum("tokens").alias("whole"))
-    return one.where("_g = 1 and _n = _all").join(whole, ["session_id", "group"]).where(F.col("whole") >= multiple * F.col("portion")).select("session_id", "work", "group", "portion", "whole")
+    return one.where("_g = 1 and _n = _all").join(whole.hint("merge"), ["session_id", "group"]).where(F.col("whole") >= multiple * F.col("portion")).select("session_id", "work", "group", "portion", "whole")
 
 
 def merge_source_text(texts: DataFrame, memories: DataFrame, edges: DataFrame) -> DataFrame:
@@ -312,5 +331,5 @@ def merge_source_text(texts: DataFrame, memories: DataFrame, edges: DataFrame) -
 def live_quarantine(quarantined: DataFrame, edges: DataFrame) -> DataFrame:
     """Quarantined runs (session_id, run, level, id, a row for each member) less those with a member merged elsewhere."""
     merged = members(edges).select("session_id", F.col("member_level").alias("level"), F.col("member").alias("id"))
-    stale = quarantined.join(merged, NODE, "left_semi").select("session_id", "run").distinct()
-    return quarantined.join(stale, ["session_id", "run"], "left_anti")
+    stale = quarantined.join(merged.hint("merge"), NODE, "left_semi").select("session_id", "run").distinct()
+    return quarantined.join(stale.hint("merge"), ["session_id", "run"], "left_anti")

@@ -83,7 +83,7 @@ def append_ids(log: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
     """``fresh`` with the ids that continue each session's log."""
     ends = log.groupBy("session_id").agg(F.max("id").alias("_end"))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy(order))
-    return fresh.withColumn("_k", place).join(ends, "session_id", "left").withColumn("id", F.coalesce("_end", F.lit(-1)) + F.col("_k")).drop("_k", "_end")
+    return fresh.withColumn("_k", place).join(ends.hint("merge"), "session_id", "left").withColumn("id", F.coalesce("_end", F.lit(-1)) + F.col("_k")).drop("_k", "_end")
 
 
 def last(log: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def count(log: DataFrame) -> DataFrame:
 
 def get(log: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The records of (session_id, id) keys, and the keys that the log lacks."""
-    return log.join(keys, ["session_id", "id"], "left_semi"), keys.join(log, ["session_id", "id"], "left_anti")
+    return log.join(keys.hint("merge"), ["session_id", "id"], "left_semi"), keys.join(log.hint("merge"), ["session_id", "id"], "left_anti")
 
 
 def span(log: DataFrame, first_id: int, last_id: int) -> DataFrame:
@@ -145,11 +145,11 @@ def resolve_forks(log: DataFrame, forks: DataFrame) -> DataFrame:
 def fork_shared_counts(items: DataFrame, forks: DataFrame) -> DataFrame:
     """How many of the parent's items (session_id, level, last) end by the fork message, per layer."""
     named = items.withColumnRenamed("session_id", "parent_id")
-    return forks.join(named, "parent_id").groupBy("session_id", "level").agg(F.count_if(F.col("last") <= F.col("at")).alias("shared"))
+    return forks.join(named.hint("merge"), "parent_id").groupBy("session_id", "level").agg(F.count_if(F.col("last") <= F.col("at")).alias("shared"))
 
 
 def catalog(log: DataFrame, forks: DataFrame) -> DataFrame:
-    return log.groupBy("session_id").agg(F.count("*").alias("messages")).join(forks, "session_id", "left").select("session_id", "messages", "parent_id", "at")
+    return log.groupBy("session_id").agg(F.count("*").alias("messages")).join(forks.hint("merge"), "session_id", "left").select("session_id", "messages", "parent_id", "at")
 
 
 def surviving_prefix(frontier: DataFrame, shared: DataFrame) -> DataFrame:

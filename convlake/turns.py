@@ -27,14 +27,14 @@ def unpaired_tools(blocks: DataFrame) -> DataFrame:
     """Of blocks (session_id, id, pos, type, call), the calls without a result and the results without a call."""
     tools = blocks.where(F.col("type").isin("tool_use", "tool_result"))
     other = tools.select("session_id", "call", F.when(F.col("type") == "tool_use", "tool_result").otherwise("tool_use").alias("type")).distinct()
-    return tools.join(other, ["session_id", "call", "type"], "left_anti")
+    return tools.join(other.hint("merge"), ["session_id", "call", "type"], "left_anti")
 
 
 def drop_unpaired_tools(blocks: DataFrame) -> DataFrame:
     """Blocks kept of each message, and whether it lost all it had and says that a call was omitted."""
     lost = unpaired_tools(blocks).select("session_id", "id", "pos", F.lit(True).alias("_lost"))
     kept = F.count_if(F.col("_lost").isNull())
-    return blocks.join(lost, ["session_id", "id", "pos"], "left").groupBy("session_id", "id").agg(kept.alias("kept"), (kept == 0).alias("omitted"))
+    return blocks.join(lost.hint("merge"), ["session_id", "id", "pos"], "left").groupBy("session_id", "id").agg(kept.alias("kept"), (kept == 0).alias("omitted"))
 
 
 def drop_trailing_calls(log: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def newest_kept(log: DataFrame, kept: DataFrame) -> DataFrame:
     """Per session: whether its newest message is still there."""
     newest = log.groupBy("session_id").agg(F.max("id").alias("_n"))
     left = kept.groupBy("session_id").agg(F.max("id").alias("_k"))
-    return newest.join(left, "session_id", "left").select("session_id", F.col("_n").eqNullSafe(F.col("_k")).alias("kept"))
+    return newest.join(left.hint("merge"), "session_id", "left").select("session_id", F.col("_n").eqNullSafe(F.col("_k")).alias("kept"))
 
 
 def cache_seams(recalls: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def next_attempt(attempts: DataFrame, budget: int) -> DataFrame:
 def kv_cost(before: DataFrame, after: DataFrame) -> DataFrame:
     """Tokens of ``after`` (session_id, pos, unit, tokens) from the first unit that differs from ``before``."""
     was = before.select("session_id", "pos", F.col("unit").alias("_was"))
-    both = after.join(was, ["session_id", "pos"], "full")
+    both = after.join(was.hint("merge"), ["session_id", "pos"], "full")
     first = F.min(F.when(~F.col("unit").eqNullSafe(F.col("_was")), F.col("pos"))).over(Window.partitionBy("session_id"))
     return both.withColumn("_f", first).groupBy("session_id").agg(F.coalesce(F.sum(F.when(F.col("pos") >= F.col("_f"), F.col("tokens"))), F.lit(0)).alias("cost"))
 
@@ -82,10 +82,11 @@ def misallocation(cut: DataFrame) -> DataFrame:
     return cut.groupBy("session_id").agg(F.sum(F.col("salience") * F.greatest(F.lit(0), F.col("level") - F.col("cap"))).alias("misallocation"))
 
 
-def next_rung(calls: DataFrame) -> DataFrame:
+def next_rung(calls: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """Per target of calls (target, id, stop, text) so far: how the next one asks, or none if the last reply is accepted or nothing
     is left to ask. A call for tools leads to a line against them, then to no tools; a reply that was all reasoning to plain prose;
-    any other failure to a request with a summary opened up."""
+    any other failure to a request with a summary opened up. Given how many of those a target can have (variants: target, variants), ``variant`` is
+    the number of the one that is next, and the rung is ``exhausted`` once all were tried."""
     by = Window.partitionBy("target").orderBy("id")
     tools = F.col("stop") == "tool_use"
     rows = calls.withColumn("_k", F.row_number().over(by)).withColumn("_tools", F.min(tools.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1)
@@ -93,4 +94,12 @@ def next_rung(calls: DataFrame) -> DataFrame:
     blank = ended & (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0)
     rows = rows.withColumn("_prose", F.coalesce(F.max(blank.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1)
     rung = F.when(ended & ~blank, "none").when(F.col("_prose"), "none").when(blank, "prose").when(F.col("_tools") & (F.col("_k") == 1), "no tools").when(F.col("_tools") & (F.col("_k") == 2), "tools dropped").otherwise("variant")
-    return rows.groupBy("target").agg(F.max_by(rung, "id").alias("rung"), F.count("*").alias("tries"))
+    found = rows.groupBy("target").agg(F.max_by(rung, "id").alias("rung"), F.count("*").alias("tries"), F.sum(F.col("_tools").cast("int")).alias("_t"))
+    if variants is None:
+        return found.drop("_t")
+    # calls before the variants: the first, and one more for each of the first two that asked for tools
+    tried = F.col("tries") - 1 - F.least(F.lit(2), "_t")
+    met = found.join(variants.hint("merge"), "target", "left").withColumn("variants", F.coalesce("variants", F.lit(0)))
+    open_ = F.col("rung") == "variant"
+    left = tried < F.col("variants")
+    return met.select("target", F.when(open_ & ~left, "exhausted").otherwise(F.col("rung")).alias("rung"), F.when(open_ & left, tried + 1).alias("variant"), "tries")
