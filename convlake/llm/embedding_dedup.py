@@ -61,7 +61,7 @@ def estimate(unit: np.ndarray, signs: np.ndarray, factor: np.ndarray, turn: np.n
     return product * factor, error
 
 
-def compare_cell(threshold: float, bits: int):
+def compare_cell(threshold: float, bits: int, sigmas: float = SIGMAS):
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("cid", kind="stable")
         side, cid, mult = (cell[c].to_numpy() for c in ("side", "cid", "mult"))
@@ -71,7 +71,7 @@ def compare_cell(threshold: float, bits: int):
         signs = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in cell["code"]]), axis=1)[:, : len(turn)].astype(bool)
         x, y, factor = np.flatnonzero(side != 2), np.flatnonzero(side != 1), cell["factor"].to_numpy()
         guess, error = estimate(unit[x], signs[y], factor[y], turn)
-        i, j = np.nonzero(guess + SIGMAS * error >= threshold)
+        i, j = np.nonzero((guess + sigmas * error >= threshold) | np.isinf(sigmas))
         i, j = x[i], y[j]
         fresh = ~(keys[i, :band] == keys[j, :band]).any(axis=1)  # else an earlier band has counted the pair
         if (side == 0).any():
@@ -87,7 +87,7 @@ def compare_cell(threshold: float, bits: int):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, width: int | None = None) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, width: int | None = None, exact: bool = False) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Only vectors with equal labels, not null, and equal lengths link. Vectors that are null, empty, zero or hold
@@ -96,7 +96,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, width: int | No
     a vec_id are rows of their class; other columns are ignored; an empty table gives no rows.
 
     ``width`` is the bits of a band; unless given it follows from the largest label, and the number of bands from it, so that a
-    pair at the threshold meets with the chance RECALL whatever the width. The README has what was measured.
+    pair at the threshold meets with the chance RECALL whatever the width. The README has what was measured. ``exact`` loses no pair: all tile
+    pairs of a label meet, and every pair in them is recomputed, which takes the square of a label's vectors.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -107,9 +108,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, width: int | No
     classes = rows.where("h1 is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
     classes = scratch.save(classes.withColumn("dim", F.size("embedding")), "classes")
     most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    width = width or min(24, max(2, ceil(log(max(most, 1) / TILE + 1, 2))))
+    width = 0 if exact else width or min(24, max(2, ceil(log(max(most, 1) / TILE + 1, 2))))
     agree = 1 - acos(threshold) / pi
-    bands = max(1, ceil(log(1 - RECALL) / log(1 - agree**width)))
+    bands = 1 if exact else max(1, ceil(log(1 - RECALL) / log(1 - agree**width)))
     bits = max(MIN_BITS, width * bands)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, width: int | No
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     side = F.when(F.col("s") == F.col("o"), 0).when(F.col("s") < F.col("o"), 1).otherwise(2).alias("side")
     cells = met.select(*bucket, F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y"), side, "cid", "mult", "embedding", "code", "factor", "keys")
-    found = cells.groupBy(*bucket, "x", "y").applyInPandas(compare_cell(threshold, bits), "cid long, links long, root long")
+    found = cells.groupBy(*bucket, "x", "y").applyInPandas(compare_cell(threshold, bits, float("inf") if exact else SIGMAS), "cid long, links long, root long")
     found = scratch.save(found, "links")
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch).select(F.col("node").alias("cid"), "root")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
