@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from . import ledger as L
 from . import plans as K
+from . import repair as Y
 from . import requests as R
 from . import selection as Z
 from . import sources as S
@@ -15,7 +16,7 @@ from . import turns as T
 from .block_queries import TAKEN
 from .keep import kept
 from .pricing import recall_label
-from .queries import CHANNEL, CONV_PYRAMID, conv_memories, conv_tree, posts, query
+from .queries import CHANNEL, CONV, CONV_PYRAMID, conv_memories, conv_tree, posts, query
 
 
 def quoted(text: str) -> str:
@@ -133,3 +134,19 @@ def t16_variant_requests(s, d):
     request, memories, edges, budgets = newest_requests(s, d)
     variants = kept(R.admitted_variants(request, memories, edges, budgets, 2))
     return R.variant_requests(request, memories, edges, variants).select("session_id", "variant", "pos", "text")
+
+
+@query(f"""WITH RECURSIVE l AS ({CONV}), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS k, CASE WHEN length(text) % 5 = 0 THEN 'call:' || id END AS key, participant = 'assistant' AS a FROM l WHERE id > 0),
+tr AS (SELECT session_id, 2 * id + length(text) % 2 AS "at", a, key, CASE length(text) % 3 WHEN 0 THEN text WHEN 1 THEN 'The user said:' || chr(10) || text ELSE text || '.' END AS t, length(text) % 7 = 0 AS sys FROM (SELECT *, CASE WHEN length(text) % 5 = 0 THEN 'call:' || id END AS key, participant = 'assistant' AS a FROM l)),
+w AS (SELECT session_id, 0::BIGINT AS k, 1000000::BIGINT AS e FROM l GROUP BY 1
+ UNION ALL SELECT w.session_id, n.k, coalesce((SELECT max(tr."at") FROM tr WHERE tr.session_id = n.session_id AND tr.a = n.a AND tr."at" < w.e AND CASE WHEN n.key IS NOT NULL THEN tr.key = n.key ELSE trim(n.text) <> '' AND (tr.t = n.text OR ends_with(tr.t, chr(10) || n.text)) END), w.e) FROM w JOIN n ON n.session_id = w.session_id AND n.k = w.k + 1),
+m AS (SELECT session_id, min(e) AS matched FROM w GROUP BY 1 HAVING min(e) < 1000000)
+SELECT session_id, matched, coalesce((SELECT max("at") FROM tr WHERE tr.session_id = m.session_id AND tr."at" <= matched AND NOT sys), 0) AS start FROM m""")
+def t19_align_transcript(s, d):
+    """The transcript has each message, some with a line before it or a sign after it, and some a place later; the log lacks the first."""
+    n = F.length("text")
+    rows = S.conversations(s, d).select("session_id", "id", (F.col("participant") == "assistant").alias("assistant"), F.when(n % 5 == 0, F.concat(F.lit("call:"), "id")).alias("key"), "text")
+    theirs = F.when(n % 3 == 0, F.col("text")).when(n % 3 == 1, F.concat(F.lit("The user said:\n"), "text")).otherwise(F.concat("text", F.lit(".")))
+    keys = F.when(F.col("key").isNotNull(), F.array("key")).otherwise(F.array().cast("array<string>"))
+    transcript = rows.select("session_id", (2 * F.col("id") + n % 2).cast("long").alias("at"), "assistant", keys.alias("keys"), F.array(theirs).alias("texts"), (n % 7 == 0).alias("system"), F.lit(False).alias("results"))
+    return Y.align_transcript(rows.where("id > 0"), transcript)

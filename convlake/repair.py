@@ -126,6 +126,14 @@ def assemble_merge(recalls: DataFrame, runs: DataFrame, targets: DataFrame, inst
     return one.unionByName(two).unionByName(told)
 
 
+def _tails(texts: DataFrame, by: list[str]) -> DataFrame:
+    """Of texts (``by``, t): for each number n of last lines a 128-bit hash of them (h1, h2), from hashes of the lines by their places from the end."""
+    lines = texts.select(*by, F.posexplode(F.reverse(F.split("t", "\n", -1))).alias("n", "_line"))
+    run = Window.partitionBy(*by).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "n", "_line")).over(run)
+    return lines.select(*by, "n", mark(1).alias("h1"), mark(2).alias("h2"))
+
+
 def align_transcript(log: DataFrame, transcript: DataFrame) -> DataFrame:
     """Where each session's transcript takes up its log: (session_id, matched, start).
 
@@ -133,14 +141,21 @@ def align_transcript(log: DataFrame, transcript: DataFrame) -> DataFrame:
     assistant, keys, texts, system, results) before the match of the one after it: by its key if it has one, else by its text, which
     may be the last lines of theirs. ``matched`` is the oldest match; ``start`` goes back from there to a message that is neither
     the system's nor holds results.
+
+    Texts meet by how many lines they have and a hash of so many last lines, and are compared where these agree, so a text of very many
+    lines takes a row for each.
     """
-    side = ["session_id", "assistant", "what"]
-    by_key = transcript.select("session_id", "assistant", "at", F.explode("keys").alias("k")).select(*side[:2], F.concat(F.lit("k"), "k").alias("what"), "at")
-    lines = F.split("t", "\n", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array_join(F.slice(lines, i, F.size(lines)), "\n"))
-    by_text = transcript.select("session_id", "assistant", "at", F.explode("texts").alias("t")).select(*side[:2], "at", F.explode(tails).alias("x")).select(*side[:2], F.concat(F.lit("t"), "x").alias("what"), "at")
-    asked = log.select("session_id", "id", "assistant", F.when(F.col("key").isNotNull(), F.concat(F.lit("k"), "key")).when(F.length(F.trim("text")) > 0, F.concat(F.lit("t"), "text")).alias("what"))
-    places = asked.where("what is not null").hint("merge").join(by_key.unionByName(by_text).distinct(), side).groupBy("session_id", "id").agg(F.collect_list("at").alias("ats"))
+    side = ["session_id", "assistant"]
+    by_key = transcript.select(*side, "at", F.explode("keys").alias("key")).distinct()
+    keyed = log.where("key is not null").select(*side, "id", "key").hint("merge").join(by_key, [*side, "key"]).select("session_id", "id", "at")
+    said = log.where("key is null").where(F.length(F.trim("text")) > 0).select(*side, "id", F.col("text").alias("t"))
+    sent = transcript.select(*side, "at", F.posexplode("texts").alias("k", "t")).where("t is not null")
+    every = _tails(said, [*side, "id"])
+    asked = every.withColumn("_all", F.max("n").over(Window.partitionBy(*side, "id"))).where("n = _all").drop("_all")
+    met = asked.hint("merge").join(_tails(sent, [*side, "at", "k"]), [*side, "n", "h1", "h2"]).select(*side, "id", "at", "k")
+    both = met.join(said.withColumnRenamed("t", "_mine").hint("merge"), [*side, "id"]).join(sent.withColumnRenamed("t", "_theirs").hint("merge"), [*side, "at", "k"])
+    same = (F.col("_theirs") == F.col("_mine")) | F.endswith("_theirs", F.concat(F.lit("\n"), "_mine"))
+    places = keyed.unionByName(both.where(same).select("session_id", "id", "at")).groupBy("session_id", "id").agg(F.collect_set("at").alias("ats"))
     items = F.reverse(F.array_sort(F.collect_list(F.struct("id", "ats"))))  # what a log message may be, newest first
     end = F.lit(2**62)
     fold = F.aggregate(items, end, lambda e, m: F.coalesce(F.array_max(F.filter(m["ats"], lambda a: a < e)), e))

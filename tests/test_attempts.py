@@ -117,3 +117,14 @@ def test_forks_that_come_from_themselves(spark):
     ring = spark.createDataFrame([("b", "a", 3), ("a", "b", 2), ("d", "a", 9)], "session_id string, parent_id string, at long")
     with pytest.raises(ValueError, match="come from themselves"):
         sources.ancestors(ring)
+
+
+def test_a_transcript_of_very_many_lines(spark):
+    from convlake.repair import align_transcript
+
+    draw = random.Random(3)
+    lines = [draw.choice("abc") for _ in range(100_000)]
+    log = [("a", 0, False, None, "\n".join(lines[-40_000:])), ("a", 1, False, None, "\n".join(lines[-5:])), ("a", 2, False, None, "x" + "\n".join(lines[-3:])), ("b", 0, False, None, "late\n")]
+    sent = [("a", 0, False, [], ["\n".join(lines), None], False, False), ("a", 1, False, [], ["\n".join(lines[:-1])], False, False), ("a", 2, False, [], ["q", "so\n" + "\n".join(lines[-5:])], False, False), ("b", 0, False, [], ["so\nlate"], False, False), ("b", 1, False, [], ["so\nlate\n"], False, True)]
+    got = align_transcript(spark.createDataFrame(log, "session_id string, id long, assistant boolean, key string, text string"), spark.createDataFrame(sent, "session_id string, at long, assistant boolean, keys array<string>, texts array<string>, system boolean, results boolean"))
+    assert {r.session_id: (r.matched, r.start) for r in got.collect()} == {"a": (0, 0), "b": (1, 0)}
