@@ -17,6 +17,8 @@ from .common import Scratch, shared_dir
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A digest is hot if it has at least a HOT-th of the rows, so that there are HOT hot digests at most.
 HOT = 1_000
+#: Groups of tasks whose counts of a digest meet first.
+PARTS = 16
 INDEX = "text_sha256 string, keep_id long, group_size long"
 
 
@@ -58,7 +60,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     spark = docs.sparkSession
     scratch, index = Scratch(spark, "exact"), index or DigestIndex(spark)
     rows = scratch.save(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256")), "digests")
-    grouped = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # in two steps, so that no task gets a row of a hot digest from every task before it
+    some = rows.groupBy("text_sha256", F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("_part")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    grouped = scratch.save(some.groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")), "grouped")
     index.append_new(grouped)
     total = rows.count()
     hot = scratch.save(grouped.where(F.col("group_size") * HOT >= total).select("text_sha256"), "hot")
