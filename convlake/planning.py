@@ -6,21 +6,17 @@ or opening one changes a session's total by a fixed amount, whatever else was do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .keep import kept
 from .plans import closure, growth, members
-from .selection import NODE, adopt, layout, project, suffix_adopt
+from .selection import FOLDED, NODE, adopt, layout, opened, project, suffix_adopt
 from .turns import kv_cost, misallocation
 
 #: Rounds of the ideal cut, at most.
 ROUNDS = 3
-FOLDABLE = "session_id string, level int, id long, growth double, parent long, last_chunk long, now double, window double, target double"
 
 
 def _prefix(rows: DataFrame, start: str) -> DataFrame:
@@ -31,32 +27,6 @@ def _prefix(rows: DataFrame, start: str) -> DataFrame:
     return rows.withColumn("_left", F.col(start) - saved).withColumn("_low", lowest).where(F.col("_low") > F.col("target")).select(*NODE, "growth")
 
 
-def _opened(folded: DataFrame) -> DataFrame:
-    """Folded memories (FOLDABLE) that open again: while the total is under the target, from the top level down and newest first, each shown
-    one that brings it nearer to the target within the window. Sessions are streamed; the state is the total and what opened a level up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, level, total, above, mine = None, None, 0.0, set(), set()
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["session_id"] != session:
-                    session, level, total, above, mine = r["session_id"], r["level"], r["now"], set(), set()
-                if r["level"] != level:
-                    above, mine = mine if r["level"] == level - 1 else set(), set()
-                    level = r["level"]
-                shown = r["parent"] is None or r["parent"] in above
-                after = total + r["growth"]
-                if shown and total < r["target"] and after <= r["window"] and abs(after - r["target"]) < abs(total - r["target"]):
-                    total = after
-                    mine.add(r["id"])
-                    out.append((session, level, r["id"]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], NODE)
-
-    dealt = folded.repartition("session_id").sortWithinPartitions("session_id", F.col("level").desc(), F.col("last_chunk").desc())
-    return dealt.mapInArrow(run, "session_id string, level int, id long")
-
-
 def ideal_cut(chunks: DataFrame, memories: DataFrame, edges: DataFrame, budgets: DataFrame, windows: DataFrame | None = None) -> DataFrame:
     """The ideal cut (session_id, chunk_id, level), of chunks (raw, cap, salience) under budgets (session_id, window, target).
 
@@ -91,9 +61,9 @@ def ideal_cut(chunks: DataFrame, memories: DataFrame, edges: DataFrame, budgets:
         after = here.join(saved(more).hint("merge"), "session_id", "left").withColumn("now", F.col("now") - F.coalesce("_s", F.lit(0.0)))
         under = groups.join(folded.select(*NODE).hint("merge"), NODE, "left_semi").join(after.where("now < target").select("session_id", "now", "window", "target").hint("merge"), "session_id")
         mine = folded.select("session_id", (F.col("level") - 1).alias("level"), F.col("id").alias("parent"), F.lit(True).alias("_p"))
-        held = under.select(*[c.split()[0] for c in FOLDABLE.split(", ")]).join(mine.distinct().hint("merge"), ["session_id", "level", "parent"], "left")
+        held = under.select(*FOLDED).join(mine.distinct().hint("merge"), ["session_id", "level", "parent"], "left")
         shown_by = held.withColumn("parent", F.when(F.col("_p"), F.col("parent"))).drop("_p")
-        folded = kept(folded.join(_opened(shown_by).hint("merge"), NODE, "left_anti"))
+        folded = kept(folded.join(opened(shown_by).hint("merge"), NODE, "left_anti"))
         render = here.join(saved(folded).hint("merge"), "session_id", "left").select("session_id", "window", (F.col("seen") - F.coalesce("_s", F.lit(0.0))).alias("rendered"))
         old = active.select("session_id", F.col("rendered").alias("_was"))
         active = kept(render.join(old.hint("merge"), "session_id").where("rendered > window and (_was is null or rendered < _was)").select("session_id", "rendered"))

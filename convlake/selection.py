@@ -3,6 +3,9 @@ demand, coverage and work (D); runs to merge and the text that a merge reads (M)
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,7 @@ from .plans import chunks_of, closure, growth, members
 from .turns import kv_cost
 
 NODE = ["session_id", "level", "id"]
+FOLDED = ["session_id", "level", "id", "growth", "parent", "last_chunk", "now", "window", "target"]
 
 
 def layout(cut: DataFrame, memories: DataFrame, edges: DataFrame, windows: DataFrame | None = None) -> DataFrame:
@@ -76,36 +80,47 @@ def coarsen(chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: fl
     return first.unionByName(second).withColumnRenamed("growth", "saving")
 
 
+def opened(folded: DataFrame) -> DataFrame:
+    """Folded memories (FOLDED; ``parent`` is the folded memory that holds one, ``now`` the session's total) that open again: while the total is under
+    the target, from the top level down and newest first, each shown
+    one that brings it nearer to the target within the window. Sessions are streamed; the state is the total and what opened a level up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, level, total, above, mine = None, None, 0.0, set(), set()
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["session_id"] != session:
+                    session, level, total, above, mine = r["session_id"], r["level"], r["now"], set(), set()
+                if r["level"] != level:
+                    above, mine = mine if r["level"] == level - 1 else set(), set()
+                    level = r["level"]
+                shown = r["parent"] is None or r["parent"] in above
+                after = total + r["growth"]
+                if shown and total < r["target"] and after <= r["window"] and abs(after - r["target"]) < abs(total - r["target"]):
+                    total = after
+                    mine.add(r["id"])
+                    out.append((session, level, r["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], NODE)
+
+    dealt = folded.repartition("session_id").sortWithinPartitions("session_id", F.col("level").desc(), F.col("last_chunk").desc())
+    return dealt.mapInArrow(run, "session_id string, level int, id long")
+
+
 def refine(shown: DataFrame, chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: float, target: float) -> DataFrame:
     """The memories that open after coarsening, of a cut's shown memories (session_id, level, id): while the total is under the
-    target, from the top level down and newest first, each that brings it nearer to the target within the window.
-
-    What opens at a level follows from the total so far, so a level is a fold over its memories; what a memory opens to is looked
-    at on the level below.
+    target, from the top level down and newest first, each that brings it nearer to the target within the window. What opened gives
+    what it merged to the next level.
     """
-    steps = kept(chunks_of(growth(chunks, memories, edges), edges))
-    tops = shown.select("session_id", "level", F.col("id").alias("ancestor"))
-    cover = closure(edges).join(tops.hint("merge"), ["session_id", "level", "ancestor"]).select("session_id", "chunk_id")
-    now = _shown_total(chunks, steps.join(shown.select(*NODE).hint("merge"), NODE, "left_semi"), cover).withColumnRenamed("before", "total")
-    open_, done = shown.select(*NODE), None
-    start = lambda t: F.struct(t.cast("double").alias("t"), F.array().cast("array<bigint>").alias("opened"))
-
-    def step(s, x):
-        after = s["t"] + x["growth"]
-        take = (s["t"] < target) & (after <= window) & (F.abs(after - target) < F.abs(s["t"] - target))
-        return F.struct(F.when(take, after).otherwise(s["t"]).alias("t"), F.when(take, F.array_append(s["opened"], x["id"])).otherwise(s["opened"]).alias("opened"))
-
-    for level in range(memories.agg(F.max("level")).first()[0] or 0, 0, -1):
-        here = steps.join(open_.where(F.col("level") == level).hint("merge"), NODE, "left_semi")
-        items = F.array_sort(F.collect_list(F.struct((-F.col("last_chunk")).alias("_o"), "growth", "id")))  # a level's shown memories
-        folded = here.groupBy("session_id").agg(items.alias("_i")).join(now.hint("merge"), "session_id").withColumn("_s", F.aggregate("_i", start(F.col("total")), step))
-        folded = kept(folded.select("session_id", F.col("_s.t").alias("_t"), "_s.opened"))
-        opened = folded.select("session_id", F.lit(level).alias("level"), F.explode("opened").alias("id"))
-        done = opened if done is None else done.unionByName(opened)
-        now = now.join(folded.select("session_id", "_t").hint("merge"), "session_id", "left").select("session_id", F.coalesce("_t", F.col("total").cast("double")).alias("total"))
-        below = members(edges).join(opened.hint("merge"), NODE, "left_semi").select("session_id", F.col("member_level").alias("level"), F.col("member").alias("id"))
-        open_ = open_.unionByName(below)
-    return shown.select(*NODE).limit(0) if done is None else done
+    tops = kept(shown.select(*NODE))
+    cover = closure(edges).join(tops.withColumnRenamed("id", "ancestor").hint("merge"), ["session_id", "level", "ancestor"]).select("session_id", F.col("level").alias("_top"), "chunk_id")
+    cover = kept(cover)
+    totals = _shown_total(chunks, memories.join(tops.hint("merge"), NODE, "left_semi"), cover)
+    steps = chunks_of(growth(chunks, memories, edges), edges).join(cover.withColumnRenamed("chunk_id", "last_chunk").hint("merge"), ["session_id", "last_chunk"]).where("level <= _top")
+    parents = members(edges).select("session_id", F.col("member_level").alias("level"), F.col("member").alias("id"), F.col("id").alias("_up"))
+    held = steps.join(parents.hint("merge"), NODE, "left").withColumn("parent", F.when(F.col("level") < F.col("_top"), F.col("_up")))
+    rows = held.join(totals.withColumnRenamed("before", "now").hint("merge"), "session_id").withColumn("window", F.lit(float(window))).withColumn("target", F.lit(float(target)))
+    return opened(rows.select(*FOLDED))
 
 
 def project(cut: DataFrame, edges: DataFrame) -> DataFrame:
