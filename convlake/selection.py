@@ -82,8 +82,8 @@ def coarsen(chunks: DataFrame, memories: DataFrame, edges: DataFrame, window: fl
 
 def opened(folded: DataFrame) -> DataFrame:
     """Folded memories (FOLDED; ``parent`` is the folded memory that holds one, ``now`` the session's total) that open again: while the total is under
-    the target, from the top level down and newest first, each shown
-    one that brings it nearer to the target within the window. Sessions are streamed; the state is the total and what opened a level up."""
+    the target, from the top level down and newest first, each shown one that brings it nearer to the target within the window. Sessions are
+    streamed; the state is the total and what opened a level up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, level, total, above, mine = None, None, 0.0, set(), set()
