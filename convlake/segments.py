@@ -239,10 +239,11 @@ def segments(rows: DataFrame, target: int, least: int, before: bool = False) ->
     """
     name = F.when(F.col("session_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "session_id"))
     rows = kept(rows.withColumn("session_id", name).select(*ROWS, "slice"))
-    long = kept(rows.groupBy("session_id").agg(F.min("slice").alias("_a"), F.max("slice").alias("_b")).where("_a < _b").select("session_id"))
-    if long.isEmpty():
+    wide = rows.groupBy("session_id").agg(F.min("slice").alias("_a"), F.max("slice").alias("_b")).where("_a < _b").select("session_id")
+    if wide.isEmpty():
         out = _short(rows, target, least, before)
     else:
+        long = kept(wide)
         short = rows.join(long.hint("merge"), "session_id", "left_anti")
         out = _short(short, target, least, before).unionByName(_long(rows.join(long.hint("merge"), "session_id", "left_semi"), target, least, before))
     return out.withColumn("session_id", F.expr("if(session_id = '', null, substr(session_id, 2))"))
