@@ -9,6 +9,7 @@ from . import blocks as B
 from . import plans as K
 from . import sources as S
 from . import turns as T
+from .admission import admit
 from .ledger import input_bound, ledger
 from .queries import ATTEMPTS, CONV, CONV_PYRAMID, DOCS, attempts, chunk_sql, conv_chunks, conv_memories, conv_tree, doc_chunks, priced, query, tokens_sql
 
@@ -104,7 +105,7 @@ SELECT session_id, id FROM r WHERE fits""")
 def w5_admit(s, d):
     messages = event_messages(s, d).withColumn("bytes", B.image_bytes(F.col("content")))
     images = messages.where(F.exists("content", lambda b: b["type"] == "image"))
-    return B.admit(images, 3, 120_000)
+    return admit(images, 3, 120_000)
 
 
 # --- chunks, pyramid, plans

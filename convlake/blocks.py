@@ -1,10 +1,7 @@
-"""Messages as arrays of blocks: their prices, their text, and what of them may be sent (P, W5)."""
+"""Messages as arrays of blocks: their prices and their text (P)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,24 +134,3 @@ def usage_input(provider: Column, n: Column, written: Column, read: Column) -> C
     apart = F.lower(provider).isin("anthropic", "bedrock")
     total = n + F.when(apart, F.coalesce(written, F.lit(0)) + F.coalesce(read, F.lit(0))).otherwise(0)
     return F.when((n >= 0) & (total > 0), total)
-
-
-def admit(items: DataFrame, count: int, size: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """Per session, newest id first and by ``within`` in it: items (id, bytes) that fit ``count`` and ``size`` (0: no limit). One that
-    doesn't fit is skipped and the next is tried, so sessions are streamed in that order; the state is what was kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, used = None, 0, 0
-        for batch in batches:
-            fits = []
-            for session, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if session != at:
-                    at, n, used = session, 0, 0
-                fits.append((not count or n < count) and (not size or used + more <= size))
-                if fits[-1]:
-                    n, used = n + 1, used + more
-            yield batch.filter(pa.array(fits, pa.bool_()))
-
-    kept = ["id", *within]
-    rows = items.select("session_id", F.col("bytes").cast("long").alias("bytes"), *kept).repartition("session_id").sortWithinPartitions("session_id", F.col("id").desc(), *within)
-    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes)).select("session_id", *kept)

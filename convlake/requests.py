@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import BLOCK, IMAGE, admit
+from .admission import admit
+from .blocks import BLOCK, IMAGE
 from .ledger import input_bound
 from .plans import members
 from .pricing import recall_label, trim_js

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import admit
+from .admission import admit
 from .sources import by_id
 
 # Fixed values of the rules: a recall's envelope, the least budget of a merge, the halvings it can have.
