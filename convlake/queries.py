@@ -484,4 +484,4 @@ def x5_usage_windows(s, d):
     return X.usage_windows(usage)
 
 
-from . import attempt_queries, block_queries, forming_queries, more_queries, planning_queries, repair_queries, request_queries, seek_queries, selection_queries  # noqa: E402,F401  register their own
+from . import attempt_queries, block_queries, forming_queries, more_queries, nesting_queries, planning_queries, repair_queries, request_queries, seek_queries, selection_queries  # noqa: E402,F401  register their own
