@@ -42,6 +42,14 @@ SALIENCE = f"greatest(0.2::DOUBLE, 1 - 0.8::DOUBLE * least(1.0::DOUBLE, ({APART}
 BYTES = "CASE WHEN event_type = 'signup' THEN floor(value * 1000)::BIGINT ELSE 0 END"
 
 
+@query("""WITH v AS (SELECT event_id, (1 + event_id % 9973)::VARCHAR AS m, event_id % 43 - 14 AS e FROM events), n AS (SELECT event_id, length(m) + e AS n, length(rtrim(m, '0')) AS k FROM v)
+SELECT event_id, 6 + CASE WHEN k <= n AND n <= 21 THEN n WHEN n > 0 AND n <= 21 THEN k + 1 WHEN n > -6 AND n <= 0 THEN k + 2 - n ELSE k + (k > 1)::BIGINT + 2 + length(abs(n - 1)::VARCHAR) END AS n FROM n""")
+def p4_numbers(s, d):
+    """Numbers from 1e-14 to 1e32 in exponent form."""
+    number = F.concat(1 + F.col("event_id") % 9973, F.lit("e"), F.col("event_id") % 43 - 14)
+    return S.table(s, d, "events").select("event_id", B.json_len(F.concat(F.lit('{"v": '), number, F.lit("}"))).cast("long").alias("n"))
+
+
 @query(f"SELECT event_id, {JSON} AS n FROM events")
 def p4_json_len(s, d):
     return S.table(s, d, "events").select("event_id", B.json_len(F.col("props")).alias("n"))

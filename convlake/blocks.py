@@ -20,12 +20,36 @@ def block(kind: str, **fields: Column) -> Column:
     return F.struct(*[(F.lit(kind) if n == "type" else fields.get(n, F.lit(None))).cast(t).alias(n) for n, t in names])
 
 
+def _fewest_digits(v: Column) -> Column:
+    """A number that isn't negative, by the fewest digits that give the same double. Java before 19 writes some more, so 15 and 16 are tried."""
+    told = v.cast("string")
+    fewer = [F.format_string(f"%.{n}e", v) for n in (14, 15)]
+    return F.when(F.length(told) > 15, F.coalesce(*[F.when(s.cast("double") == v, s) for s in fewer], told)).otherwise(told)
+
+
+def number_lens(shown: Column) -> Column:
+    """How many characters each JSON number of an array has as JavaScript writes it: with a point from 1e-6 up to 1e21, else with an exponent."""
+    own = F.transform(shown, lambda x: F.struct(x.cast("double").alias("v"), _fewest_digits(F.abs(x.cast("double"))).alias("t")))
+    parts = F.transform(own, lambda x: F.struct(x["v"], F.regexp_extract(x["t"], r"^(\d+)", 1).alias("whole"), F.regexp_extract(x["t"], r"\.(\d+)", 1).alias("part"), F.coalesce(F.regexp_extract(x["t"], r"[eE]\+?(-?\d+)$", 1).try_cast("int"), F.lit(0)).alias("power")))
+    digits = F.transform(parts, lambda x: F.struct(x["v"], F.regexp_replace(F.concat(x["whole"], x["part"]), "^0+", "").alias("d"), (x["power"] - F.length(x["part"])).alias("power")))
+    # the number is 0.digits times ten to n, of k digits without the zeros at their end
+    placed = F.transform(digits, lambda x: F.struct(x["v"], (F.length(x["d"]) + x["power"]).alias("n"), F.length(F.regexp_replace(x["d"], "0+$", "")).alias("k")))
+
+    def length(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        plain = F.when((k <= n) & (n <= 21), n).when((n > 0) & (n <= 21), k + 1).when((n > -6) & (n <= 0), k + 2 - n).otherwise(k + (k > 1).cast("int") + 2 + F.length(F.abs(n - 1).cast("string")))
+        return F.when(F.abs(x["v"]) == float("inf"), 4).when(x["v"] == 0, 1).otherwise(plain + (x["v"] < 0).cast("int"))
+
+    return F.transform(placed, length)
+
+
 def json_len(s: Column) -> Column:
-    """Length of the compact JSON text of ``s``; a number keeps no ``.0``, in exponent form either."""
+    """Length of the compact JSON text of ``s``, its numbers as JavaScript writes them."""
     text = F.to_json(F.parse_json(s))
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
-    shown = F.regexp_replace(bare, r"(\d)\.0(?=E|[,\]}]|$)", "$1")
-    return utf16_len(text) - F.length(bare) + F.length(shown)
+    numbers = F.regexp_extract_all(bare, F.lit(r"-?\d[\d.eE+-]*"), F.lit(0))
+    longer = F.zip_with(numbers, number_lens(numbers), lambda x, n: n - F.length(x))
+    return F.aggregate(longer, utf16_len(text).cast("int"), lambda a, x: (a + x).cast("int"))
 
 
 def _total(content: Column, price, kind: str = "double") -> Column:

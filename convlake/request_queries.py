@@ -66,6 +66,22 @@ def w6_post_strip_tokens(s, d):
     return R.post_strip_tokens(image_log(s, d), 5000, 3, 120_000)
 
 
+SEVERAL = "SELECT user_id::VARCHAR AS session_id, event_id AS id, pos, CASE WHEN pos = 0 THEN 900 ELSE 1600 END AS raw, floor(value * 100)::BIGINT * (pos + 1) AS bytes FROM events, (SELECT unnest([0, 1, 2]) AS pos) WHERE pos < event_id % 4"
+
+
+@query(f"""WITH RECURSIVE l AS ({IMAGES}), dp AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY session_id ORDER BY id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM l),
+v AS ({SEVERAL}), i AS (SELECT v.*, row_number() OVER (PARTITION BY v.session_id ORDER BY v.id DESC, pos) AS k FROM v JOIN dp ON dp.session_id = v.session_id AND dp.id = v.id WHERE d <= 20000),
+r AS (SELECT session_id, id, pos, k, (bytes <= 90000)::INT AS n, CASE WHEN bytes <= 90000 THEN bytes ELSE 0 END AS t, bytes <= 90000 AS fits FROM i WHERE k = 1 UNION ALL
+SELECT i.session_id, i.id, i.pos, i.k, r.n + (r.n < 20 AND r.t + i.bytes <= 90000)::INT, CASE WHEN r.n < 20 AND r.t + i.bytes <= 90000 THEN r.t + i.bytes ELSE r.t END, r.n < 20 AND r.t + i.bytes <= 90000 FROM r JOIN i ON i.session_id = r.session_id AND i.k = r.k + 1),
+g AS (SELECT v.session_id, v.id, sum(raw - 9) AS gone FROM v LEFT JOIN r ON r.session_id = v.session_id AND r.id = v.id AND r.pos = v.pos AND fits WHERE r.id IS NULL GROUP BY 1, 2)
+SELECT l.session_id, l.id, (l.tokens - coalesce(gone, 0))::BIGINT AS tokens FROM l LEFT JOIN g USING (session_id, id)""")
+def w6_stripped_prices(s, d):
+    """Up to three images a message."""
+    images = S.table(s, d, "events").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("pos < event_id % 4")
+    images = images.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("id"), "pos", F.when(F.col("pos") == 0, 900).otherwise(1600).alias("raw"), (F.floor(F.col("value") * 100) * (F.col("pos") + 1)).cast("long").alias("bytes"))
+    return R.stripped_prices(image_log(s, d), images, 20_000, 20, 90_000)
+
+
 @query(f"""WITH l AS ({IMAGES}), t AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY id DESC) AS t FROM l), z AS (SELECT session_id, coalesce(max(CASE WHEN t > 3000 THEN id END) + 1, 0) AS tail FROM t GROUP BY 1)
 SELECT session_id, id, tokens - CASE WHEN image AND id < tail THEN 1600 ELSE 0 END AS tokens FROM l JOIN z USING (session_id)""")
 def w8_live_price(s, d):

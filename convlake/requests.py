@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .admission import admit
 from .blocks import BLOCK, IMAGE
+from .keep import kept as written
 from .ledger import input_bound
 from .plans import members
 from .pricing import recall_label, trim_js
@@ -150,6 +151,21 @@ def post_strip_tokens(messages: DataFrame, depth: int, count: int, size: int) ->
     return rows.join(kept.hint("merge"), ["session_id", "id"], "left").select("session_id", "id", (F.col("tokens") - F.when(gone, IMAGE - PLACEHOLDER).otherwise(0)).alias("tokens"))
 
 
+def stripped_prices(messages: DataFrame, images: DataFrame, depth: int, count: int, size: int) -> DataFrame:
+    """Prices (session_id, id, tokens) of messages after images go, of any number a message: images (session_id, id, pos, raw, bytes) are admitted newest
+    message first and by their place in it, where the strictly newer messages hold at most ``depth`` tokens; one that isn't takes its ``raw`` price,
+    less that of its stand-in, off its message's. Limits of 0 are none; images without a message are let go."""
+    key = F.struct("session_id", "id").alias("_m")
+    newer = F.sum("tokens").over(Window.partitionBy("session_id").orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = written(messages.select(key, "session_id", "id", "tokens", F.coalesce(newer, F.lit(0)).alias("_d")))
+    near = F.col("_d") <= depth if depth else F.lit(True)
+    met = written(images.select(key, "session_id", "id", "pos", "raw", "bytes").join(rows.select("_m", near.alias("_near")).hint("merge"), "_m"))
+    place = F.struct("session_id", "id", "pos").alias("_i")
+    live = admit(met.where("_near"), count, size, ("pos",)).select(place)
+    gone = met.withColumn("_i", place).join(live.hint("merge"), "_i", "left_anti").groupBy("_m").agg(F.sum(F.greatest(F.lit(0), F.col("raw") - PLACEHOLDER)).alias("_gone"))
+    return rows.join(gone.hint("merge"), "_m", "left").select("session_id", "id", (F.col("tokens") - F.coalesce("_gone", F.lit(0))).alias("tokens"))
+
+
 def live_price(messages: DataFrame, tails: DataFrame) -> DataFrame:
     """Prices with images counted in the tail window (session_id, tail_start) only."""
     outside = F.col("image") & (F.col("id") < F.col("tail_start"))
