@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .keep import kept
 
-#: Ids of a slice: what a task holds of a session is the items of so many messages.
+#: Items of a session that are streamed, and ids of the ranges that slices of longer ones are made of.
 SLICE = 1 << 16
 #: Slices that are looked into by a broadcast of their keys (some 10 MB); more meet their rows by a merge join.
 LOOKED_INTO = 100_000
@@ -130,18 +130,28 @@ def admit(items: DataFrame, count: int, size: int, within: tuple[str, ...] = (),
     """Per session, newest id first and by ``within`` in it: items (id, bytes) that fit ``count`` and ``size`` (0: no limit). One that
     doesn't fit is skipped and the next is tried.
 
-    Sessions within one slice of ``rows`` ids are streamed; longer ones are solved slice by slice: the same items by another plan. Of items with
-    equal id and ``within`` the smaller goes first. Bytes that are null or below zero count as none; a session without a name is one too, and
-    an item without an id is its oldest.
+    Sessions of at most ``rows`` items are streamed, however far apart their ids are; longer ones are solved slice by slice: the same items by
+    another plan. Of items with equal id and ``within`` the smaller goes first. Bytes that are null or below zero count as none; a session without
+    a name is one too, and an item without an id is its oldest.
     """
     size_of = F.greatest(F.coalesce(F.col("bytes").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("bytes")
     name = F.coalesce(F.concat(F.lit("="), F.col("session_id").cast("string")), F.lit(""))
-    slices = F.coalesce(-F.expr(f"id div {rows}"), F.lit(2**62)).cast("long")
-    cut = items.select("session_id", size_of, "id", *within, name.alias("_s"), slices.alias("slice"))
-    cut = kept(cut.withColumn("_g", F.concat(F.col("slice").cast("string"), F.col("_s"))))
-    wide = cut.groupBy("_s").agg(F.min("slice").alias("_a"), F.max("slice").alias("_b")).where("_a < _b").select("_s")
+    ids = F.coalesce(-F.expr(f"id div {rows}"), F.lit(2**62)).cast("long")
+    cut = kept(items.select("session_id", size_of, "id", *within, name.alias("_s"), ids.alias("_r")))
+    held = cut.groupBy("_s").agg(F.count("*").alias("_n"), F.min("_r").alias("_a"), F.max("_r").alias("_b"))
+    wide = held.where((F.col("_n") > rows) & (F.col("_a") < F.col("_b"))).select("_s")
     if wide.isEmpty():
         return _short(cut, count, size, within)
     wide = kept(wide)
     short, long = (cut.join(wide.hint("merge"), "_s", how) for how in ("left_anti", "left_semi"))
-    return _short(short, count, size, within).unionByName(_long(long, count, size, within))
+    return _short(short, count, size, within).unionByName(_long(_sliced(long, rows), count, size, within))
+
+
+def _sliced(long: DataFrame, rows: int) -> DataFrame:
+    """Rows with their slice: ranges of ids (_r) that follow each other, together while they begin within the same ``rows`` items of their session,
+    so that far apart ids make no more slices than close ones."""
+    each = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = long.groupBy("_s", "_r").agg(F.count("*").alias("_n"))
+    slices = ranges.select("_s", "_r", F.floor(F.coalesce(F.sum("_n").over(each), F.lit(0)) / rows).cast("long").alias("slice"))
+    met = long.join(slices.hint("merge"), ["_s", "_r"])
+    return met.withColumn("_g", F.concat(F.col("slice").cast("string"), F.col("_s")))
