@@ -52,8 +52,10 @@ def all_sql(levels: int) -> str:
     return f", mem AS ({some('l')}), edg AS ({some('x')})"
 
 
-RUNS = runs_sql(2, 5)
-TOKENS = tokens_sql(2, 250, 4)
+#: A merge holds two memories at least, so no session of fewer than 2^32 chunks has a level above this one.
+LEVELS = 32
+RUNS = runs_sql(2, 5)  # runs of seven chunks at most, whatever the session's length
+TOKENS = tokens_sql(2, 250, LEVELS)
 #: A lift in each session over 15,000 raw tokens.
 LIFTED = TOKENS + f""", esc AS (SELECT session_id FROM c GROUP BY 1 HAVING sum(raw) > 15000), fr AS (SELECT mem.* FROM mem SEMI JOIN esc USING (session_id) ANTI JOIN edg ON edg.session_id = mem.session_id AND edg.member_level = mem.level AND edg.member = mem.id),
 be AS (SELECT *, sum(tokens) OVER w AS t, row_number() OVER w AS k FROM (SELECT *, max(level) OVER (PARTITION BY session_id) AS top FROM fr) WHERE level < top WINDOW w AS (PARTITION BY session_id ORDER BY "first", level DESC, id)),
