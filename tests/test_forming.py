@@ -142,7 +142,7 @@ def test_sql_goes_on_to_the_last_level():
     from convlake.forming_queries import TOKENS
 
     db = duckdb.connect()
-    db.sql("CREATE TABLE documents AS SELECT i AS doc_id, 's' AS source, 'en' AS lang, repeat('abcdefg ' || i || ' ', 400) AS text FROM range(200) t(i)")
+    db.sql("CREATE TABLE documents AS SELECT i AS doc_id, 's' AS source, 'en' AS lang, repeat('abcdefg ' || i || ' ', 400) AS text FROM range(600) t(i)")
     levels = dict(db.sql(TOKENS + " SELECT level, count(*) FROM mem GROUP BY 1").fetchall())
     due = db.sql(TOKENS + " SELECT level FROM mem ANTI JOIN edg ON edg.member_level = mem.level AND edg.member = mem.id GROUP BY 1 HAVING count(*) >= 2 AND sum(tokens) >= 250").fetchall()
     assert max(levels) > 4 and due == []
