@@ -19,6 +19,8 @@ STUB = "[tool result unavailable — omitted during context compression]"
 SEPARATOR = "\n\n---\n\n"
 STRIPPED = "[image stripped]"
 LOOKAHEAD = 6
+#: Blocks that a task sorts at once when turns are joined (a session is not split).
+TASK_BLOCKS = 200_000
 BLOCKS = ["session_id", "id", "pos", "participant", "type", "call", "text"]
 
 
@@ -39,29 +41,35 @@ def split_turns(blocks: DataFrame) -> DataFrame:
 def join_turns(parts: DataFrame) -> DataFrame:
     """Parts of entries as turns: a participant's consecutive ones are one turn, a rule between each. ``id`` counts turns from 0,
     ``pos`` their blocks."""
-    each = parts.groupBy("session_id", "id", "part").agg(F.first("participant").alias("participant"))
-    by = Window.partitionBy("session_id").orderBy("id", "part")
-    fresh = (~F.col("participant").eqNullSafe(F.lag("participant").over(by)) | F.lag("id").over(by).isNull()).cast("int")
-    numbered = each.withColumn("_f", fresh).withColumn("turn", F.sum("_f").over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    rules = numbered.where("_f = 0").select("session_id", "turn", "id", "part", F.lit(-1).alias("pos"), "participant", *_text(SEPARATOR))
-    own = parts.join(numbered.select("session_id", "id", "part", "turn").hint("merge"), ["session_id", "id", "part"])
-    rows = own.select(*rules.columns).unionByName(rules)
-    place = F.row_number().over(Window.partitionBy("session_id", "turn").orderBy("id", "part", "pos")) - 1
-    return rows.select("session_id", F.col("turn").alias("id"), place.alias("pos"), "participant", "type", "call", "text")
+    # a task's memory follows from how many blocks it gets, not from their compressed size
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // TASK_BLOCKS))
+    by = Window.partitionBy("session_id").orderBy("id", "part", "pos")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    was = lambda c: F.col(c).eqNullSafe(F.lag(c).over(by))
+    starts = F.row_number().over(by) == 1
+    part = starts | ~(was("id") & was("part"))
+    rows = parts.repartition(tasks, "session_id").select("session_id", "id", "part", "pos", "participant", "type", "call", "text", part.alias("_p"), (starts | (part & ~was("participant"))).alias("_f"))
+    rows = rows.withColumn("_rule", F.col("_p") & ~F.col("_f"))
+    # a place counts a session's blocks and rules, less those before its turn
+    rows = rows.withColumns({"_n": F.row_number().over(by) + F.count_if("_rule").over(so_far) - 1, "turn": F.count_if("_f").over(so_far) - 1})
+    rows = rows.withColumn("_at", F.col("_n") - F.max(F.when(F.col("_f"), F.col("_n"))).over(so_far))
+    own = F.struct(F.col("_at").cast("int").alias("pos"), "type", "call", "text")
+    rule = F.struct((F.col("_at") - 1).cast("int").alias("pos"), *_text(SEPARATOR))
+    return rows.select("session_id", F.col("turn").cast("long").alias("id"), "participant", F.explode(F.when(F.col("_rule"), F.array(rule, own)).otherwise(F.array(own))).alias("_b")).select("session_id", "id", "_b.pos", "participant", "_b.type", "_b.call", "_b.text")
 
 
 def drop_unpaired(turns: DataFrame) -> DataFrame:
     """Blocks less calls and results whose partner is nowhere in the session; a turn that loses all it had says that a call was
     omitted."""
-    other = F.when(F.col("type") == "tool_use", "tool_result").otherwise("tool_use")
-    partners = turns.where(F.col("type").isin("tool_use", "tool_result")).select("session_id", "call", other.alias("type"), F.lit(True).alias("_p")).distinct()
-    known = turns.join(partners.hint("merge"), ["session_id", "call", "type"], "left")
-    stays = ~F.col("type").isin("tool_use", "tool_result") | F.col("_p").isNotNull()
-    left = F.count_if(stays).over(Window.partitionBy("session_id", "id"))
-    first = F.row_number().over(Window.partitionBy("session_id", "id").orderBy("pos"))
-    marked = known.withColumns({"_s": stays, "_n": left, "_k": first})
-    gone = marked.where("_n = 0 and _k = 1").select("session_id", "id", "pos", "participant", *_text(OMITTED))
-    return marked.where("_s").select(*BLOCKS).unionByName(gone)
+    tool = F.col("type").isin("tool_use", "tool_result")
+    call = F.when(tool, F.col("call"))
+    pair = Window.partitionBy("session_id", call, F.when(call.isNull(), F.col("id")))  # what is in no pair stays with its turn, in small groups
+    paired = call.isNotNull() & (F.count_if(F.col("type") == "tool_use").over(pair) > 0) & (F.count_if(F.col("type") == "tool_result").over(pair) > 0)
+    known = turns.select(*BLOCKS, (~F.coalesce(tool, F.lit(False)) | paired).alias("_s"))
+    turn = Window.partitionBy("session_id", "id")
+    marked = known.withColumns({"_n": F.count_if("_s").over(turn), "_k": F.row_number().over(turn.orderBy("pos"))}).where("_s or (_n = 0 and _k = 1)")
+    said = [F.when(F.col("_s"), F.col(c)).otherwise(gone).alias(c) for c, gone in zip(("type", "call", "text"), _text(OMITTED), strict=True)]
+    return marked.select("session_id", "id", "pos", "participant", *said)
 
 
 def normalize_turns(blocks: DataFrame) -> DataFrame:
