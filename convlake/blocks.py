@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pricing import DENSE, density_tokens, external, flat_tokens, round_half_up, trim_js, utf16_len
+from .pricing import DENSE, density_tokens, external, flat_tokens, let, round_half_up, trim_js, utf16_len
 
 BLOCK = "type string, text string, data string, id string, name string, input string, signature string, stamp double, bytes long, parts array<struct<type:string,text:string,stamp:double,bytes:bigint>>"
 # Fixed values of the rules.
@@ -45,11 +45,18 @@ def number_lens(shown: Column) -> Column:
 
 def json_len(s: Column) -> Column:
     """Length of the compact JSON text of ``s``, its numbers as JavaScript writes them."""
-    text = F.to_json(F.parse_json(s))
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
-    numbers = F.regexp_extract_all(bare, F.lit(r"-?\d[\d.eE+-]*"), F.lit(0))
-    longer = F.zip_with(numbers, number_lens(numbers), lambda x, n: n - F.length(x))
-    return F.aggregate(longer, utf16_len(text).cast("int"), lambda a, x: (a + x).cast("int"))
+    return compact_len(F.to_json(F.parse_json(s)))
+
+
+def compact_len(s: Column) -> Column:
+    """The same of a text that is compact JSON already."""
+
+    def longer(text: Column, numbers: Column) -> Column:
+        more = F.zip_with(numbers, number_lens(numbers), lambda x, n: n - F.length(x))
+        return F.aggregate(more, utf16_len(text).cast("int"), lambda a, x: (a + x).cast("int"))
+
+    bare = lambda text: F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    return let(s, lambda text: let(F.regexp_extract_all(bare(text), F.lit(r"-?\d[\d.eE+-]*"), F.lit(0)), lambda numbers: longer(text, numbers)))
 
 
 def _total(content: Column, price, kind: str = "double") -> Column:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import IMAGE_CHARS, block, json_len, raw_tokens, text_only_tokens, well_formed
+from .blocks import IMAGE_CHARS, block, compact_len, raw_tokens, text_only_tokens, well_formed
 from .keep import kept
-from .pricing import external, utf16_len
+from .pricing import external, let, utf16_len
 
 
 def _json(b: Column, path: str) -> Column:
@@ -46,6 +46,11 @@ def typed(b: Column) -> Column:
     return made.withField("type", kind)
 
 
+def _opened(messages: DataFrame) -> DataFrame:
+    """A row for each of a message's own blocks (b) with its place (pos); one without b for a message that has none."""
+    return messages.select("session_id", "id", F.posexplode_outer(F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")).alias("pos", "b"))
+
+
 def walk(messages: DataFrame, levels: int | None = None) -> DataFrame:
     """The blocks of messages (session_id, id, content: a JSON array) at every depth: session_id, id, pos (the block of the message that it is
     in), depth (0: that block itself), b (variant), cut (whether it holds blocks that ``levels`` leaves unread).
@@ -53,7 +58,7 @@ def walk(messages: DataFrame, levels: int | None = None) -> DataFrame:
     ``levels`` None walks to the end: a pass for each level that the deepest message has. A message without blocks, of null or broken content too, is
     one row without b; pairs of session_id and id have to be unique.
     """
-    level = messages.select("session_id", "id", F.posexplode_outer(F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")).alias("pos", "b"))
+    level = _opened(messages)
     out, depth = None, 0
     while True:
         last = levels is not None and depth >= levels
@@ -68,12 +73,19 @@ def walk(messages: DataFrame, levels: int | None = None) -> DataFrame:
 
 def weight(b: Column) -> Column:
     """Characters of a message's block, and how many exist elsewhere: a result of blocks weighs as its JSON does."""
-    kind, text = _string(b, "type"), _string(b, "text")
-    given = F.coalesce(F.to_json(F.when(~F.is_variant_null(_json(b, "input")), _json(b, "input"))), F.lit("{}"))
-    gave = F.coalesce(F.to_json(F.when(~F.is_variant_null(_json(b, "content")), _json(b, "content"))), F.lit('""'))
-    whole = F.when(kind == "image", IMAGE_CHARS).when(kind == "tool_use", json_len(given)).when((kind == "tool_result") & _string(b, "content").isNull(), json_len(gave)).when(kind == "tool_result", utf16_len(_string(b, "content"))).when(kind == "text", F.coalesce(utf16_len(text), F.lit(0)))
-    apart = F.when(kind == "text", F.coalesce(external(text), F.lit(0))).otherwise(whole)
-    return F.struct(F.coalesce(whole, F.lit(0)).cast("long").alias("whole"), F.coalesce(apart, F.lit(0)).cast("long").alias("apart"))
+
+    def whole(kind: Column, said: Column) -> Column:
+        field = F.when(kind == "tool_use", _json(b, "input")).otherwise(_json(b, "content"))
+        shown = let(field, lambda v: F.coalesce(F.to_json(F.when(~F.is_variant_null(v), v)), F.when(kind == "tool_use", "{}").otherwise('""')))
+        long = F.when(kind == "image", IMAGE_CHARS).when((kind == "tool_use") | ((kind == "tool_result") & said.isNull()), compact_len(shown)).when(kind.isin("tool_result", "text"), utf16_len(said))
+        return F.coalesce(long, F.lit(0)).cast("long")
+
+    def both(x: Column) -> Column:
+        apart = lambda n: F.when(x["kind"] == "text", F.coalesce(external(x["said"]), F.lit(0))).otherwise(n).cast("long")
+        return let(whole(x["kind"], x["said"]), lambda n: F.struct(n.alias("whole"), apart(n).alias("apart")))
+
+    said = lambda kind: F.when(kind == "text", _string(b, "text")).when(kind == "tool_result", _string(b, "content"))
+    return let(_string(b, "type"), lambda kind: let(F.struct(kind.alias("kind"), said(kind).alias("said")), both))
 
 
 def _well_formed(b: Column, t: Column) -> Column:
@@ -84,6 +96,19 @@ def _well_formed(b: Column, t: Column) -> Column:
     return F.coalesce(own.when(kind == "tool_result", well_formed(t) & _string(b, "toolUseId").isNotNull()).otherwise(well_formed(t) & signed), F.lit(False))
 
 
+def _salience(whole: Column, apart: Column) -> Column:
+    return F.when(whole <= 0, 1.0).otherwise(F.greatest(F.lit(0.2), 1 - 0.8 * F.least(F.lit(1.0), apart / whole)))
+
+
+def nested_salience(messages: DataFrame) -> DataFrame:
+    """nested_prices' salience alone (session_id, id, salience): a message's own blocks weigh as their whole JSON does, at any depth, so no
+    level has to be opened."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    each = _opened(messages).select("session_id", "id", weight(F.col("b")).alias("w"))
+    sums = each.groupBy("session_id", "id").agg(total("w.whole").alias("_w"), total("w.apart").alias("_a"))
+    return sums.select("session_id", "id", _salience(F.col("_w"), F.col("_a")).alias("salience"))
+
+
 def nested_prices(messages: DataFrame, levels: int | None = None) -> DataFrame:
     """A message (session_id, id) with prices (of each of its blocks, for store_tokens), raw (their sum), text, text_only, image_bytes, salience, good (blocks
     that are well formed with all inside them), depth (of its deepest block; null: none) and cut (how many results were left unread by ``levels``; what
@@ -103,5 +128,4 @@ def nested_prices(messages: DataFrame, levels: int | None = None) -> DataFrame:
         total("text_only").cast("long").alias("text_only"), total("image_bytes").cast("long").alias("image_bytes"), total("w.whole").alias("_w"), total("w.apart").alias("_a"),
         F.count_if(F.col("good") & F.col("pos").isNotNull()).alias("good"), F.max(F.when(F.col("pos").isNotNull(), F.col("depth"))).alias("depth"), F.sum("cut").alias("cut"),
     )
-    salience = F.when(F.col("_w") <= 0, 1.0).otherwise(F.greatest(F.lit(0.2), 1 - 0.8 * F.least(F.lit(1.0), F.col("_a") / F.col("_w"))))
-    return made.withColumn("salience", salience).drop("_w", "_a")
+    return made.withColumn("salience", _salience(F.col("_w"), F.col("_a"))).drop("_w", "_a")

@@ -41,7 +41,7 @@ def p9_two_levels(s, d):
 @query(f"""{MADE}, w AS (SELECT *, CASE WHEN d > 0 THEN 2 + (d - 1) * {len(WRAP) + 2} + length(leaf) WHEN event_id % 3 = 0 THEN 6400 ELSE length(props) END AS n FROM e)
 SELECT event_id AS id, CASE WHEN d = 0 AND event_id % 3 = 1 THEN 1.0::DOUBLE ELSE greatest(0.2::DOUBLE, 1 - 0.8::DOUBLE * (n / (n + length(event_type))::DOUBLE)) END AS salience FROM w""")
 def p11_any_depth(s, d):
-    return N.nested_prices(messages(s, d)).select("id", "salience")
+    return N.nested_salience(messages(s, d)).select("id", "salience")
 
 
 @query(f"{MADE} SELECT event_id AS id, 2 - (event_id % 3 = 2 AND event_id % 10 = 0)::BIGINT AS good, event_type || CASE WHEN d = 0 AND event_id % 3 = 0 THEN chr(10) || '[image]' WHEN d = 0 AND event_id % 3 = 1 THEN chr(10) || props ELSE '' END AS text FROM e")
