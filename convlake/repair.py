@@ -19,8 +19,10 @@ STUB = "[tool result unavailable — omitted during context compression]"
 SEPARATOR = "\n\n---\n\n"
 STRIPPED = "[image stripped]"
 LOOKAHEAD = 6
-#: Blocks that a task sorts at once when turns are joined (a session is not split).
+#: Blocks that a task sorts at once when entries are split and turns joined (a session is not split for the latter).
 TASK_BLOCKS = 200_000
+#: Tasks that a scan's blocks are dealt to at most for splitting: what a task writes for more than 200 others is held in its memory first.
+SPLIT_TASKS = 200
 BLOCKS = ["session_id", "id", "pos", "participant", "type", "call", "text"]
 
 
@@ -28,9 +30,20 @@ def _text(kind: str) -> list[Column]:
     return [F.lit("text").alias("type"), F.lit(None).cast("string").alias("call"), F.lit(kind).alias("text")]
 
 
-def split_turns(blocks: DataFrame) -> DataFrame:
+def tasks_for(blocks: DataFrame) -> int:
+    """Tasks that ``blocks`` need: a task's memory follows from how many blocks it gets, not from their compressed size."""
+    return -(-blocks.count() // TASK_BLOCKS)
+
+
+def _dealt(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), *keys)
+
+
+def split_turns(blocks: DataFrame, tasks: int | None = None) -> DataFrame:
     """Blocks with their ``part``: an entry that isn't the user's and holds results becomes runs of its own blocks and user
-    turns of results."""
+    turns of results. ``tasks``: tasks_for(), where it is known."""
+    tasks = tasks_for(blocks) if tasks is None else tasks
+    blocks = _dealt(blocks, min(tasks, SPLIT_TASKS), "session_id", "id")
     by = Window.partitionBy("session_id", "id").orderBy("pos")
     result, mixed = F.col("type") == "tool_result", F.lower("participant") != "user"
     change = F.coalesce((mixed & (result != F.lag(result).over(by))).cast("int"), F.lit(0))
@@ -38,17 +51,16 @@ def split_turns(blocks: DataFrame) -> DataFrame:
     return numbered.withColumn("participant", F.when(mixed & result, "user").otherwise(F.col("participant"))).drop("_c")
 
 
-def join_turns(parts: DataFrame) -> DataFrame:
+def join_turns(parts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Parts of entries as turns: a participant's consecutive ones are one turn, a rule between each. ``id`` counts turns from 0,
-    ``pos`` their blocks."""
-    # a task's memory follows from how many blocks it gets, not from their compressed size
-    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // TASK_BLOCKS))
+    ``pos`` their blocks. ``tasks``: tasks_for(), where it is known."""
+    tasks = tasks_for(parts) if tasks is None else tasks
     by = Window.partitionBy("session_id").orderBy("id", "part", "pos")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     was = lambda c: F.col(c).eqNullSafe(F.lag(c).over(by))
     starts = F.row_number().over(by) == 1
     part = starts | ~(was("id") & was("part"))
-    rows = parts.repartition(tasks, "session_id").select("session_id", "id", "part", "pos", "participant", "type", "call", "text", part.alias("_p"), (starts | (part & ~was("participant"))).alias("_f"))
+    rows = _dealt(parts, tasks, "session_id").select("session_id", "id", "part", "pos", "participant", "type", "call", "text", part.alias("_p"), (starts | (part & ~was("participant"))).alias("_f"))
     rows = rows.withColumn("_rule", F.col("_p") & ~F.col("_f"))
     # a place counts a session's blocks and rules, less those before its turn
     rows = rows.withColumns({"_n": F.row_number().over(by) + F.count_if("_rule").over(so_far) - 1, "turn": F.count_if("_f").over(so_far) - 1})
@@ -58,6 +70,12 @@ def join_turns(parts: DataFrame) -> DataFrame:
     return rows.select("session_id", F.col("turn").cast("long").alias("id"), "participant", F.explode(F.when(F.col("_rule"), F.array(rule, own)).otherwise(F.array(own))).alias("_b")).select("session_id", "id", "_b.pos", "participant", "_b.type", "_b.call", "_b.text")
 
 
+def turns_of(blocks: DataFrame) -> DataFrame:
+    """Entries split and joined: turns, with the blocks counted once."""
+    tasks = tasks_for(blocks)
+    return join_turns(split_turns(blocks, tasks), tasks)
+
+
 def drop_unpaired(turns: DataFrame) -> DataFrame:
     """Blocks less calls and results whose partner is nowhere in the session; a turn that loses all it had says that a call was
     omitted."""
@@ -74,7 +92,7 @@ def drop_unpaired(turns: DataFrame) -> DataFrame:
 
 def normalize_turns(blocks: DataFrame) -> DataFrame:
     """Entries as turns: split, joined, unpaired calls dropped, then blank texts and empty turns."""
-    paired = drop_unpaired(join_turns(split_turns(blocks)))
+    paired = drop_unpaired(turns_of(blocks))
     return paired.where((F.col("type") != "text") | (F.length(trim_js(F.col("text"))) > 0))
 
 
