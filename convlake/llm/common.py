@@ -30,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Scratch:
     """Tables of one run in the shared folder; they cut lineage and survive lost executors."""
 

@@ -5,8 +5,9 @@ strings that can repeat but for those settled as wholes (see repeats.py) are dea
 suffixes that start them are sorted by mergesort. A comparison finds the common extension of two suffixes by
 binary search over prefix polynomial hashes, and the byte after it decides. Neighbours that share 100 bytes are equal
 strings, which is verified byte by byte; all but the earliest of a run of neighbours go. Segments of a hot anchor are
-sorted slice by slice as they lie, and of each slice only the earliest of equal strings, dealt out by their contents, are sorted against
-the other slices' in a second round: no task gathers an anchor, and a string comes at most once a slice.
+sorted slice by slice as they lie, and of each slice only the earliest of equal strings are sorted against the other slices' in a
+second round, dealt out by their contents: no task gathers an anchor, and a string comes at most once a slice. Before, the strings meet
+by their hashes alone, as most are in one slice only and needn't be moved with their bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .repeats import PrefixHashes, Search, Units, mix, remove_repeats
+from .repeats import PrefixHashes, Search, Units, by_bucket, mix, parcels, remove_repeats, unpacked
 
 WINDOW, GRAM = 100, 24
 #: So many segments are sorted at once; whole groups of anchors that aren't hot always.
@@ -139,8 +140,16 @@ def place_of(window: int) -> np.dtype:
     return np.dtype([("doc", "<i8"), ("th", "<i4"), ("at", "<i4"), ("text", "u1", (window,))])
 
 
+#: Columns of a parcel of strings by their hashes: hash, doc, th, start of the segment, start in the segment.
+NAMED = ("<i8", "<i8", "<i4", "<i4", "<i2")
+
+
+def _hashes(text: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    return mix(PrefixHashes(Units("bytes").byte[text]).of(start, start + window))
+
+
 def _slices(window: int, buckets: int):
-    """Of slices of segments what goes, as spans, and the strings that stay, packed by bucket of their contents."""
+    """Of slices of segments what goes, as spans, and the strings that stay, by bucket of their hashes, without their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -151,15 +160,10 @@ def _slices(window: int, buckets: int):
             spans = [pa.array(c) for c in strings.spans()]
             yield pa.RecordBatch.from_arrays([*spans, pa.nulls(len(spans[0]), pa.int32()), pa.nulls(len(spans[0]), pa.binary())], names)
             stay = np.flatnonzero(~strings.gone)
-            start = strings.start[stay]
-            bucket = (mix(PrefixHashes(Units("bytes").byte[strings.text]).of(start, start + window)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            packed = np.zeros(len(stay), place_of(window))
-            for name in ("doc", "th", "at"):
-                packed[name] = getattr(strings, name)[stay[order]]
-            packed["text"] = np.lib.stride_tricks.sliding_window_view(strings.text, window)[start[order]]
-            found, edge = np.unique(bucket[order], return_index=True)
-            blobs = [packed[a:b].tobytes() for a, b in zip(edge, np.append(edge, len(stay))[1:], strict=True)]
+            own = np.array([r[3] for r in held], np.int64)[strings.of[stay]]
+            key = _hashes(strings.text, strings.start[stay], window)
+            columns = [key.view(np.int64), strings.doc[stay], strings.th[stay], own, strings.at[stay] - own]
+            found, blobs = parcels((key % np.uint64(buckets)).astype(np.int32), columns, NAMED)
             none = [pa.nulls(len(found), k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names)
 
@@ -175,41 +179,80 @@ def _slices(window: int, buckets: int):
     return run
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blobs of each bucket, of rows (bucket, strings) in their buckets' order."""
+    at, held = None, []
+    for batch in batches:
+        for bucket, strings in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if bucket != at and held:
+                yield held
+                held = []
+            at = bucket
+            held.append(strings)
+    if held:
+        yield held
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (bucket, strings), whole buckets together: places of strings whose hash another string has."""
+    for blobs in _by_bucket(batches):
+        key, *places = unpacked(blobs, NAMED)
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        again = np.sort(order[np.append(same, False) | np.append(False, same)])
+        yield pa.RecordBatch.from_arrays([pa.array(c[again].astype(k)) for c, k in zip(places, ("i8", "i4", "i4", "i4"), strict=True)], ["doc", "th", "at", "k"])
+
+
+def _told(window: int, buckets: int):
+    """From segments (doc, th, at, body, ks) the strings that start at ks in them, bytes and all, packed by bucket of their contents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, ks = batch.column("body").to_pylist(), batch.column("ks").to_pylist()
+            text = np.frombuffer(b"".join(body), np.uint8)
+            many, size = np.array([len(k) for k in ks], np.int64), np.array([len(b) for b in body], np.int64)
+            k = np.concatenate([np.array(k, np.int64) for k in ks]) if ks else np.zeros(0, np.int64)
+            start = np.repeat(np.cumsum(size) - size, many) + k
+            order, parts = by_bucket((_hashes(text, start, window) % np.uint64(buckets)).astype(np.int32))
+            packed = np.zeros(len(start), place_of(window))
+            for name in ("doc", "th", "at"):
+                packed[name] = np.repeat(batch.column(name).to_numpy(), many)
+            packed["at"] += k.astype(np.int32)
+            if len(start):
+                packed["text"] = np.lib.stride_tricks.sliding_window_view(text, window)[start]
+            packed = packed[order]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([packed[lo:hi].tobytes() for _, lo, hi in parts], pa.binary())], ["bucket", "strings"])
+
+    return run
+
+
 def _between_slices(window: int):
     """From (bucket, strings), whole buckets together: spans of strings that another slice has earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def done() -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(held), place_of(window))
+        for blobs in _by_bucket(batches):
+            x = np.frombuffer(b"".join(blobs), place_of(window))
             text, start = np.ascontiguousarray(x["text"]).reshape(-1), np.arange(len(x)) * window
             text = np.concatenate([text, np.zeros(window, np.uint8)])
             key = PrefixHashes(Units("bytes").byte[text]).of(start, start + window).view(np.int64)
             x = x[later(key, *[x[c].astype(np.int64) for c in ("doc", "th", "at")], text, start, window)]
             x = np.sort(x[["doc", "th", "at"]], order=["doc", "th", "at"])
-            return pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["th"]), pa.array(x["at"]), pa.array(x["at"] + np.int32(window))], ["doc", "th", "a", "b"])
-
-        for batch in batches:
-            for bucket, strings in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if bucket != at and held:
-                    yield done()
-                    held = []
-                at = bucket
-                held.append(strings)
-        if held:
-            yield done()
+            yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["th"]), pa.array(x["at"]), pa.array(x["at"] + np.int32(window))], ["doc", "th", "a", "b"])
 
     return run
 
 
 def sort_hot(segments: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """Spans of hot segments (g, doc, th, at, p, body), in two rounds of suffix sorts."""
+    """Spans of hot segments (g, doc, th, at, p, body), in two rounds of suffix sorts. Only strings whose hash comes from two slices
+    are in the second with their bytes."""
     buckets = max(1, segments.count() * window // BUCKET)
     slices = segments.mapInArrow(_slices(window, buckets), "doc long, th int, a int, b int, bucket int, strings binary")
     slices = scratch.save(slices, "slices")
-    rest = slices.where("bucket is not null").select("bucket", "strings").repartition("bucket").sortWithinPartitions("bucket")
-    return slices.where("bucket is null").select("doc", "th", "a", "b").unionByName(rest.mapInArrow(_between_slices(window), "doc long, th int, a int, b int"))
+    together = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
+    met = together(slices.where("bucket is not null").select("bucket", "strings")).mapInArrow(_met, "doc long, th int, at int, k int")
+    met = scratch.save(met.groupBy("doc", "th", "at").agg(F.collect_list("k").alias("ks")), "met")  # a segment's own
+    told = segments.select("doc", "th", "at", "body").hint("merge").join(met, ["doc", "th", "at"]).mapInArrow(_told(window, buckets), "bucket int, strings binary")
+    return slices.where("bucket is null").select("doc", "th", "a", "b").unionByName(together(told).mapInArrow(_between_slices(window), "doc long, th int, a int, b int"))
 
 
 def _sort(window: int):
@@ -236,7 +279,9 @@ def sort_suffixes(window: int):
         named = segments.select(F.col("m").alias("g"), "doc", "th", "at", "p", "body", "hot")
         met = named.where("not hot").drop("hot").repartition("g").sortWithinPartitions("g")
         sorted_ = met.mapInArrow(_sort(window), "doc long, th int, a int, b int")
-        return scratch.save(sorted_.unionByName(sort_hot(named.where("hot").drop("hot"), window, scratch)), "spans")
+        spans = scratch.save(sorted_.unionByName(sort_hot(named.where("hot").drop("hot"), window, scratch)), "spans")
+        scratch.drop("segments", "slices", "met")
+        return spans
 
     return compare
 
